@@ -1,9 +1,10 @@
 """Ordered scans that stay balanced when one key owns a large share of the rows.
 
-A plain window puts every row of a key into one task. Here the few keys above
-`hot_rows` are cut into contiguous segments first; windows run per (key, segment)
-and a small per-segment summary carries state over the cuts. Keys below the
-threshold keep a single segment, so they cost one shuffle as usual.
+A plain window puts every row of a key into one task. Here row counts per key are
+taken first (one pre-aggregated pass over the key columns). When no key is above
+`hot_rows` the plain window is used. Otherwise the hot keys are cut into contiguous
+segments; windows run per (key, segment) and a small per-segment summary carries
+state over the cuts. Other keys keep a single segment.
 
 The cut points come from a hash sample of the hot keys' own order columns. They
 only decide where a key is split; every row is kept and results are exact. The
@@ -42,30 +43,35 @@ def split_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    hot_rows: int | None = None) -> DataFrame:
     """Add `_segment`: -1 for ordinary keys, 0.. in key order for hot ones.
 
-    With no keys the whole frame is one key. The broadcast is bounded: at most
-    MAX_HOT_KEYS rows of at most SEGMENTS cut points. Key columns are not null.
+    Without hot keys the frame comes back as it is. With no key columns the whole
+    frame is one key. The broadcast is bounded: at most MAX_HOT_KEYS rows of at most
+    SEGMENTS cut points. Key columns are not null.
     """
     limit = HOT_ROWS if hot_rows is None else hot_rows
     keys = list(keys)
     at = F.struct(*[F.col(c) for c in order])
+    narrow = df.select(*keys, *[c for c in order if c not in keys])
     sized = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
              .where(F.col("_rows") > limit))
+    if sized.count() == 0:
+        return df
     if keys:
-        sized = sized.orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS)
-    match = keys if keys else F.lit(True)
+        top = sized.orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS)
+        hot = narrow.join(F.broadcast(top), keys)
+    else:
+        hot = narrow.withColumn("_rows", sized.scalar()).where(F.col("_rows").isNotNull())
     every = F.greatest(F.lit(1), F.floor(F.col("_rows") / _SAMPLE))
-    picked = (df.select(*keys, *[c for c in order if c not in keys])
-              .join(F.broadcast(sized), match)
-              .where(F.pmod(F.xxhash64(*order), every) == 0)
+    picked = (hot.where(F.pmod(F.xxhash64(*order), every) == 0)
               .groupBy(*keys)
               .agg(F.sort_array(F.collect_set(at)).alias("_sample")))
     stride = F.ceil(F.size("_sample") / F.lit(SEGMENTS))
     cuts = picked.select(*keys, F.filter(
         "_sample", lambda x, i: (i > 0) & (i % stride == 0)).alias("_cuts"))
-    if not keys:
-        # an empty input still groups to one row, which cuts nothing
-        cuts = cuts.where(F.size("_cuts") > 0)
-    return (df.join(F.broadcast(cuts), match, "left")
+    if keys:
+        placed = df.join(F.broadcast(cuts), keys, "left")
+    else:
+        placed = df.withColumn("_cuts", cuts.where(F.size("_cuts") > 0).scalar())
+    return (placed
             .withColumn(SEGMENT, F.when(F.col("_cuts").isNotNull(), _position(F.col("_cuts"), at))
                         .otherwise(F.lit(_UNSPLIT)))
             .drop("_cuts"))
@@ -79,23 +85,24 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                  filled: Mapping[str, str] | None = None,
                  number: str | None = None,
                  hot_rows: int | None = None,
-                 keep_segment: bool = False) -> DataFrame:
+                 keep_segment: bool = False, presplit: bool = False) -> DataFrame:
     """Add order-dependent columns per key, ascending by `order` (nulls first).
 
     Each mapping is {new column: source column}:
     `previous` / `following` value of the neighbouring row; `running` sum up to and
     including the row; `peak_before` maximum over earlier rows; `filled` last
     non-null value up to and including the row; `number` is a 1-based position.
-    `order` should be unique within a key. A frame that already carries `_segment`
-    (from a scan with the same keys and order) is not split again.
+    `order` should be unique within a key. A chain of scans with the same keys and
+    order is split once: the first keeps its segments, later ones are `presplit`.
     """
     keys, order = list(keys), list(order)
     previous, following = dict(previous or {}), dict(following or {})
     running, peak_before, filled = dict(running or {}), dict(peak_before or {}), dict(filled or {})
-    base = df if SEGMENT in df.columns else split_hot_keys(df, keys, order, hot_rows)
+    base = df if presplit else split_hot_keys(df, keys, order, hot_rows)
+    split = SEGMENT in base.columns
     types = dict(df.dtypes)
 
-    w = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
+    w = Window.partitionBy(*keys, *([SEGMENT] if split else [])).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     at = F.struct(*[F.col(c) for c in order])
@@ -107,6 +114,9 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     by_segment = Window.partitionBy(*keys).orderBy(SEGMENT)
     earlier = by_segment.rowsBetween(Window.unboundedPreceding, -1)
 
+    def over_cuts(name: str) -> Column:
+        return F.coalesce(F.col(name), F.col(f"{name}_carry")) if split else F.col(name)
+
     def neighbours(side: Mapping[str, str], tag: str, step, pick, jump) -> None:
         if not side:
             return
@@ -115,7 +125,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         carry.append(pick(row, at).alias(f"_{tag}_edge"))
         shift.append(jump(f"_{tag}_edge").over(by_segment).alias(f"_{tag}_carry"))
         for out in side:
-            final[out] = F.coalesce(F.col(f"_{tag}"), F.col(f"_{tag}_carry"))[out]
+            final[out] = over_cuts(f"_{tag}")[out]
 
     neighbours(previous, "prev", F.lag, F.max_by, F.lag)
     neighbours(following, "next", F.lead, F.min_by, F.lead)
@@ -126,32 +136,37 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         carry.append(F.sum(src).alias(f"_run_{out}_edge"))
         shift.append(F.sum(f"_run_{out}_edge").over(earlier).alias(f"_run_{out}_carry"))
         zero = F.lit(0).cast("bigint" if wide == "bigint" else wide)
-        final[out] = F.coalesce(F.col(f"_run_{out}"), zero) + F.coalesce(F.col(f"_run_{out}_carry"), zero)
+        final[out] = F.coalesce(F.col(f"_run_{out}"), zero)
+        if split:
+            final[out] = final[out] + F.coalesce(F.col(f"_run_{out}_carry"), zero)
     for out, src in peak_before.items():
         local.append(F.max(src).over(before).alias(f"_peak_{out}"))
         carry.append(F.max(src).alias(f"_peak_{out}_edge"))
         shift.append(F.max(f"_peak_{out}_edge").over(earlier).alias(f"_peak_{out}_carry"))
-        final[out] = F.greatest(F.col(f"_peak_{out}"), F.col(f"_peak_{out}_carry"))
+        final[out] = (F.greatest(F.col(f"_peak_{out}"), F.col(f"_peak_{out}_carry")) if split
+                      else F.col(f"_peak_{out}"))
     for out, src in filled.items():
         local.append(F.last(src, ignorenulls=True).over(upto).alias(f"_fill_{out}"))
         carry.append(F.max_by(F.col(src), F.when(F.col(src).isNotNull(), at)).alias(f"_fill_{out}_edge"))
         shift.append(F.last(f"_fill_{out}_edge", ignorenulls=True).over(earlier).alias(f"_fill_{out}_carry"))
-        final[out] = F.coalesce(F.col(f"_fill_{out}"), F.col(f"_fill_{out}_carry"))
+        final[out] = over_cuts(f"_fill_{out}")
     if number:
         local.append(F.row_number().over(w).cast("bigint").alias("_nr"))
         carry.append(F.count(F.lit(1)).alias("_nr_edge"))
         shift.append(F.sum("_nr_edge").over(earlier).alias("_nr_carry"))
-        final[number] = F.col("_nr") + F.coalesce(F.col("_nr_carry"), F.lit(0))
+        final[number] = F.col("_nr") + (F.coalesce(F.col("_nr_carry"), F.lit(0)) if split else 0)
 
     scanned = base.select("*", *local)
+    kept = [F.col(c) for c in df.columns if c not in final and c != SEGMENT]
+    if split and keep_segment:
+        kept.append(F.col(SEGMENT))
+    result = [*kept, *[expr.alias(out) for out, expr in final.items()]]
+    if not split:
+        return scanned.select(*result)
     edges = (base.where(F.col(SEGMENT) > _UNSPLIT)
              .groupBy(*keys, SEGMENT).agg(*carry)
              .select(*keys, SEGMENT, *shift))
-    joined = scanned.join(edges, [*keys, SEGMENT], "left")
-    kept = [F.col(c) for c in df.columns if c not in final and c != SEGMENT]
-    if keep_segment:
-        kept.append(F.col(SEGMENT))
-    return joined.select(*kept, *[expr.alias(out) for out, expr in final.items()])
+    return scanned.join(edges, [*keys, SEGMENT], "left").select(*result)
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
@@ -166,7 +181,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
               .agg(F.count(F.lit(1)).alias("_n")))
     ranked = ordered_scan(counts, by, [value], running={"_upto": "_n"}, hot_rows=hot_rows)
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    placed = ranked.join(totals, by) if by else ranked.join(F.broadcast(totals), F.lit(True))
+    placed = ranked.join(totals, by) if by else ranked.withColumn("_total", totals.scalar())
     bounds = []
     for name, p in probs.items():
         at = F.lit(float(p)) * (F.col("_total") - 1)
