@@ -57,10 +57,12 @@ def quintiles(df: DataFrame, metrics: dict[str, str], key: str, hot_rows: int |
     for score, metric in metrics.items():
         placed = ordered_scan(df.select(metric, key), [], [metric, key], number="_nr", hot_rows=hot_rows)
         at = F.struct(metric, key)
-        edges = placed.agg(F.array(*[F.max(F.when(F.col("_nr") == end, at)) for end in ends]))
+        edges = placed.agg(F.struct(*[F.max(F.when(F.col("_nr") == end, at)).alias(f"e{i}")
+                                      for i, end in enumerate(ends)]))
         # Fewer rows than buckets: the repeated edges never count a row upwards.
-        above = F.filter(edges.scalar(), lambda edge: at > edge)
-        out = out.withColumn(score, F.size(above) + 1)
+        out = out.withColumn("_edges", edges.scalar())
+        above = [F.when(at > F.col(f"_edges.e{i}"), 1).otherwise(0) for i in range(4)]
+        out = out.withColumn(score, sum(above, F.lit(1))).drop("_edges")
     return out
 
 

@@ -45,14 +45,14 @@ class KeyedTable:
 
     def rows(self, spark: SparkSession, before: int | None = None) -> DataFrame:
         """Latest snapshot and the batches after it, tombstones included."""
-        covered = -1
+        covered = None
         paths = []
         snapshots = [n for n in self._finished(spark, "snapshot") if before is None or n < before]
         if snapshots:
             covered = snapshots[-1]
             paths.append(f"{self.path}/snapshot/upto={covered}")
         for n in self._finished(spark, "changes"):
-            if n > covered and (before is None or n < before):
+            if (covered is None or n > covered) and (before is None or n < before):
                 paths.append(f"{self.path}/changes/batch_id={n}")
         if not paths:
             return spark.createDataFrame([], self.schema)
@@ -63,11 +63,15 @@ class KeyedTable:
         """One row per live key. `before` leaves out that batch and later ones."""
         return latest_per_key(self.rows(spark, before), self.keys, self.seq, keep_deletes=keep_deletes)
 
-    def compact(self, spark: SparkSession) -> int:
+    def batches(self, spark: SparkSession) -> list[int]:
+        """Ids of the batches stored so far."""
+        return self._finished(spark, "changes")
+
+    def compact(self, spark: SparkSession) -> int | None:
         """Fold all batches into a snapshot. Tombstones stay: a late event may follow."""
-        batches = self._finished(spark, "changes")
-        upto = batches[-1] if batches else -1
-        if upto >= 0 and upto not in self._finished(spark, "snapshot"):
+        batches = self.batches(spark)
+        upto = batches[-1] if batches else None
+        if batches and upto not in self._finished(spark, "snapshot"):
             (self.current(spark, before=upto + 1, keep_deletes=True)
              .write.mode("overwrite").parquet(f"{self.path}/snapshot/upto={upto}"))
         return upto

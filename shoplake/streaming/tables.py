@@ -125,7 +125,7 @@ def backfill_then_follow(spark: SparkSession, snapshot: DataFrame, events: DataF
     Stream events older than the snapshot lose to it by `seq`, so the stream may start
     anywhere before the snapshot's position.
     """
-    if not table._finished(spark, "changes"):
+    if not table.batches(spark):
         table.append(snapshot, -1)
     return upsert_stream(events, table, checkpoint, every)
 
