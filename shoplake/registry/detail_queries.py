@@ -114,7 +114,8 @@ full_log AS (
   FROM products p LEFT JOIN firsts f ON p.product_id = f.product_id
   UNION ALL SELECT change_id, product_id, new_price, change_time FROM real_log),
 marked AS (SELECT *, lag(new_price) OVER w AS prev_price, lag(change_id) OVER w AS prev_id
-           FROM full_log WINDOW w AS (PARTITION BY product_id ORDER BY change_time, change_id))
+           FROM (SELECT * FROM full_log QUALIFY row_number() OVER
+                 (PARTITION BY product_id, change_time ORDER BY change_id DESC) = 1) AS one_per_instant WINDOW w AS (PARTITION BY product_id ORDER BY change_time, change_id))
 SELECT product_id, new_price AS price, change_time AS price_start_time,
        lead(change_time) OVER w AS price_end_time,
        CASE WHEN lead(change_time) OVER w IS NULL THEN 1 ELSE 0 END AS is_current,
@@ -129,7 +130,8 @@ def _(spark, sf):
 @query("build_scd2_multi", """
 WITH log AS (SELECT user_id, event_type, floor(value / 40) AS level, ts, event_id FROM events),
 marked AS (SELECT *, lag(event_type) OVER w AS pe, lag(level) OVER w AS pl, lag(event_id) OVER w AS pid
-           FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+           FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1) AS o
+           WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, event_type, CAST(level AS BIGINT) AS level, ts AS start_time, lead(ts) OVER w AS end_time,
        CASE WHEN lead(ts) OVER w IS NULL THEN 1 ELSE 0 END AS is_current, row_number() OVER w AS version_no
 FROM marked WHERE pid IS NULL OR pe <> event_type OR pl <> level

@@ -100,8 +100,8 @@ _PARTS = {
               WHEN 'signup' THEN 'COMPLETED' WHEN 'error' THEN 'CANCELLED' END AS status, ts
   FROM events""",
     "probes": """
-  SELECT event_id AS id, epoch_ms(ts) AS create_time_ms, ts AS create_time,
-         epoch_ms(ts) + event_id * 37 % 1000 AS sink_ms, event_id * 37 % 1000 AS ms
+  SELECT event_id AS id, (epoch_us(ts) // 1000) AS create_time_ms, ts AS create_time,
+         (epoch_us(ts) // 1000) + event_id * 37 % 1000 AS sink_ms, event_id * 37 % 1000 AS ms
   FROM events""",
     "arrivals": """
   SELECT event_id, user_id, event_type, ts, event_id + CASE WHEN event_id % 50 = 0 THEN 300 ELSE 0 END AS arrival
@@ -114,7 +114,9 @@ _PARTS = {
   SELECT * FROM price_log WHERE change_type <> 'FINAL'""",
     "moves": """
   SELECT *, lag(new_price) OVER w AS prev_price, lag(change_id) OVER w AS prev_id
-  FROM real_log WINDOW w AS (PARTITION BY product_id ORDER BY change_time, change_id)""",
+  FROM (SELECT * FROM real_log QUALIFY row_number() OVER
+        (PARTITION BY product_id, change_time ORDER BY change_id DESC) = 1) AS one_per_instant
+  WINDOW w AS (PARTITION BY product_id ORDER BY change_time, change_id)""",
     "scd2": """
   SELECT product_id, new_price AS price, change_time AS price_start_time,
          lead(change_time) OVER w AS price_end_time,
