@@ -14,8 +14,13 @@ from shoplake.operators.stock import stock_per_day
 from shoplake.sources.calendar import calendar
 
 
+def with_date_parts(days: DataFrame) -> DataFrame:
+    """Calendar columns for rows with a `date_key`."""
+    return days.select("date_key", *[c.alias(n) for n, c in date_parts("date_key").items()])
+
+
 def dim_date(spark: SparkSession, start: str, end: str) -> DataFrame:
-    return calendar(spark, start, end).select("date_key", *[c.alias(n) for n, c in date_parts("date_key").items()])
+    return with_date_parts(calendar(spark, start, end))
 
 
 def dim_user(users: DataFrame, orders: DataFrame) -> DataFrame:

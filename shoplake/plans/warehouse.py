@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoplake.operators.aggregates import table_counts
 from shoplake.operators.filters import exclude_types
 from shoplake.plans import ads, dwd, dws
 from shoplake.sources.lake import load_table, write_partitioned
@@ -15,10 +16,12 @@ from shoplake.sources.lake import load_table, write_partitioned
 
 @dataclass(frozen=True)
 class Span:
-    """First and last day of the data, and the day reports are drawn for."""
+    """First and last day of the stock report, the day scores are drawn for, and the
+    partition width of the fact tables."""
     start: str
     end: str
     as_of: str
+    grain: str = "day"
 
 
 def build(spark: SparkSession, sources: Mapping[str, DataFrame], root: str, span: Span) -> dict[str, str]:
@@ -32,11 +35,11 @@ def build(spark: SparkSession, sources: Mapping[str, DataFrame], root: str, span
     def store(name: str, df: DataFrame, day: str | None = None) -> DataFrame:
         path = f"{root}/{name.replace('.', '/')}"
         if day:
-            write_partitioned(df, path, day)
+            write_partitioned(df, path, day, grain=span.grain)
         else:
             load_table(df, path)
         paths[name] = path
-        return spark.read.parquet(path)
+        return spark.read.parquet(path).drop("order_date") if day else spark.read.parquet(path)
 
     ods = {name: store(f"ods.{name}", df, {"fact_order": "order_time",
                                            "fact_order_item": "create_time"}.get(name))
@@ -48,7 +51,7 @@ def build(spark: SparkSession, sources: Mapping[str, DataFrame], root: str, span
     users = store("dwd.dim_user", dwd.dim_user(ods["dim_user"], orders))
     store("dwd.dim_product", dwd.dim_product(products))
     store("dwd.dim_product_price_scd2", dwd.dim_product_price_scd2(prices, products, span.start))
-    items = store("dwd.fact_order_item", dwd.fact_order_item(lines.drop("order_date"), products), "create_time")
+    items = store("dwd.fact_order_item", dwd.fact_order_item(lines, products), "create_time")
     acc = store("dwd.fact_order_acc", dwd.fact_order_acc(orders), "order_time")
     stock = store("dwd.fact_product_stock_per_day", dwd.fact_product_stock_per_day(
         products, ods["fact_stock_change"], span.start, span.end))
@@ -71,6 +74,5 @@ def build(spark: SparkSession, sources: Mapping[str, DataFrame], root: str, span
 
 def layer_sizes(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """Row count of every stored table."""
-    from shoplake.operators.aggregates import table_counts
     return table_counts({name: spark.read.parquet(path) for name, path in paths.items()}) \
         .withColumn("layer", F.substring_index("table_name", ".", 1))

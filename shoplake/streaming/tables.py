@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from shoplake.model import PRIMARY_KEYS, SCHEMAS, with_envelope
 from shoplake.operators.history import build_scd2
 from shoplake.operators.joins import lookup_join
 from shoplake.operators.status import MILESTONES, is_valid_step, milestones, with_durations
 from shoplake.operators.ordered import ordered_scan
+from shoplake.plans.dwd import with_date_parts
 from shoplake.sources.keyed import KeyedTable
 from shoplake.streaming.runs import each_batch
 
@@ -75,6 +77,36 @@ def acc_stateful(status: DataFrame, watermark: str) -> DataFrame:
     return timed.groupBy("order_id").agg(*firsts)
 
 
+# ---- dimensions -------------------------------------------------------------
+def date_dim_stream(facts: DataFrame, ts: str, path: str, checkpoint: str,
+                    every: str | None = None) -> StreamingQuery:
+    """Keep the calendar of the days seen in a stream of facts."""
+    table = date_dim_table(path)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        days = with_date_parts(batch.select(F.to_date(ts).alias("date_key")).distinct())
+        table.append(days.select(*[F.col(f.name).cast(f.dataType) for f in table.schema.fields]), batch_id)
+
+    return each_batch(facts, add, checkpoint, every)
+
+
+def date_dim_table(path: str) -> KeyedTable:
+    whole = ["year", "quarter", "month", "iso_week", "day_of_week", "is_weekend"]
+    schema = T.StructType([T.StructField("date_key", T.DateType()),
+                           *[T.StructField(c, T.IntegerType()) for c in whole]])
+    return KeyedTable(path, schema, ["date_key"], ["date_key"])
+
+
+def dim_stream(events: DataFrame, name: str, path: str, checkpoint: str,
+               every: str | None = None) -> StreamingQuery:
+    """Keep `dim_user` or `dim_product` from its change events."""
+    return upsert_stream(events, dim_table(name, path), checkpoint, every)
+
+
+def dim_table(name: str, path: str) -> KeyedTable:
+    return KeyedTable(path, with_envelope(SCHEMAS[name]), PRIMARY_KEYS[name], ["seq"])
+
+
 # ---- lookups and checks on streams ------------------------------------------
 def lookup_stream(lines: DataFrame, products: DataFrame, columns: list[str]) -> DataFrame:
     """Stream of lines with product columns; the product side is re-read each batch."""

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shoplake.functions.scalars import ratio
 from shoplake.operators.ordered import ordered_scan
+from shoplake.sources.keyed import KeyedTable
+from shoplake.streaming.runs import each_batch
 
 
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
@@ -26,6 +29,22 @@ def tumbling_counts(df: DataFrame, ts: str, width: str, delay: str | None = None
                          *(by or []), "rows")
 
 
+def window_stream(stream: DataFrame, ts: str, width: str, delay: str, table: KeyedTable, checkpoint: str,
+                  every: str | None = None) -> StreamingQuery:
+    """Keep event-time window counts in a keyed table; each change of a window replaces it.
+
+    State is kept for the delay only. Counts grow, so the largest is the latest.
+    """
+    counts = tumbling_counts(stream, ts, width, delay)
+    return each_batch(counts, lambda batch, n: table.append(batch, n), checkpoint, every)
+
+
+def window_table(path: str) -> KeyedTable:
+    schema = T.StructType([T.StructField("window_start", T.TimestampType()),
+                           T.StructField("window_end", T.TimestampType()), T.StructField("rows", T.LongType())])
+    return KeyedTable(path, schema, ["window_start"], ["rows"])
+
+
 def split_late(df: DataFrame, arrival: str, ts: str, delay_seconds: float,
                hot_rows: int | None = None) -> DataFrame:
     """Mark rows that arrive more than the delay behind the latest time seen before."""
