@@ -94,7 +94,7 @@ def in_ranges(df: DataFrame, ranges: DataFrame, key: str, lo: str = "lo", hi: st
     covered = (ordered_scan(points.unionByName(marks), [], ["_at", "_side"],
                             filled={"_until": "_hi"}, hot_rows=hot_rows)
                .where((F.col("_side") == 1) & (F.col("_at") <= F.col("_until"))))
-    return df.join(covered.select(F.col("_at").alias(key)), key, "left_semi")
+    return df.join(covered.select(F.col("_at").alias(key)), key, "left_semi").select(*df.columns)
 
 
 def range_size(ranges: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:

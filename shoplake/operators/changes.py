@@ -120,8 +120,8 @@ def hard_delete(orders: DataFrame, items: DataFrame, keys: DataFrame
               .unionByName(items.join(ids, "order_id", "left_semi")
                            .select(F.lit("fact_order_item").alias("entity"), F.col("item_id").alias("id")))
               .withColumn("op", F.lit("D")))
-    return (orders.join(ids, "order_id", "left_anti"),
-            items.join(ids, "order_id", "left_anti"), events)
+    return (orders.join(ids, "order_id", "left_anti").select(*orders.columns),
+            items.join(ids, "order_id", "left_anti").select(*items.columns), events)
 
 
 # ---- batch state steps ------------------------------------------------------

@@ -43,12 +43,12 @@ def header_detail(orders: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def semi_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return df.join(keys.select(key), key, "left_semi")
+    return df.join(keys.select(key), key, "left_semi").select(*df.columns)
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Child rows whose parent is missing."""
-    return child.join(parent.select(key), key, "left_anti")
+    return child.join(parent.select(key), key, "left_anti").select(*child.columns)
 
 
 def orders_with_user(orders: DataFrame, users: DataFrame, columns: list[str]) -> DataFrame:

@@ -62,13 +62,14 @@ def _(spark, sf):
 SELECT order_id, total_amount, dt AS order_date FROM f_orders WHERE dt BETWEEN DATE '1997-03-01' AND DATE '1997-05-31'""",
        num="total_amount", day="order_date")
 def _(spark, sf):
-    """Written by month, re-written for a part of the months, read back with pruning."""
-    path = scratch_dir(spark, "by-month")
+    """Written by quarter, re-written for the later quarters, read back with pruning."""
+    path = scratch_dir(spark, "by-quarter")
     orders = src.orders(spark, sf)
-    write_partitioned(orders, path, "order_time", "order_month", sort_by=["order_id"], grain="month")
-    late = orders.where("order_time >= timestamp_ntz'1997-05-01 00:00:00'")
-    write_partitioned(late, path, "order_time", "order_month", grain="month")
-    return spark.read.parquet(path).where("order_month between '1997-03-01' and '1997-05-31'") \
+    write_partitioned(orders, path, "order_time", "order_quarter", sort_by=["order_id"], grain="quarter")
+    late = orders.where("order_time >= timestamp_ntz'1997-04-01 00:00:00'")
+    write_partitioned(late, path, "order_time", "order_quarter", grain="quarter")
+    return spark.read.parquet(path).where("order_quarter between '1997-01-01' and '1997-06-30'") \
+        .where("order_time >= timestamp_ntz'1997-03-01 00:00:00' and order_time < timestamp_ntz'1997-06-01 00:00:00'") \
         .select("order_id", "total_amount", F.to_date("order_time").alias("order_date"))
 
 
