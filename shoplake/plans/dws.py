@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from shoplake.operators.joins import orders_with_user
 
-ONE = F.lit(1)
-
 
 def _happened(column: str) -> Column:
     return F.col(column).isNotNull()
@@ -20,14 +18,14 @@ def _paid_amount() -> Column:
 
 def trade_user_day(acc: DataFrame) -> DataFrame:
     return acc.groupBy("user_id", "dt").agg(
-        F.count(ONE).alias("order_cnt"), F.sum("total_amount").alias("order_amt"),
+        F.count(F.lit(1)).alias("order_cnt"), F.sum("total_amount").alias("order_amt"),
         F.count("pay_time").alias("paid_cnt"), _paid_amount().alias("paid_amt"),
         F.count("shipping_time").alias("shipped_cnt"), F.count("complete_time").alias("completed_cnt"),
         F.count("cancel_time").alias("cancelled_cnt"), F.sum("discount_amount").alias("discount_amt"))
 
 
 def _line_sums() -> list[Column]:
-    return [F.count(ONE).alias("line_cnt"), F.sum("quantity").alias("qty"),
+    return [F.count(F.lit(1)).alias("line_cnt"), F.sum("quantity").alias("qty"),
             F.sum("subtotal").alias("gross_amt"), F.sum("discount_amount").alias("discount_amt"),
             F.sum("net_amount").alias("net_amt"),
             F.sum("current_price_amount").alias("current_price_amt")]
@@ -46,21 +44,21 @@ def trade_category_day(items: DataFrame) -> DataFrame:
     per_order = items.groupBy("category", "dt", "order_id").agg(*_line_sums())
     sums = ["line_cnt", "qty", "gross_amt", "discount_amt", "net_amt", "current_price_amt"]
     return per_order.groupBy("category", "dt").agg(
-        *[F.sum(c).alias(c) for c in sums], F.count(ONE).alias("order_cnt"))
+        *[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("order_cnt"))
 
 
 def trade_province_day(user_day: DataFrame, users: DataFrame) -> DataFrame:
     """By the buyer's province. A user-day row is one buyer, so nothing is de-duplicated."""
     placed = orders_with_user(user_day, users, ["province"])
     return placed.groupBy("province", "dt").agg(
-        F.count(ONE).alias("buyer_cnt"), F.sum("order_cnt").alias("order_cnt"),
+        F.count(F.lit(1)).alias("buyer_cnt"), F.sum("order_cnt").alias("order_cnt"),
         F.sum("order_amt").alias("order_amt"), F.sum("paid_amt").alias("paid_amt"))
 
 
 def user_lifetime(acc: DataFrame) -> DataFrame:
     return acc.groupBy("user_id").agg(
         F.min("order_time").alias("first_order_time"), F.max("order_time").alias("last_order_time"),
-        F.count(ONE).alias("order_cnt"), F.count("pay_time").alias("paid_cnt"),
+        F.count(F.lit(1)).alias("order_cnt"), F.count("pay_time").alias("paid_cnt"),
         _paid_amount().alias("paid_amt"), F.count("cancel_time").alias("cancelled_cnt"))
 
 
