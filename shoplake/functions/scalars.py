@@ -21,9 +21,24 @@ def to_cents(x) -> Column:
     return (F.round(_col(x).cast("decimal(20,6)"), 2) * 100).cast("bigint")
 
 
-def from_cents(x) -> Column:
-    """Whole cents -> decimal(12,2)."""
-    return (_col(x).cast("decimal(18,0)") / F.lit(100).cast("decimal(3,0)")).cast(AMOUNT)
+def cents_of(x) -> Column:
+    """Whole cents of a two-place amount below 10^13, without decimal arithmetic."""
+    return F.rint(_col(x).cast("double") * 100).cast("bigint")
+
+
+def from_cents(x, kind: str = AMOUNT) -> Column:
+    """Whole cents -> decimal with two places."""
+    return (_col(x).cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(kind)
+
+
+def sum_money(x) -> Column:
+    """Exact sum of two-place amounts: added up as long cents, shown as decimal(22,2).
+
+    Long adds stay in fixed-width aggregation buffers; sums of wide decimals do not.
+    A sum past the long range raises under ANSI mode and is never wrapped.
+    """
+    total = F.sum(cents_of(x)).cast("decimal(20,0)")
+    return (total * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(22,2)")
 
 
 def money(x) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplake.functions.scalars import latency_ms, price_band, ratio
+from shoplake.functions.scalars import latency_ms, price_band, ratio, sum_money
 from shoplake.model import ORDER_STATUSES
 from shoplake.operators.ordered import exact_quantiles
 from shoplake.operators.sets import union_shards
@@ -53,8 +53,8 @@ def log_profile(log: DataFrame) -> DataFrame:
 def order_totals(items: DataFrame) -> DataFrame:
     """Pieces, subtotal, discount and net per order."""
     return (items.groupBy("order_id")
-            .agg(F.sum("quantity").alias("item_count"), F.sum("subtotal").alias("subtotal"),
-                 F.sum("discount_amount").alias("discount_amount"), F.count(F.lit(1)).alias("lines"))
+            .agg(F.sum("quantity").alias("item_count"), sum_money("subtotal").alias("subtotal"),
+                 sum_money("discount_amount").alias("discount_amount"), F.count(F.lit(1)).alias("lines"))
             .withColumn("total_amount", F.col("subtotal") - F.col("discount_amount")))
 
 

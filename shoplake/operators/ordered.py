@@ -6,9 +6,10 @@ taken first (one pre-aggregated pass over the key columns). When no key is above
 segments; windows run per (key, segment) and a small per-segment summary carries
 state over the cuts. Other keys keep a single segment.
 
-The cut points come from a hash sample of the hot keys' own order columns. They
-only decide where a key is split; every row is kept and results are exact. The
-sample is a pure function of the data, so recomputed tasks agree with it.
+The cut points come from a hash sample of the hot keys' own order columns, about one
+per `hot_rows` rows. They only decide where a key is split; every row is kept and
+results are exact. The sample is a pure function of the data, so recomputed tasks
+agree with it.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 4_000_000    # rows of one key that one task may sort
-MAX_HOT_KEYS = 1000     # any further key holds under 1/1000 of the rows
-SEGMENTS = 1024         # pieces of a hot key
-_SAMPLE = 16 * SEGMENTS
+HOT_ROWS = 4_000_000        # rows of one key that one task may sort
+MAX_HOT_KEYS = 100_000      # any further key holds under 1/100,000 of the rows
+MAX_SEGMENTS = 2 ** 16      # pieces of one key
+OVERSAMPLE = 16             # sampled rows per piece
 
 SEGMENT = "_segment"
 _UNSPLIT = -1
@@ -30,7 +31,7 @@ _UNSPLIT = -1
 def _position(cuts: Column, at: Column) -> Column:
     """How many sorted cut points are <= `at`, by binary search."""
     halves = []
-    step = SEGMENTS // 2
+    step = MAX_SEGMENTS // 2
     while step:
         halves.append(F.lit(step))
         step //= 2
@@ -44,8 +45,9 @@ def split_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """Add `_segment`: -1 for ordinary keys, 0.. in key order for hot ones.
 
     Without hot keys the frame comes back as it is. With no key columns the whole
-    frame is one key. The broadcast is bounded: at most MAX_HOT_KEYS rows of at most
-    SEGMENTS cut points. Key columns are not null.
+    frame is one key. The broadcast is bounded: at most MAX_HOT_KEYS keys with at most
+    (rows / hot_rows) cut points in all, some 10 MB for 10^12 rows. Key columns are
+    not null.
     """
     limit = HOT_ROWS if hot_rows is None else hot_rows
     keys = list(keys)
@@ -60,17 +62,18 @@ def split_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         hot = narrow.join(F.broadcast(top), keys)
     else:
         hot = narrow.withColumn("_rows", sized.scalar()).where(F.col("_rows").isNotNull())
-    every = F.greatest(F.lit(1), F.floor(F.col("_rows") / _SAMPLE))
+    pieces = F.least(F.lit(MAX_SEGMENTS), F.ceil(F.col("_rows") / F.lit(limit)))
+    every = F.greatest(F.lit(1), F.floor(F.col("_rows") / (pieces * OVERSAMPLE)))
     picked = (hot.where(F.pmod(F.xxhash64(*order), every) == 0)
               .groupBy(*keys)
-              .agg(F.sort_array(F.collect_set(at)).alias("_sample")))
-    stride = F.ceil(F.size("_sample") / F.lit(SEGMENTS))
+              .agg(F.sort_array(F.collect_set(at)).alias("_sample"), F.max(pieces).alias("_pieces")))
+    stride = F.ceil(F.size("_sample") / F.col("_pieces"))
     cuts = picked.select(*keys, F.filter(
         "_sample", lambda x, i: (i > 0) & (i % stride == 0)).alias("_cuts"))
     if keys:
         placed = df.join(F.broadcast(cuts), keys, "left")
     else:
-        placed = df.withColumn("_cuts", cuts.where(F.size("_cuts") > 0).scalar())
+        placed = df.withColumn("_cuts", cuts.scalar())
     return (placed
             .withColumn(SEGMENT, F.when(F.col("_cuts").isNotNull(), _position(F.col("_cuts"), at))
                         .otherwise(F.lit(_UNSPLIT)))

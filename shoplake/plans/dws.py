@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoplake.functions.scalars import cents_of, from_cents, sum_money
 from shoplake.operators.joins import orders_with_user
 
 
@@ -13,22 +14,23 @@ def _happened(column: str) -> Column:
 
 
 def _paid_amount() -> Column:
-    return F.sum(F.when(_happened("pay_time"), F.col("total_amount")).otherwise(0).cast("decimal(12,2)"))
+    paid = F.when(_happened("pay_time"), F.col("total_amount"))
+    return F.coalesce(sum_money(paid), F.lit(0).cast("decimal(22,2)"))
 
 
 def trade_user_day(acc: DataFrame) -> DataFrame:
     return acc.groupBy("user_id", "dt").agg(
-        F.count(F.lit(1)).alias("order_cnt"), F.sum("total_amount").alias("order_amt"),
+        F.count(F.lit(1)).alias("order_cnt"), sum_money("total_amount").alias("order_amt"),
         F.count("pay_time").alias("paid_cnt"), _paid_amount().alias("paid_amt"),
         F.count("shipping_time").alias("shipped_cnt"), F.count("complete_time").alias("completed_cnt"),
-        F.count("cancel_time").alias("cancelled_cnt"), F.sum("discount_amount").alias("discount_amt"))
+        F.count("cancel_time").alias("cancelled_cnt"), sum_money("discount_amount").alias("discount_amt"))
 
 
 def _line_sums() -> list[Column]:
     return [F.count(F.lit(1)).alias("line_cnt"), F.sum("quantity").alias("qty"),
-            F.sum("subtotal").alias("gross_amt"), F.sum("discount_amount").alias("discount_amt"),
-            F.sum("net_amount").alias("net_amt"),
-            F.sum("current_price_amount").alias("current_price_amt")]
+            sum_money("subtotal").alias("gross_amt"), sum_money("discount_amount").alias("discount_amt"),
+            sum_money("net_amount").alias("net_amt"),
+            sum_money("current_price_amount").alias("current_price_amt")]
 
 
 def trade_product_day(items: DataFrame) -> DataFrame:
@@ -41,10 +43,15 @@ def trade_category_day(items: DataFrame) -> DataFrame:
     Lines collapse to (category, day, order) first, so a big category is summed in
     parts before its final group.
     """
-    per_order = items.groupBy("category", "dt", "order_id").agg(*_line_sums())
-    sums = ["line_cnt", "qty", "gross_amt", "discount_amt", "net_amt", "current_price_amt"]
+    cents = {"gross_amt": "subtotal", "discount_amt": "discount_amount", "net_amt": "net_amount",
+             "current_price_amt": "current_price_amount"}
+    per_order = items.groupBy("category", "dt", "order_id").agg(
+        F.count(F.lit(1)).alias("line_cnt"), F.sum("quantity").alias("qty"),
+        *[F.sum(cents_of(c)).alias(name) for name, c in cents.items()])
     return per_order.groupBy("category", "dt").agg(
-        *[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("order_cnt"))
+        F.sum("line_cnt").alias("line_cnt"), F.sum("qty").alias("qty"),
+        *[from_cents(F.sum(c), "decimal(22,2)").alias(c) for c in cents],
+        F.count(F.lit(1)).alias("order_cnt"))
 
 
 def trade_province_day(user_day: DataFrame, users: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplake.functions.scalars import AMOUNT, PRICE, from_cents, money
+from shoplake.functions.scalars import AMOUNT, PRICE, from_cents
 from shoplake.model import CANCELLED, COMPLETED, CREATED, PAID, SHIPPED
 
 EVENT_STATUS = {"view": CREATED, "click": PAID, "purchase": SHIPPED,
@@ -69,11 +69,11 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
     shipped = _hours(paid, (key % 96 + 2).cast("int"))
     completed = _hours(shipped, (key % 120 + 12).cast("int"))
     cancelled = _hours(F.col("o_orderdate"), (key % 24 + 1).cast("int"))
+    cents = F.rint(F.col("o_totalprice") * 100).cast("bigint")
     staged = _read(spark, sf, "orders").select(
         key.alias("order_id"), F.col("o_custkey").alias("user_id"), status.alias("order_status"),
-        (key % 7 + 1).cast("int").alias("item_count"), F.col("o_totalprice").cast(AMOUNT).alias("total_amount"),
-        F.when(urgency == "1", money(F.col("o_totalprice").cast(AMOUNT) * F.lit("0.05").cast("decimal(3,2)")))
-        .otherwise(F.lit(0).cast(AMOUNT)).alias("discount_amount"),
+        (key % 7 + 1).cast("int").alias("item_count"), from_cents(cents).alias("total_amount"),
+        from_cents(F.when(urgency == "1", F.floor((cents * 5 + 50) / 100)).otherwise(0)).alias("discount_amount"),
         paid.alias("_paid"), shipped.alias("_shipped"), completed.alias("_completed"),
         cancelled.alias("_cancelled"), F.col("o_orderdate").alias("order_time"))
     s = F.col("order_status")
@@ -94,14 +94,15 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """Lines; the unit price is the line amount per piece, half up to the cent."""
     qty = F.col("l_quantity").cast("int")
-    amount = F.col("l_extendedprice").cast(AMOUNT)
-    cents = (amount * 100).cast("bigint")
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
+    percent = F.rint(F.col("l_discount") * 100).cast("bigint")
     unit = F.floor((cents * 2 + qty) / (qty * 2)).cast("bigint")
+    off = F.floor((cents * percent + 50) / 100).cast("bigint")
     return _read(spark, sf, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"),
         F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"),
-        qty.alias("quantity"), from_cents(unit).cast(PRICE).alias("unit_price"), amount.alias("subtotal"),
-        money(amount * F.col("l_discount").cast("decimal(4,2)")).alias("discount_amount"),
+        qty.alias("quantity"), from_cents(unit, PRICE).alias("unit_price"),
+        from_cents(cents).alias("subtotal"), from_cents(off).alias("discount_amount"),
         F.col("l_shipdate").alias("create_time"))
 
 
