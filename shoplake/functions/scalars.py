@@ -31,14 +31,19 @@ def from_cents(x, kind: str = AMOUNT) -> Column:
     return (_col(x).cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(kind)
 
 
+def sum_cents(cents) -> Column:
+    """Sum of long cents as decimal(22,2)."""
+    total = F.sum(cents).cast("decimal(20,0)")
+    return (total * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(22,2)")
+
+
 def sum_money(x) -> Column:
     """Exact sum of two-place amounts: added up as long cents, shown as decimal(22,2).
 
     Long adds stay in fixed-width aggregation buffers; sums of wide decimals do not.
     A sum past the long range raises under ANSI mode and is never wrapped.
     """
-    total = F.sum(cents_of(x)).cast("decimal(20,0)")
-    return (total * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(22,2)")
+    return sum_cents(cents_of(x))
 
 
 def money(x) -> Column:

@@ -120,14 +120,19 @@ def replay_order(df: DataFrame, time: str = "change_time", key: str = "change_id
     return df.orderBy(time, key)
 
 
+def _draw(key: str, seed: int) -> Column:
+    """A repeatable shuffle order, the same on every engine."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def pool(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """A repeatable pool of n rows."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(_draw(key, seed), key).limit(n)
 
 
 def pick_n_per_group(df: DataFrame, by: list[str], n: int, key: str, seed: int = 0,
                      hot_rows: int | None = None) -> DataFrame:
     """n rows of each group without replacement, repeatable for a seed."""
-    drawn = df.withColumn("_draw", F.xxhash64(F.col(key), F.lit(seed)))
+    drawn = df.withColumn("_draw", _draw(key, seed))
     ranked = ordered_scan(drawn, by, ["_draw", key], number="_nr", hot_rows=hot_rows)
     return ranked.where(F.col("_nr") <= n).drop("_draw", "_nr")

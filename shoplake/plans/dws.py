@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplake.functions.scalars import cents_of, from_cents, sum_money
+from shoplake.functions.scalars import cents_of, sum_cents, sum_money
 from shoplake.operators.joins import orders_with_user
 
 
@@ -50,7 +50,7 @@ def trade_category_day(items: DataFrame) -> DataFrame:
         *[F.sum(cents_of(c)).alias(name) for name, c in cents.items()])
     return per_order.groupBy("category", "dt").agg(
         F.sum("line_cnt").alias("line_cnt"), F.sum("qty").alias("qty"),
-        *[from_cents(F.sum(c), "decimal(22,2)").alias(c) for c in cents],
+        *[sum_cents(c).alias(c) for c in cents],
         F.count(F.lit(1)).alias("order_cnt"))
 
 

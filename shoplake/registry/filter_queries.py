@@ -181,12 +181,15 @@ def _(spark, sf):
     return O.replay_order(src.price_log(spark, sf)).select("change_id", "product_id", "change_time")
 
 
-@query("pool")
+@query("pool", using("users") + """
+SELECT user_id, username FROM users WHERE status = 1 AND is_deleted = 0 ORDER BY md5(user_id || ':7'), user_id LIMIT 500""")
 def _(spark, sf):
     return O.pool(O.active_only(src.users(spark, sf)), 500, "user_id", seed=7).select("user_id", "username")
 
 
-@query("pick_n_per_group")
+@query("pick_n_per_group", using("products") + """
+SELECT category, product_id FROM products
+QUALIFY row_number() OVER (PARTITION BY category ORDER BY md5(product_id || ':7'), product_id) <= 20""")
 def _(spark, sf):
     return O.pick_n_per_group(src.products(spark, sf), ["category"], 20, "product_id", seed=7) \
         .select("category", "product_id")

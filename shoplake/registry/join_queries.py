@@ -127,9 +127,12 @@ SELECT o.order_id, order_status, sum(subtotal) AS gross FROM f_orders o JOIN f_i
        num="gross")
 def _(spark, sf):
     """Both tables bucketed by order, so the join and the totals need no exchange."""
-    tag = scratch_dir(spark, "bucketed").rsplit("-", 1)[1]
-    write_bucketed(src.orders(spark, sf).select("order_id", "order_status"), f"bucketed_orders_{tag}", 8, "order_id")
-    write_bucketed(src.items(spark, sf).select("order_id", "subtotal"), f"bucketed_items_{tag}", 8, "order_id")
+    root = scratch_dir(spark, "bucketed")
+    tag = root.rsplit("-", 1)[1]
+    write_bucketed(src.orders(spark, sf).select("order_id", "order_status"), f"bucketed_orders_{tag}", 8,
+                   "order_id", f"{root}/orders")
+    write_bucketed(src.items(spark, sf).select("order_id", "subtotal"), f"bucketed_items_{tag}", 8,
+                   "order_id", f"{root}/items")
     head, lines = spark.table(f"bucketed_orders_{tag}"), spark.table(f"bucketed_items_{tag}")
     return head.join(lines, "order_id").groupBy("order_id", "order_status").agg(F.sum("subtotal").alias("gross"))
 

@@ -91,11 +91,24 @@ def _(spark, sf):
     return table.current(spark)
 
 
-@query("stream_late_rows")
-def _(spark, sf):
-    """With a 5-second watermark the rows that come late are dropped."""
+@query("stream_late_rows", """
+WITH a AS (SELECT event_id, ts, event_id + CASE WHEN event_id % 50 = 0 THEN (max(event_id) OVER ()) * 6 // 10 ELSE 0 END AS arrival FROM events),
+n AS (SELECT *, (row_number() OVER (ORDER BY arrival, event_id) - 1) // CAST(ceil(count(*) OVER () / 4.0) AS BIGINT) AS batch FROM a),
+m AS (SELECT batch, max(ts) AS latest FROM n GROUP BY 1),
+w AS (SELECT batch, max(latest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 5 SECOND AS mark FROM m),
+k AS (SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end
+      FROM n JOIN w ON n.batch = w.batch WHERE mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark)
+SELECT window_start, window_end, count(*) AS rows FROM k GROUP BY 1, 2""", ts="window_start window_end")
+def _(spark, sf):
+    """Every 50th event comes more than two batches late, past a 5-second watermark.
+
+    A row is dropped when its window ended before the mark the last batch ran with.
+    """
     root = scratch_dir(spark, "late")
-    stream = feed(spark, src.arrivals(spark, sf), ["arrival", "event_id"], root)
+    rows = src.events(spark, sf).select("event_id", "ts")
+    behind = F.floor(rows.agg(F.max("event_id")).scalar() * 6 / 10)
+    late = rows.withColumn("arrival", F.col("event_id") + F.when(F.col("event_id") % 50 == 0, behind).otherwise(0))
+    stream = feed(spark, late, ["arrival", "event_id"], root)
     table = windows.window_table(f"{root}/table")
     windows.window_stream(stream, "ts", "1 hour", "5 seconds", table, f"{root}/checkpoint")
     return table.current(spark)

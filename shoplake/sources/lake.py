@@ -27,10 +27,17 @@ def write_partitioned(df: DataFrame, path: str, ts: str, partition: str = "order
      .partitionBy(partition).parquet(path))
 
 
-def write_bucketed(df: DataFrame, table: str, n: int, key: str) -> None:
-    """Catalog table in n buckets of `key`; equal layouts join without a shuffle."""
-    (df.repartition(n, key).write.mode("overwrite").format("parquet")
-     .bucketBy(n, key).sortBy(key).saveAsTable(table))
+def write_bucketed(df: DataFrame, table: str, n: int, key: str, path: str | None = None) -> None:
+    """Catalog table in n buckets of `key`; equal layouts join without a shuffle.
+
+    A bucket is written by one task, so choose a key without heavy values. With `path`
+    the files lie there and not in the warehouse folder.
+    """
+    writer = (df.repartition(n, key).write.mode("overwrite").format("parquet")
+              .bucketBy(n, key).sortBy(key))
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
 
 
 def append_changes(df: DataFrame, path: str, batch_id: int) -> None:

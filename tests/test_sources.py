@@ -92,11 +92,11 @@ def test_reload_and_partitions(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "l")).count() == 30
 
 
-def test_bucketed_join_has_no_exchange(spark):
+def test_bucketed_join_has_no_exchange(spark, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         write_bucketed(spark.range(1000), "bucket_a", 4, "id")
-        write_bucketed(spark.range(500, 1500), "bucket_b", 4, "id")
+        write_bucketed(spark.range(500, 1500), "bucket_b", 4, "id", str(tmp_path / "b"))
         joined = spark.table("bucket_a").join(spark.table("bucket_b"), "id")
         assert joined.count() == 500
         assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
