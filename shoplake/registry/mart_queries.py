@@ -68,7 +68,7 @@ def _(spark, sf):
 OVERVIEW = """
 SELECT dt, count(DISTINCT user_id) AS buyers, count(*) AS orders, sum(total_amount) AS order_amt,
        sum(CASE WHEN pay_time IS NOT NULL THEN total_amount ELSE 0 END) AS paid_amt,
-       round(CAST(sum(total_amount) AS DOUBLE) / count(*), 6) AS avg_order_value,
+       floor(CAST(sum(total_amount) AS DOUBLE) / count(*) * 1000000 + 0.5) / 1000000 AS avg_order_value, -- half up
        round(CAST(count(pay_time) AS DOUBLE) / count(*), 6) AS pay_rate,
        round(CAST(count(cancel_time) AS DOUBLE) / count(*), 6) AS cancel_rate
 FROM f_orders GROUP BY dt"""
