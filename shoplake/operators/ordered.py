@@ -53,15 +53,18 @@ def split_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     keys = list(keys)
     at = F.struct(*[F.col(c) for c in order])
     narrow = df.select(*keys, *[c for c in order if c not in keys])
-    sized = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-             .where(F.col("_rows") > limit))
-    if sized.count() == 0:
-        return df
     if keys:
+        sized = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+                 .where(F.col("_rows") > limit))
+        if sized.count() == 0:
+            return df
         top = sized.orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS)
         hot = narrow.join(F.broadcast(top), keys)
     else:
-        hot = narrow.withColumn("_rows", sized.scalar()).where(F.col("_rows").isNotNull())
+        rows = df.count()
+        if rows <= limit:
+            return df
+        hot = narrow.withColumn("_rows", F.lit(rows))
     pieces = F.least(F.lit(MAX_SEGMENTS), F.ceil(F.col("_rows") / F.lit(limit)))
     every = F.greatest(F.lit(1), F.floor(F.col("_rows") / (pieces * OVERSAMPLE)))
     picked = (hot.where(F.pmod(F.xxhash64(*order), every) == 0)
