@@ -118,7 +118,8 @@ def invalid_transition_stream(status: DataFrame, path: str, checkpoint: str,
     """Write status steps that break the life cycle, across batch borders.
 
     The last status of each order is carried in a keyed table. A batch reads it as it
-    was before that batch, so a re-run gives the same rows. Input order is `seq`.
+    was before that batch, so a re-run gives the same rows. Input order is `seq`. Run
+    `last_status_table(path).compact` now and then to keep that read short.
     """
     last = last_status_table(path)
 
