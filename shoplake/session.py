@@ -35,12 +35,16 @@ def build_session(app: str = "shoplake", master: str | None = None, **extra: str
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`.
 
-    Only where nothing names one (tests on one machine) is a local folder made.
+    Where nothing names one, a session in one process gets a local folder; on a cluster
+    that would scatter the data over machines, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
