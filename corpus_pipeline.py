@@ -7,12 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplake.llm import bpe, secrets
+from shoplake.llm import bpe, decontaminate, quality, secrets, simhash
+from shoplake.llm.queries import LEAST_QUALITY, training_labels
 from shoplake.llm.shared import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of low quality go, by a classifier fitted on the labelled ones."""
+    return quality.keep_good(docs, quality.fit(docs, training_labels(spark, sf_dir)), LEAST_QUALITY)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of copies and near copies the smallest doc_id stays."""
+    return simhash.keep_first(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat a passage of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind; every document stays."""
     return secrets.redact_documents(docs)
@@ -23,7 +39,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("secret_scan", scan_secrets), ("bpe_encode", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", reject_poor), ("near_dedup", drop_copies), ("decontaminate", drop_leaks),
+    ("secret_scan", scan_secrets), ("bpe_encode", encode)]
 
 # Tokenizing and fitted scores are not SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None

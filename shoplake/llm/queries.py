@@ -5,18 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplake.llm import bpe, kd_shards, secrets, token_counts, url_trust
+from shoplake.llm import bpe, decontaminate, kd_shards, pivots, quality, secrets, simhash, token_counts, url_trust
 from shoplake.llm.shared import table
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+LEAST_COSINE = 0.98
 TOKEN_LIMIT = 4096
+LEAST_QUALITY = 0.7
 SHARDS = 8
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings"), LEAST_COSINE)
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and decoded text, as digests."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -34,6 +41,28 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap with benchmark items."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels to learn from: a quarter of the ids is held out."""
+    return table(spark, sf_dir, "labels").where(~held_out())
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, training_labels(spark, sf_dir))
+    return quality.score_documents(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"))
+
+
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near equal bytes."""
     placed = kd_shards.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
@@ -41,13 +70,20 @@ def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: four-word shingles, at most four differing bits."""
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in all documents."""
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_codec, op3_url_filter, op4_token_counts, op7_kd_shards, op10_secrets)}
+    return {f.__name__: f for f in (op1_near_vectors, op2_bpe_codec, op3_url_filter, op4_token_counts, op5_decontaminate, op6_quality,
+                                   op7_kd_shards, op9_simhash, op10_secrets)}
 
 
 def checks() -> dict[str, str]:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from shoplake.session import scratch_dir
@@ -32,12 +33,18 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
+def arrow_shape(schema: str | StructType) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
 def map_batches(df: DataFrame, schema: str | StructType, work: Callable[..., dict[str, list]]) -> DataFrame:
     """Apply `work(**columns as Python lists) -> columns` to each Arrow batch."""
+    shape = arrow_shape(schema)
+
     def run(batches: Batches) -> Batches:
         for batch in batches:
             got = work(**{name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_pydict(got)
+            yield pa.RecordBatch.from_pydict(got, schema=shape)
     return df.mapInArrow(run, schema)
 
 
