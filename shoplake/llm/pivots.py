@@ -17,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from shoplake.llm.components import components
 from shoplake.llm.shared import stored
 
 LEAST_PIVOTS, MOST_PIVOTS = 32, 4096
-PREFIX = 8                      # pivots that describe a vector
-LISTS = 4                       # of them whose lists hold it
+PREFIX = 12                     # pivots that describe a vector
+LISTS = 6                       # of them whose lists hold it
 SHARED = 2                      # pivots that candidates have in common
 BLOCK = 2048                    # vectors of one list that meet in one block
 TILE = 512
@@ -68,7 +69,7 @@ def pivot_index(vectors: DataFrame) -> DataFrame:
                 for i, o in zip(at, order.tolist(), strict=True):
                     near[i] = o
             yield batch.append_column("near", pa.array(near, pa.list_(pa.int32())))
-    schema = vectors.select("id", "n", "label", "embedding").schema.add("near", "array<int>")
+    schema = vectors.select("id", "n", "label", "embedding").schema.add("near", ArrayType(IntegerType()))
     indexed = vectors.select("id", "n", "label", "embedding").mapInArrow(run, schema)
     return indexed.withColumn("pivot", F.explode(F.slice("near", 1, LISTS))).select(
         "id", "n", F.xxhash64("label", F.size("embedding"), "pivot").alias("list"), "pivot", "near", "embedding")
