@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplake.llm import bpe, decontaminate, kd_shards, pivots, quality, secrets, simhash, token_counts, url_trust
+from shoplake.llm import (
+    bpe, decontaminate, kd_shards, pivots, quality, secrets, simhash, suffix_repeats, token_counts, url_trust)
 from shoplake.llm.shared import table
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -70,6 +71,11 @@ def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the strings of 50 bytes that a smaller document has too."""
+    return suffix_repeats.remove_repeats(table(spark, sf_dir, "documents"), 50)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: four-word shingles, at most four differing bits."""
     found = simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4)
@@ -83,7 +89,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_near_vectors, op2_bpe_codec, op3_url_filter, op4_token_counts, op5_decontaminate, op6_quality,
-                                   op7_kd_shards, op9_simhash, op10_secrets)}
+                                   op7_kd_shards, op8_suffix_repeats, op9_simhash, op10_secrets)}
 
 
 def checks() -> dict[str, str]:
