@@ -11,10 +11,11 @@ the intervals of the prefix tree. The rows of an interval are then sorted by wha
 precedes them; the same scan over the common left extensions, split where they
 diverge, gives maximal repeats with all their occurrences.
 
-Rows travel packed: one binary value per task batch and bucket. An anchor whose
-surroundings already occurred in the same batch, in a smaller document, is decided on
-the spot and does not travel, so that a passage common to many documents is sent
-about once per batch.
+Most anchors occur once, so only digests of all anchors are compared at first: eleven
+bytes for the anchor and its surroundings. Where the surroundings are equal too, the
+larger documents lose them at once. Only where an anchor has several surroundings do
+the bytes travel, once for each of them. Both travel packed, one binary value per task
+batch and bucket; and a passage common to many documents about once per batch.
 """
 
 from __future__ import annotations
@@ -28,14 +29,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplake.llm.shared import arrow_shape, map_batches, texts
+from shoplake.llm.shared import arrow_shape, map_batches, stored, texts
 from shoplake.llm.words import _power, batches, mixed
 
 ANCHOR = 22                     # bytes of an anchor
 BUCKET_BYTES = 4 << 20          # text per bucket
 BATCH_CHARS = 2 << 20
 NOTE = 20                       # bits for a span's length in a packed span
+MARK = 48                       # bits of the digest of an anchor with its surroundings
 PACKED = "bucket long, payload binary"
+MARKS = "doc_id long, mark long"     # digest << 1 | 1 if the bytes are asked for, 0 if they go
 SPANS = "doc_id long, span long"    # start << NOTE | length
 
 
@@ -48,11 +51,12 @@ def _window_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[:len(h) - w + 1], out[w - size:len(h) - size + 1]) if len(h) >= w else out[:0]
 
 
-def anchors(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the anchors of joined texts: the smallest anchor hashes of any `length` bytes of one text."""
-    w = length - ANCHOR + 1
+def anchors(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(place, hash, text, bytes reached to the left, to the right, digest of all reached) of the anchors
+    of joined texts: the smallest anchor hashes of any `length` bytes of one text."""
+    w, reach = length - ANCHOR + 1, length - ANCHOR
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return tuple(np.zeros(0, t) for t in ("i8", "u8", "i8", "i8", "i8", "i8"))
     up, down = _power(len(data) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)])))
     n = len(data) - ANCHOR + 1
@@ -67,7 +71,11 @@ def anchors(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarr
     edge = np.zeros(w - 1, np.uint64)
     most = ~_window_min(~np.concatenate((edge, least, edge)), w)
     at = np.flatnonzero(most == h)
-    return at, h[at]
+    owner = np.searchsorted(begins, at, "right") - 1
+    left = np.minimum(at - begins[owner], reach)
+    right = np.minimum(begins[owner + 1] - 1 - at - ANCHOR, reach)
+    mark = mixed((sums[at + ANCHOR + right] - sums[at - left]) * down[at - left] + (left << 8 | right).astype(np.uint64))
+    return at, h[at], owner, left, right, (mark >> np.uint64(64 - MARK)).astype(np.int64)
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -80,36 +88,129 @@ def _shape(length: int) -> np.dtype:
                      ("around", "u1", 2 * reach + ANCHOR)])
 
 
+def _cuts(bucket: np.ndarray) -> list[tuple[int, int]]:
+    ends = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)].tolist()
+    return list(zip(ends[:-1], ends[1:], strict=True))
+
+
+def _bucket(seed: np.ndarray, buckets: int) -> np.ndarray:
+    return ((seed >> np.uint64(41)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _unpack(payload: pa.Scalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(payload.as_buffer())
+
+
+def _low_bytes(values: np.ndarray, n: int) -> np.ndarray:
+    return values.view(np.uint8).reshape(-1, 8)[:, :n]
+
+
+def _from_low(raw: bytes, at: int, rows: int, n: int) -> np.ndarray:
+    out = np.zeros((rows, 8), np.uint8)
+    out[:, :n] = np.frombuffer(raw, np.uint8, rows * n, at).reshape(rows, n)
+    return out.view(np.int64).ravel()
+
+
+def _digested(length: int, buckets: int):
+    """Arrow task: (doc_id, text) in, packed digests of anchors out; marks decided here go to bucket -1."""
+    def run(found):
+        for batch in found:
+            ids, text = batch.column("doc_id").to_numpy(), batch.column("text").to_pylist()
+            for first, data, begins in batches(text, BATCH_CHARS):
+                _, seed, owner, _, _, mark = anchors(data, begins, length)
+                if not len(seed):
+                    continue
+                doc, bucket = ids[first + owner], _bucket(seed, buckets)
+                least, order = _least_docs(seed, mark, doc)
+                gone = doc[order] > least
+                out = [(-1 - int(first), _pack([doc[order][gone], mark[order][gone] << 1]))] if gone.any() else []
+                order = order[~gone]
+                order = order[np.lexsort((doc[order], bucket[order]))]
+                for a, b in _cuts(bucket[order]):
+                    at = order[a:b]
+                    out.append((int(bucket[at[0]]), _pack([doc[at], _low_bytes(seed[at].view(np.int64), 5),
+                                                           _low_bytes(mark[at], 6)])))
+                yield pa.RecordBatch.from_pydict({"bucket": [o[0] for o in out], "payload": [o[1] for o in out]})
+    return run
+
+
+def _least_docs(seed: np.ndarray, mark: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest document with a row's anchor and surroundings, order of the rows): sorted by both."""
+    order = np.lexsort((doc, mark, seed))
+    s, m = seed[order], mark[order]
+    head = np.r_[True, (s[1:] != s[:-1]) | (m[1:] != m[:-1])]
+    return doc[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))], order
+
+
+def _marked():
+    """Arrow task: packed digests sorted by bucket in, marks out."""
+    shape = arrow_shape(MARKS)
+
+    def of(doc: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(mark, pa.int64())], schema=shape)
+
+    def decided(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        doc, seed, mark = (np.concatenate(c) for c in zip(*held, strict=True))
+        least, order = _least_docs(seed, mark, doc)
+        doc, seed, mark = doc[order], seed[order], mark[order]
+        gone = doc > least
+        starts = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]])
+        sizes = np.diff(np.r_[starts, len(seed)])
+        several = np.maximum.reduceat(least, starts) > np.minimum.reduceat(least, starts)
+        asked = np.repeat(several, sizes) & ~gone
+        return of(np.r_[doc[gone], doc[asked]], np.r_[mark[gone] << 1, mark[asked] << 1 | 1])
+
+    def run(found):
+        held, bucket = [], None
+        for batch in found:
+            for key, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
+                raw = _unpack(payload)
+                if key < 0:
+                    yield of(*np.split(np.frombuffer(raw, np.int64), 2))
+                    continue
+                if key != bucket and held:
+                    yield decided(held)
+                    held = []
+                bucket, n = key, len(raw) // 19
+                held.append((np.frombuffer(raw, np.int64, n), _from_low(raw, 8 * n, n, 5), _from_low(raw, 13 * n, n, 6)))
+        if held:
+            yield decided(held)
+    return run
+
+
 def _packed(length: int, buckets: int):
-    """Arrow task: (doc_id, text) in, packed anchors out; spans decided here go to bucket -1."""
+    """Arrow task: (doc_id, text, marks) in, packed anchors with their bytes out; spans that go are in bucket -1."""
     shape, reach = _shape(length), length - ANCHOR
 
     def run(found):
         for batch in found:
             ids, text = batch.column("doc_id").to_numpy(), batch.column("text").to_pylist()
+            marks = batch.column("marks").to_pylist()
             for first, data, begins in batches(text, BATCH_CHARS):
-                at, seed = anchors(data, begins, length)
+                at, seed, owner, left, right, mark = anchors(data, begins, length)
                 if not len(at):
                     continue
-                owner = np.searchsorted(begins, at, "right") - 1
+                wanted = np.unique(np.concatenate([(np.array(m, np.int64) | k << MARK + 1)
+                                                   for k, m in enumerate(marks[first:first + len(begins) - 1])]))
+                own = owner << MARK + 1 | mark << 1
+                gone, asked = np.isin(own, wanted), np.isin(own | 1, wanted)
+                out = []
+                if gone.any():
+                    spans = (at - begins[owner] - left)[gone] << NOTE | (left + ANCHOR + right)[gone]
+                    out.append((-1 - int(first), _pack([ids[first + owner[gone]], spans])))
+                at, bucket = at[asked], _bucket(seed[asked], buckets)
                 rows = np.zeros(len(at), shape)
-                rows["seed"], rows["doc"], rows["at"] = seed, ids[first + owner], at - begins[owner]
-                rows["left"] = np.minimum(rows["at"], reach)
-                rows["right"] = np.minimum(begins[owner + 1] - 1 - at - ANCHOR, reach)
+                rows["seed"], rows["doc"], rows["at"] = seed[asked], ids[first + owner[asked]], at - begins[owner[asked]]
+                rows["left"], rows["right"] = left[asked], right[asked]
                 wide = np.concatenate((np.zeros(reach, np.uint8), data, np.zeros(reach, np.uint8)))
                 rows["around"] = np.lib.stride_tricks.sliding_window_view(wide, 2 * reach + ANCHOR)[at]
                 _blank(rows, reach)
-                rows, _, spans = first_of_class(rows)
-                bucket = rows["seed"] >> np.uint64(11)
-                bucket = (bucket % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 rows, bucket = rows[order], bucket[order]
-                cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
-                out = [(int(bucket[a]), _pack([rows[f][a:b] for f in shape.names]))
-                       for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                if len(spans[0]):
-                    out.append((-1 - int(spans[0][0] % 1000), _pack(spans)))
-                yield pa.RecordBatch.from_pydict({"bucket": [o[0] for o in out], "payload": [o[1] for o in out]})
+                out += [(int(bucket[a]), _pack([rows[f][a:b] for f in shape.names])) for a, b in _cuts(bucket)
+                        if b > a]
+                if out:
+                    yield pa.RecordBatch.from_pydict({"bucket": [o[0] for o in out], "payload": [o[1] for o in out]})
     return run
 
 
@@ -241,8 +342,7 @@ def _found(length: int):
     shape = _shape(length)
     result = arrow_shape(SPANS)
 
-    def unpacked(payload: bytes) -> np.ndarray:
-        raw = zstandard.ZstdDecompressor().decompress(payload)
+    def unpacked(raw: bytes) -> np.ndarray:
         rows, at = np.zeros(len(raw) // shape.itemsize, shape), 0
         for name in shape.names:
             kind = shape[name]
@@ -255,15 +355,15 @@ def _found(length: int):
         held, bucket = [], None
         for batch in found:
             for key, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
+                raw = _unpack(payload)
                 if key < 0:
-                    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload.as_buffer()), np.int64)
-                    yield batch_of(np.split(raw, 2))
+                    yield batch_of(np.split(np.frombuffer(raw, np.int64), 2))
                     continue
                 if key != bucket and held:
                     yield from map(batch_of, repeated(np.concatenate(held), length))
                     held = []
                 bucket = key
-                held.append(unpacked(payload.as_buffer()))
+                held.append(unpacked(raw))
         if held:
             yield from map(batch_of, repeated(np.concatenate(held), length))
 
@@ -280,20 +380,33 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     `length` bytes that starts in a smaller document too; they overlap.
     """
     rows = texts(docs).where("doc_id is not null")
+    return _repeated_spans(rows, length)
+
+
+def _repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
-    packed = rows.mapInArrow(_packed(length, buckets), PACKED)
-    return (packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_found(length), SPANS))
+
+    def gathered(packed: DataFrame) -> DataFrame:
+        return packed.repartition("bucket").sortWithinPartitions("bucket")
+    marks = gathered(rows.mapInArrow(_digested(length, buckets), PACKED)).mapInArrow(_marked(), MARKS)
+    marks = stored(marks.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "anchor-marks")
+    packed = rows.join(marks.hint("shuffle_hash"), "doc_id").mapInArrow(_packed(length, buckets), PACKED)
+    return gathered(packed).mapInArrow(_found(length), SPANS)
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row.
 
     A null text counts as empty. A row without doc_id loses nothing. Rows that share a
-    doc_id are one document; neither is the smaller. Other columns are ignored.
+    doc_id are one document; neither is the smaller. Other columns are ignored. The text
+    is shuffled once: both joins by doc_id share the exchange.
     """
-    spans = repeated_spans(docs, length).distinct().groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    joined = texts(docs).join(spans.hint("shuffle_hash"), "doc_id", "left")
+    rows = texts(docs)
+    named = rows.where("doc_id is not null")
+    spans = _repeated_spans(named, length).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
+    joined = named.join(spans.hint("shuffle_hash"), "doc_id", "left") \
+        .unionByName(rows.where("doc_id is null").withColumn("spans", F.lit(None).cast("array<long>")))
 
     def work(doc_id, text, spans):
         out: dict[str, list] = {"doc_id": doc_id, "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
