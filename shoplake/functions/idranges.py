@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shoplake.operators.ordered import ordered_scan
 
-OPEN_END = 2 ** 53 - 1      # the largest id an open range reaches
+OPEN_END = 2 ** 63 - 1      # the largest id there is
 
 
 class RangeSyntaxError(ValueError):
@@ -65,13 +65,13 @@ def ranges_frame(spark: SparkSession, text: str | None) -> DataFrame:
 
 
 def merge_intervals(df: DataFrame, lo: str = "lo", hi: str = "hi", by: tuple[str, ...] = (),
-                    hot_rows: int | None = None) -> DataFrame:
+                    pieces: int | None = None) -> DataFrame:
     """Join overlapping or adjacent inclusive ranges per `by`."""
     keys = list(by)
     spans = df.select(*keys, lo, hi).distinct()
-    seen = ordered_scan(spans, keys, [lo, hi], peak_before={"_reach": hi}, hot_rows=hot_rows,
+    seen = ordered_scan(spans, keys, [lo, hi], peak_before={"_reach": hi}, pieces=pieces,
                         keep_segment=True)
-    opens = F.when(F.col("_reach").isNull() | (F.col(lo) > F.col("_reach") + 1), 1).otherwise(0)
+    opens = F.when(F.col("_reach").isNull() | (F.col(lo) > F.col("_reach")) & (F.col(lo) - 1 > F.col("_reach")), 1).otherwise(0)
     islands = ordered_scan(seen.withColumn("_opens", opens), keys, [lo, hi],
                            running={"_island": "_opens"}, presplit=True)
     return (islands.groupBy(*keys, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi))
@@ -79,26 +79,25 @@ def merge_intervals(df: DataFrame, lo: str = "lo", hi: str = "hi", by: tuple[str
 
 
 def in_ranges(df: DataFrame, ranges: DataFrame, key: str, lo: str = "lo", hi: str = "hi",
-              hot_rows: int | None = None) -> DataFrame:
+              pieces: int | None = None) -> DataFrame:
     """Rows whose key lies in any range row, for range lists of any length.
 
     Ranges are merged first; then the last range starting at or before each key is
     carried to it, so no key is compared with more than one range.
     """
     starts = merge_intervals(ranges.select(F.col(lo).alias("_lo"), F.col(hi).alias("_hi")),
-                             "_lo", "_hi", hot_rows=hot_rows)
+                             "_lo", "_hi", pieces=pieces)
     keys = df.select(F.col(key).alias("_at")).distinct()
     points = keys.select("_at", F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_hi"))
     marks = starts.select(F.col("_lo").cast(df.schema[key].dataType).alias("_at"),
                           F.lit(0).alias("_side"), "_hi")
     covered = (ordered_scan(points.unionByName(marks), [], ["_at", "_side"],
-                            filled={"_until": "_hi"}, hot_rows=hot_rows)
+                            filled={"_until": "_hi"}, pieces=pieces)
                .where((F.col("_side") == 1) & (F.col("_at") <= F.col("_until"))))
     return df.join(covered.select(F.col("_at").alias(key)), key, "left_semi").select(*df.columns)
 
 
 def range_size(ranges: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Ids covered by disjoint ranges; an open range saturates at OPEN_END."""
-    total = F.coalesce(F.sum((F.col(hi) - F.col(lo) + 1).cast("decimal(20,0)")), F.lit(0))
-    return ranges.agg(F.when(total > OPEN_END // 2, F.lit(OPEN_END)).otherwise(total)
-                      .cast("bigint").alias("ids"))
+    """Ids covered by disjoint ranges, as an exact decimal; an open range ends at OPEN_END."""
+    size = F.col(hi).cast("decimal(20,0)") - F.col(lo).cast("decimal(20,0)") + 1
+    return ranges.agg(F.coalesce(F.sum(size), F.lit(0)).cast("decimal(38,0)").alias("ids"))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplake.functions.scalars import latency_ms, price_band, ratio, sum_money
-from shoplake.model import ORDER_STATUSES
 from shoplake.operators.ordered import exact_quantiles
 from shoplake.operators.sets import union_shards
 
@@ -19,14 +18,18 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
                           for name, t in tables.items()])
 
 
+NO_STATUS = "(none)"
+
+
 def status_distribution(orders: DataFrame) -> DataFrame:
     return orders.groupBy("order_status").agg(F.count(F.lit(1)).alias("orders"))
 
 
 def status_distribution_map(orders: DataFrame) -> DataFrame:
-    """The distribution as one map; only known statuses, so the map stays small."""
-    counted = status_distribution(orders.where(F.col("order_status").isin(*ORDER_STATUSES)))
-    pairs = F.sort_array(F.collect_list(F.struct("order_status", "orders")))
+    """The distribution as one map of all statuses that occur; a null one is named NO_STATUS."""
+    counted = status_distribution(orders)
+    named = F.coalesce("order_status", F.lit(NO_STATUS)).alias("order_status")
+    pairs = F.sort_array(F.collect_list(F.struct(named, "orders")))
     return counted.agg(F.map_from_entries(pairs).alias("status_distribution"))
 
 
@@ -58,12 +61,12 @@ def order_totals(items: DataFrame) -> DataFrame:
             .withColumn("total_amount", F.col("subtotal") - F.col("discount_amount")))
 
 
-def latency_stats(probes: DataFrame, range_size: int, hot_rows: int | None = None) -> DataFrame:
+def latency_stats(probes: DataFrame, range_size: int, pieces: int | None = None) -> DataFrame:
     """P50, P95 and max of sink time less the writer's clock, per id range; exact."""
     timed = probes.select((F.floor(F.col("id") / range_size) * range_size).alias("id_from"),
                           latency_ms("sink_time", "create_time_ms").alias("ms"))
     tops = timed.groupBy("id_from").agg(F.count(F.lit(1)).alias("probes"), F.max("ms").alias("max_ms"))
-    middle = exact_quantiles(timed, ["id_from"], "ms", {"p50_ms": 0.5, "p95_ms": 0.95}, hot_rows)
+    middle = exact_quantiles(timed, ["id_from"], "ms", {"p50_ms": 0.5, "p95_ms": 0.95}, pieces)
     return tops.join(middle, "id_from")
 
 
@@ -111,14 +114,14 @@ def ratio_of_sums(df: DataFrame, by: list[str], top: str, bottom: str, name: str
     return df.groupBy(*by).agg(ratio(F.sum(top), F.sum(bottom)).alias(name))
 
 
-def duration_stats(acc: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def duration_stats(acc: DataFrame, pieces: int | None = None) -> DataFrame:
     """Average, P50 and P95 of the three stage durations, in seconds."""
     stages = {"pay": "pay_sec", "ship": "ship_sec", "complete": "complete_sec"}
     pairs = F.array(*[F.struct(F.lit(s).alias("stage"), F.col(c).alias("sec")) for s, c in stages.items()])
     long = (acc.select(F.explode(pairs).alias("_p")).select("_p.*").where(F.col("sec").isNotNull()))
     means = long.groupBy("stage").agg(F.count(F.lit(1)).alias("orders"),
                                       ratio(F.sum("sec"), F.count("sec")).alias("avg_sec"))
-    middle = exact_quantiles(long, ["stage"], "sec", {"p50_sec": 0.5, "p95_sec": 0.95}, hot_rows)
+    middle = exact_quantiles(long, ["stage"], "sec", {"p50_sec": 0.5, "p95_sec": 0.95}, pieces)
     return means.join(middle, "stage")
 
 

@@ -32,17 +32,17 @@ def latest_per_key(df: DataFrame, keys: list[str], seq: list[str],
 
 
 def number_rows(log: DataFrame, order: list[str], name: str = "order_no",
-                hot_rows: int | None = None) -> DataFrame:
+                pieces: int | None = None) -> DataFrame:
     """Global 1-based position in `order`, without a single-task window."""
-    return ordered_scan(log, [], order, number=name, hot_rows=hot_rows)
+    return ordered_scan(log, [], order, number=name, pieces=pieces)
 
 
 def collapse_per_chunk(log: DataFrame, n: int, key: str = "product_id",
                        order: tuple[str, str] = ("change_time", "change_id"),
-                       hot_rows: int | None = None) -> DataFrame:
+                       pieces: int | None = None) -> DataFrame:
     """Only the last change of a product within every n-row chunk of the log."""
     at = list(order)
-    numbered = number_rows(log, at, "_no", hot_rows)
+    numbered = number_rows(log, at, "_no", pieces)
     chunked = numbered.withColumn("chunk_no", F.floor((F.col("_no") - 1) / n).cast("bigint"))
     rest = [c for c in log.columns if c != key]
     return (chunked.groupBy("chunk_no", key)
@@ -51,19 +51,19 @@ def collapse_per_chunk(log: DataFrame, n: int, key: str = "product_id",
 
 
 def out_of_order(log: DataFrame, key: str = "product_id", time: str = "change_time",
-                 tie: str = "change_id", hot_rows: int | None = None) -> DataFrame:
+                 tie: str = "change_id", pieces: int | None = None) -> DataFrame:
     """Rows whose time does not lie strictly after the previous change of the key."""
-    seen = ordered_scan(log, [key], [time, tie], previous={"prev_time": time}, hot_rows=hot_rows)
+    seen = ordered_scan(log, [key], [time, tie], previous={"prev_time": time}, pieces=pieces)
     return seen.where(F.col("prev_time").isNotNull() & (F.col(time) <= F.col("prev_time")))
 
 
 def suppress_noop(log: DataFrame, key: str, values: list[str], order: list[str],
-                  hot_rows: int | None = None, keep_segment: bool = False) -> DataFrame:
+                  pieces: int | None = None, keep_segment: bool = False) -> DataFrame:
     """Drop rows that repeat the previous value(s) of their key; the first row stays."""
     marked = log.withColumns({f"_v_{v}": F.col(v) for v in values}).withColumn("_seen", F.lit(1))
     before = {f"_p_{v}": v for v in values}
     seen = ordered_scan(marked, [key], order, previous={**before, "_p_seen": "_seen"},
-                        hot_rows=hot_rows, keep_segment=keep_segment)
+                        pieces=pieces, keep_segment=keep_segment)
     moved = F.lit(False)
     for v in values:
         moved = moved | ~F.col(f"_p_{v}").eqNullSafe(F.col(v))
@@ -73,17 +73,17 @@ def suppress_noop(log: DataFrame, key: str, values: list[str], order: list[str],
 
 def derive_old_value(log: DataFrame, key: str = "product_id", new: str = "new_price",
                      old: str = "old_price", order: tuple[str, ...] = ("change_time", "change_id"),
-                     hot_rows: int | None = None) -> DataFrame:
+                     pieces: int | None = None) -> DataFrame:
     """Rebuild the before-value of each change; the first version has none."""
-    return ordered_scan(log, [key], list(order), previous={old: new}, hot_rows=hot_rows)
+    return ordered_scan(log, [key], list(order), previous={old: new}, pieces=pieces)
 
 
 def bracket_changes(upserts: DataFrame, keys: list[str], seq: str,
-                    hot_rows: int | None = None) -> DataFrame:
+                    pieces: int | None = None) -> DataFrame:
     """Latest-state rows -> change rows: I for a new key, else UB (before) and UA (after)."""
     rest = [c for c in upserts.columns if c not in keys]
     packed = upserts.select(*keys, F.col(seq).alias("_seq"), F.struct(*rest).alias("_now"))
-    paired = ordered_scan(packed, keys, ["_seq"], previous={"_was": "_now"}, hot_rows=hot_rows)
+    paired = ordered_scan(packed, keys, ["_seq"], previous={"_was": "_now"}, pieces=pieces)
     kind = packed.schema["_now"].dataType
 
     def event(op: str, row: Column) -> Column:
@@ -198,22 +198,22 @@ def event_counters(log: DataFrame, entity: str = "entity", op: str = "op") -> Da
     return log.groupBy(entity, op).agg(F.count(F.lit(1)).alias("events"))
 
 
-def chunk_stats(log: DataFrame, products: DataFrame, n: int, hot_rows: int | None = None) -> DataFrame:
+def chunk_stats(log: DataFrame, products: DataFrame, n: int, pieces: int | None = None) -> DataFrame:
     """Replay counts per chunk: rows read, rows that move a price, rows that change nothing.
 
     A chunk applies the last change of each product; it moves a row when the value
     differs from the one left by the chunk before (at first: the product's price).
     """
-    last = collapse_per_chunk(log, n, hot_rows=hot_rows)
+    last = collapse_per_chunk(log, n, pieces=pieces)
     seen = ordered_scan(last, ["product_id"], ["chunk_no"], previous={"_before": "new_price"},
-                        hot_rows=hot_rows)
+                        pieces=pieces)
     base = products.select("product_id", F.col("price").alias("_start"))
     applied = seen.join(base, "product_id", "left")
     was = F.coalesce("_before", "_start")
     updated = F.count_if(was.isNotNull() & (was != F.col("new_price")))
     applied = applied.groupBy("chunk_no").agg(
         F.count(F.lit(1)).alias("products"), updated.alias("updated"))
-    rows = (number_rows(log, ["change_time", "change_id"], "_no", hot_rows)
+    rows = (number_rows(log, ["change_time", "change_id"], "_no", pieces)
             .groupBy(F.floor((F.col("_no") - 1) / n).cast("bigint").alias("chunk_no"))
             .agg(F.count(F.lit(1)).alias("processed")))
     return (rows.join(applied, "chunk_no")

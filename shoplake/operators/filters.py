@@ -54,9 +54,10 @@ def project(df: DataFrame, columns: list[str]) -> DataFrame:
 def incremental_read(df: DataFrame, since: str) -> DataFrame:
     """Rows changed after a high-water mark.
 
-    A logical delete stamps deleted_time but not update_time, so both count.
+    A logical delete stamps deleted_time but not update_time, so both count; either test
+    reaches the scan.
     """
-    return df.where(F.greatest("update_time", "deleted_time") > moment(since))
+    return df.where((F.col("update_time") > moment(since)) | (F.col("deleted_time") > moment(since)))
 
 
 def set_when(df: DataFrame, condition: Column, assignments: dict[str, Column]) -> DataFrame:
@@ -131,8 +132,8 @@ def pool(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 
 def pick_n_per_group(df: DataFrame, by: list[str], n: int, key: str, seed: int = 0,
-                     hot_rows: int | None = None) -> DataFrame:
+                     pieces: int | None = None) -> DataFrame:
     """n rows of each group without replacement, repeatable for a seed."""
     drawn = df.withColumn("_draw", _draw(key, seed))
-    ranked = ordered_scan(drawn, by, ["_draw", key], number="_nr", hot_rows=hot_rows)
+    ranked = ordered_scan(drawn, by, ["_draw", key], number="_nr", pieces=pieces)
     return ranked.where(F.col("_nr") <= n).drop("_draw", "_nr")

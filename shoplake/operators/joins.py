@@ -68,7 +68,7 @@ def price_snapshot_vs_current(items: DataFrame, products: DataFrame) -> DataFram
 
 
 def anchor_probe(df: DataFrame, anchors: DataFrame, k: int, key: str = "order_id",
-                 hot_rows: int | None = None) -> DataFrame:
+                 pieces: int | None = None) -> DataFrame:
     """For each anchor the first k qualifying keys at or above it.
 
     Keys and anchors are merged in order once. Only the first k keys after an anchor
@@ -79,7 +79,7 @@ def anchor_probe(df: DataFrame, anchors: DataFrame, k: int, key: str = "order_id
     merged = (df.select(F.col(key).cast("bigint").alias("_at")).distinct()
               .withColumns({"_side": F.lit(1), "_is_key": F.lit(1)})
               .unionByName(points.withColumns({"_side": F.lit(0), "_is_key": F.lit(0)})))
-    counted = ordered_scan(merged, [], ["_at", "_side"], running={"_nr": "_is_key"}, hot_rows=hot_rows)
+    counted = ordered_scan(merged, [], ["_at", "_side"], running={"_nr": "_is_key"}, pieces=pieces)
     starts = counted.where(F.col("_side") == 0).select(F.col("_at").alias("anchor"), F.col("_nr").alias("_start"))
     wanted = (starts.select("anchor", "_start", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("probe_no"))
               .withColumn("_nr", F.col("_start") + F.col("probe_no")))

@@ -1,15 +1,13 @@
-"""Ordered scans that stay balanced when one key owns a large share of the rows.
-
-A plain window puts every row of a key into one task. Here row counts per key are
-taken first (one pre-aggregated pass over the key columns). When no key is above
-`hot_rows` the plain window is used. Otherwise the hot keys are cut into contiguous
-segments; windows run per (key, segment) and a small per-segment summary carries
-state over the cuts. Other keys keep a single segment.
-
-The cut points come from a hash sample of the hot keys' own order columns, about one
-per `hot_rows` rows. They only decide where a key is split; every row is kept and
-results are exact. The sample is a pure function of the data, so recomputed tasks
-agree with it.
+"""Ordered scans that stay balanced whatever share of the rows a key owns.
+
+There is one plan for all sizes. Rows are range-partitioned by key, order and a hash of
+the row, so a heavy key, null keys, ties and a table without key columns all spread over
+the partitions. The partition number is kept as a segment, and the result is stored in
+the shared scratch folder: later steps, and tasks run again, see the same segments.
+Windows then run per (key, segment).
+
+Only the first and last key of a segment can go on in another one. A summary of these
+rows, at most a few per segment, carries state over the cuts. Results are exact.
 """
 
 from __future__ import annotations
@@ -18,69 +16,29 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-HOT_ROWS = 4_000_000        # rows of one key that one task may sort
-MAX_HOT_KEYS = 100_000      # any further key holds under 1/100,000 of the rows
-MAX_SEGMENTS = 2 ** 16      # pieces of one key
-OVERSAMPLE = 16             # sampled rows per piece
+from shoplake.session import scratch_dir
 
 SEGMENT = "_segment"
-_UNSPLIT = -1
 
 
-def _position(cuts: Column, at: Column) -> Column:
-    """How many sorted cut points are <= `at`, by binary search."""
-    halves = []
-    step = MAX_SEGMENTS // 2
-    while step:
-        halves.append(F.lit(step))
-        step //= 2
-    return F.aggregate(
-        F.array(*halves), F.lit(0),
-        lambda found, half: F.when(F.get(cuts, found + half - 1) <= at, found + half).otherwise(found))
+def in_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int | None = None) -> DataFrame:
+    """`df` stored in range partitions of (keys, order), numbered in `_segment`.
 
+    `pieces` sets their number; by default it is the session's, fewer for little data.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if not _has_map(f.dataType)]
+    by = [*[F.col(c) for c in [*keys, *order]], F.xxhash64(*hashed)]
+    ranged = df.repartitionByRange(pieces, *by) if pieces else df.repartitionByRange(*by)
+    placed = ranged.withColumn(SEGMENT, F.spark_partition_id())
+    path = scratch_dir(df.sparkSession, "ordered")
+    placed.write.parquet(path)
+    return df.sparkSession.read.schema(placed.schema).parquet(path)
 
-def split_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   hot_rows: int | None = None) -> DataFrame:
-    """Add `_segment`: -1 for ordinary keys, 0.. in key order for hot ones.
 
-    Without hot keys the frame comes back as it is. With no key columns the whole
-    frame is one key. The broadcast is bounded: at most MAX_HOT_KEYS keys with at most
-    (rows / hot_rows) cut points in all, some 10 MB for 10^12 rows. Key columns are
-    not null.
-    """
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    keys = list(keys)
-    at = F.struct(*[F.col(c) for c in order])
-    narrow = df.select(*keys, *[c for c in order if c not in keys])
-    if keys:
-        sized = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-                 .where(F.col("_rows") > limit))
-        if sized.count() == 0:
-            return df
-        top = sized.orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS)
-        hot = narrow.join(F.broadcast(top), keys)
-    else:
-        rows = df.count()
-        if rows <= limit:
-            return df
-        hot = narrow.withColumn("_rows", F.lit(rows))
-    pieces = F.least(F.lit(MAX_SEGMENTS), F.ceil(F.col("_rows") / F.lit(limit)))
-    every = F.greatest(F.lit(1), F.floor(F.col("_rows") / (pieces * OVERSAMPLE)))
-    picked = (hot.where(F.pmod(F.xxhash64(*order), every) == 0)
-              .groupBy(*keys)
-              .agg(F.sort_array(F.collect_set(at)).alias("_sample"), F.max(pieces).alias("_pieces")))
-    stride = F.ceil(F.size("_sample") / F.col("_pieces"))
-    cuts = picked.select(*keys, F.filter(
-        "_sample", lambda x, i: (i > 0) & (i % stride == 0)).alias("_cuts"))
-    if keys:
-        placed = df.join(F.broadcast(cuts), keys, "left")
-    else:
-        placed = df.withColumn("_cuts", cuts.scalar())
-    return (placed
-            .withColumn(SEGMENT, F.when(F.col("_cuts").isNotNull(), _position(F.col("_cuts"), at))
-                        .otherwise(F.lit(_UNSPLIT)))
-            .drop("_cuts"))
+def _has_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString()
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
@@ -90,7 +48,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                  peak_before: Mapping[str, str] | None = None,
                  filled: Mapping[str, str] | None = None,
                  number: str | None = None,
-                 hot_rows: int | None = None,
+                 pieces: int | None = None,
                  keep_segment: bool = False, presplit: bool = False) -> DataFrame:
     """Add order-dependent columns per key, ascending by `order` (nulls first).
 
@@ -104,11 +62,10 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     keys, order = list(keys), list(order)
     previous, following = dict(previous or {}), dict(following or {})
     running, peak_before, filled = dict(running or {}), dict(peak_before or {}), dict(filled or {})
-    base = df if presplit else split_hot_keys(df, keys, order, hot_rows)
-    split = SEGMENT in base.columns
+    base = df if presplit else in_segments(df, keys, order, pieces)
     types = dict(df.dtypes)
 
-    w = Window.partitionBy(*keys, *([SEGMENT] if split else [])).orderBy(*order)
+    w = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     at = F.struct(*[F.col(c) for c in order])
@@ -121,7 +78,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     earlier = by_segment.rowsBetween(Window.unboundedPreceding, -1)
 
     def over_cuts(name: str) -> Column:
-        return F.coalesce(F.col(name), F.col(f"{name}_carry")) if split else F.col(name)
+        return F.coalesce(F.col(name), F.col(f"{name}_carry"))
 
     def neighbours(side: Mapping[str, str], tag: str, step, pick, jump) -> None:
         if not side:
@@ -142,15 +99,12 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         carry.append(F.sum(src).alias(f"_run_{out}_edge"))
         shift.append(F.sum(f"_run_{out}_edge").over(earlier).alias(f"_run_{out}_carry"))
         zero = F.lit(0).cast("bigint" if wide == "bigint" else wide)
-        final[out] = F.coalesce(F.col(f"_run_{out}"), zero)
-        if split:
-            final[out] = final[out] + F.coalesce(F.col(f"_run_{out}_carry"), zero)
+        final[out] = F.coalesce(F.col(f"_run_{out}"), zero) + F.coalesce(F.col(f"_run_{out}_carry"), zero)
     for out, src in peak_before.items():
         local.append(F.max(src).over(before).alias(f"_peak_{out}"))
         carry.append(F.max(src).alias(f"_peak_{out}_edge"))
         shift.append(F.max(f"_peak_{out}_edge").over(earlier).alias(f"_peak_{out}_carry"))
-        final[out] = (F.greatest(F.col(f"_peak_{out}"), F.col(f"_peak_{out}_carry")) if split
-                      else F.col(f"_peak_{out}"))
+        final[out] = F.greatest(F.col(f"_peak_{out}"), F.col(f"_peak_{out}_carry"))
     for out, src in filled.items():
         local.append(F.last(src, ignorenulls=True).over(upto).alias(f"_fill_{out}"))
         carry.append(F.max_by(F.col(src), F.when(F.col(src).isNotNull(), at)).alias(f"_fill_{out}_edge"))
@@ -160,23 +114,37 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         local.append(F.row_number().over(w).cast("bigint").alias("_nr"))
         carry.append(F.count(F.lit(1)).alias("_nr_edge"))
         shift.append(F.sum("_nr_edge").over(earlier).alias("_nr_carry"))
-        final[number] = F.col("_nr") + (F.coalesce(F.col("_nr_carry"), F.lit(0)) if split else 0)
+        final[number] = F.col("_nr") + F.coalesce(F.col("_nr_carry"), F.lit(0))
 
     scanned = base.select("*", *local)
     kept = [F.col(c) for c in df.columns if c not in final and c != SEGMENT]
-    if split and keep_segment:
+    if keep_segment:
         kept.append(F.col(SEGMENT))
     result = [*kept, *[expr.alias(out) for out, expr in final.items()]]
-    if not split:
-        return scanned.select(*result)
-    edges = (base.where(F.col(SEGMENT) > _UNSPLIT)
-             .groupBy(*keys, SEGMENT).agg(*carry)
-             .select(*keys, SEGMENT, *shift))
-    return scanned.join(edges, [*keys, SEGMENT], "left").select(*result)
+    edges = (_end_rows(base, keys).groupBy(*keys, SEGMENT).agg(*carry)
+             .select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col(SEGMENT).alias("_at_segment"), *shift))
+    same = F.col(SEGMENT) == F.col("_at_segment")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    # at most two keys per segment, so the summary is bounded by the number of partitions
+    return scanned.join(F.broadcast(edges), same, "left").select(*result)
+
+
+def _end_rows(base: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the keys that are first or last in some segment; all rows where there are no keys."""
+    if not keys:
+        return base
+    key = F.struct(*[F.col(k).alias(f"_end{i}") for i, k in enumerate(keys)])
+    ends = (base.groupBy(SEGMENT).agg(F.array(F.min(key), F.max(key)).alias("_ends"))
+            .select(F.explode("_ends").alias("_end")).select("_end.*").distinct())
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_end{i}"))
+    return base.join(F.broadcast(ends), same, "left_semi")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
-                    hot_rows: int | None = None) -> DataFrame:
+                    pieces: int | None = None) -> DataFrame:
     """Exact interpolated quantiles per group, one column per entry of `probs`.
 
     Rows collapse to distinct values map-side; the positions are then found from
@@ -185,7 +153,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     by = list(by)
     counts = (df.where(F.col(value).isNotNull()).groupBy(*by, value)
               .agg(F.count(F.lit(1)).alias("_n")))
-    ranked = ordered_scan(counts, by, [value], running={"_upto": "_n"}, hot_rows=hot_rows)
+    ranked = ordered_scan(counts, by, [value], running={"_upto": "_n"}, pieces=pieces)
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     placed = ranked.join(totals, by) if by else ranked.withColumn("_total", totals.scalar())
     bounds = []

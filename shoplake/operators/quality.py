@@ -52,8 +52,8 @@ def orphans_both_ways(orders: DataFrame, items: DataFrame) -> DataFrame:
     return lost.unionByName(empty)
 
 
-def time_not_increasing(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    return out_of_order(log, hot_rows=hot_rows)
+def time_not_increasing(log: DataFrame, pieces: int | None = None) -> DataFrame:
+    return out_of_order(log, pieces=pieces)
 
 
 def replay_completeness(expected: DataFrame, processed: DataFrame, key: str) -> DataFrame:
@@ -93,26 +93,26 @@ def milestone_order(orders: DataFrame) -> DataFrame:
     return checked.where((F.col("not_in_order") == 1) | (F.col("status_mismatch") == 1))
 
 
-def version_coverage(items: DataFrame, scd2: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def version_coverage(items: DataFrame, scd2: DataFrame, pieces: int | None = None) -> DataFrame:
     """Share of lines that find a price version."""
-    hit = scd2_join(items, scd2, hot_rows=hot_rows)
+    hit = scd2_join(items, scd2, pieces=pieces)
     found = F.count("version_no")
     return hit.agg(F.count(F.lit(1)).alias("lines"), found.alias("matched"),
                    ratio(found, F.count(F.lit(1))).alias("coverage"))
 
 
-def price_chain_breaks(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def price_chain_breaks(log: DataFrame, pieces: int | None = None) -> DataFrame:
     """Changes whose old price is not the price left by the change before."""
     seen = ordered_scan(log, ["product_id"], ["change_time", "change_id"],
-                        previous={"prev_price": "new_price", "_prev_id": "change_id"}, hot_rows=hot_rows)
+                        previous={"prev_price": "new_price", "_prev_id": "change_id"}, pieces=pieces)
     return seen.where(F.col("_prev_id").isNotNull()
                       & ~F.col("old_price").eqNullSafe(F.col("prev_price"))).drop("_prev_id")
 
 
 def scd2_breaks(scd2: DataFrame, key: str = "product_id", start: str = "price_start_time",
-                end: str = "price_end_time", hot_rows: int | None = None) -> DataFrame:
+                end: str = "price_end_time", pieces: int | None = None) -> DataFrame:
     """Keys with gaps, overlaps, or not exactly one current version."""
-    seen = ordered_scan(scd2, [key], [start], following={"_next": start}, hot_rows=hot_rows)
+    seen = ordered_scan(scd2, [key], [start], following={"_next": start}, pieces=pieces)
     until = F.col(end)
     flags = seen.groupBy(key).agg(
         F.count_if(F.col("_next").isNotNull() & (until < F.col("_next"))).alias("gaps"),
@@ -122,9 +122,9 @@ def scd2_breaks(scd2: DataFrame, key: str = "product_id", start: str = "price_st
 
 
 def unit_price_mismatch(items: DataFrame, log: DataFrame, products: DataFrame,
-                        granularity: str = "second", hot_rows: int | None = None) -> DataFrame:
+                        granularity: str = "second", pieces: int | None = None) -> DataFrame:
     """Lines whose stored unit price is not the price in force then."""
-    priced = price_at(items, log, products, granularity=granularity, hot_rows=hot_rows)
+    priced = price_at(items, log, products, granularity=granularity, pieces=pieces)
     return priced.where(~F.col("unit_price").eqNullSafe(F.col("asof_price")))
 
 
@@ -136,7 +136,7 @@ def current_price_mismatch(products: DataFrame, log: DataFrame) -> DataFrame:
             .where(~F.col("price").eqNullSafe(F.col("last_price"))))
 
 
-def stock_gap(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def stock_gap(log: DataFrame, pieces: int | None = None) -> DataFrame:
     """Per product: last recorded level against the sum of deltas.
 
     Recorded levels are clipped at zero and deltas are not, so a gap is a finding to
@@ -192,9 +192,9 @@ def rate_check(probes: DataFrame, target_rate: float, tolerance: float = 0.05) -
 
 
 def update_time_regressions(log: DataFrame, key: str, seq: str, time: str = "update_time",
-                            hot_rows: int | None = None) -> DataFrame:
+                            pieces: int | None = None) -> DataFrame:
     """Rows whose update time is before that of the key's previous row in source order."""
-    seen = ordered_scan(log, [key], [seq], previous={"prev_time": time}, hot_rows=hot_rows)
+    seen = ordered_scan(log, [key], [seq], previous={"prev_time": time}, pieces=pieces)
     return seen.where(F.col(time) < F.col("prev_time"))
 
 
@@ -207,6 +207,6 @@ def grid_coverage(mart: DataFrame, a: str, b: str) -> DataFrame:
         "complete", F.when(F.col("missing") == 0, 1).otherwise(0))
 
 
-def stock_trail(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def stock_trail(log: DataFrame, pieces: int | None = None) -> DataFrame:
     """Each recorded level beside the running delta, for reading a gap row by row."""
-    return running_stock(log, hot_rows)
+    return running_stock(log, pieces)

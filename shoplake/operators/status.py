@@ -21,19 +21,19 @@ def is_valid_step(old: Column, new: Column) -> Column:
 
 
 def transitions(log: DataFrame, key: str = "order_id", seq: str = "seq",
-                hot_rows: int | None = None) -> DataFrame:
+                pieces: int | None = None) -> DataFrame:
     """(from, to, valid) for every row of a status log."""
-    seen = ordered_scan(log, [key], [seq], previous={"from_status": "status"}, hot_rows=hot_rows)
+    seen = ordered_scan(log, [key], [seq], previous={"from_status": "status"}, pieces=pieces)
     return seen.withColumnRenamed("status", "to_status").withColumn(
         "valid", F.when(is_valid_step(F.col("from_status"), F.col("to_status")), 1).otherwise(0))
 
 
 def order_trace(log: DataFrame, ids: str, key: str = "order_id", seq: str = "seq",
-                hot_rows: int | None = None) -> DataFrame:
+                pieces: int | None = None) -> DataFrame:
     """Numbered status steps of chosen orders, one row per step."""
     chosen = log.where(id_range_filter(ids, key))
     return ordered_scan(chosen, [key], [seq], previous={"from_status": "status"},
-                        number="step_no", hot_rows=hot_rows)
+                        number="step_no", pieces=pieces)
 
 
 def milestones(log: DataFrame, key: str = "order_id", ts: str = "ts") -> DataFrame:

@@ -9,13 +9,13 @@ from shoplake.operators.ordered import ordered_scan
 
 
 def floored_levels(changes: DataFrame, opening: str, delta: str, key: str, order: list[str],
-                   name: str = "level", hot_rows: int | None = None) -> DataFrame:
+                   name: str = "level", pieces: int | None = None) -> DataFrame:
     """Level after each change when it can never fall below zero.
 
     With S the unclipped running level, the clipped one is S plus the largest amount
     by which S has been below zero so far. Exact for any mix of signs.
     """
-    summed = ordered_scan(changes, [key], order, running={"_sum": delta}, hot_rows=hot_rows,
+    summed = ordered_scan(changes, [key], order, running={"_sum": delta}, pieces=pieces,
                           keep_segment=True)
     raw = F.col(opening) + F.col("_sum")
     short = summed.withColumn("_raw", raw).withColumn("_short", -F.col("_raw"))
@@ -24,20 +24,21 @@ def floored_levels(changes: DataFrame, opening: str, delta: str, key: str, order
     return seen.withColumn(name, (F.col("_raw") + lift).cast("int")).drop("_sum", "_raw", "_short", "_worst")
 
 
-def deduct_stock(products: DataFrame, lines: DataFrame, hot_rows: int | None = None
+def deduct_stock(products: DataFrame, lines: DataFrame, pieces: int | None = None
                  ) -> tuple[DataFrame, DataFrame]:
     """Take ordered pieces out of stock, never below zero.
 
     `lines` has product_id, order_id, order_time, quantity. Returns the products and
     one ORDER_DEDUCT row per (order, product): delta is the full quantity, stock_after
-    the floored level.
+    the floored level. A product that is not listed has no stock.
     """
     taken = lines.groupBy("product_id", "order_id").agg(
         F.sum("quantity").cast("int").alias("_qty"), F.min("order_time").alias("change_time"))
-    opened = (taken.join(products.select("product_id", F.col("stock").alias("_open")), "product_id")
+    opened = (taken.join(products.select("product_id", F.col("stock").alias("_open")), "product_id", "left")
+              .withColumn("_open", F.coalesce("_open", F.lit(0)))
               .withColumn("delta", -F.col("_qty")))
     levels = ordered_scan(opened, ["product_id"], ["change_time", "order_id"],
-                          running={"_out": "_qty"}, hot_rows=hot_rows)
+                          running={"_out": "_qty"}, pieces=pieces)
     log = levels.select(
         "product_id", "order_id", F.lit("ORDER_DEDUCT").alias("change_type"), "delta",
         F.greatest(F.col("_open") - F.col("_out"), F.lit(0)).cast("int").alias("stock_after"), "change_time")
@@ -49,10 +50,10 @@ def deduct_stock(products: DataFrame, lines: DataFrame, hot_rows: int | None = N
     return updated, log
 
 
-def running_stock(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def running_stock(log: DataFrame, pieces: int | None = None) -> DataFrame:
     """Cumulative delta beside the recorded level."""
     return ordered_scan(log, ["product_id"], ["change_time", "change_id"],
-                        running={"running_delta": "delta"}, hot_rows=hot_rows)
+                        running={"running_delta": "delta"}, pieces=pieces)
 
 
 def day_end_levels(log: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def top_k_categories(category_day: DataFrame, dt: str, k: int) -> DataFrame:
     return category_rank_day(one_day).where(F.col("rank") <= k)
 
 
-def quintiles(df: DataFrame, metrics: dict[str, str], key: str, hot_rows: int | None = None) -> DataFrame:
+def quintiles(df: DataFrame, metrics: dict[str, str], key: str, pieces: int | None = None) -> DataFrame:
     """Exact ntile(5) of each metric ({score: metric}), ties by key, without one big window.
 
     The rows at the four boundaries of each metric are found by an ordered scan that
@@ -55,7 +55,7 @@ def quintiles(df: DataFrame, metrics: dict[str, str], key: str, hot_rows: int |
     ends = [F.floor(total / 5) * i + F.least(F.lit(i), total % 5) for i in range(1, 5)]
     out = df
     for score, metric in metrics.items():
-        placed = ordered_scan(df.select(metric, key), [], [metric, key], number="_nr", hot_rows=hot_rows)
+        placed = ordered_scan(df.select(metric, key), [], [metric, key], number="_nr", pieces=pieces)
         at = F.struct(metric, key)
         edges = placed.agg(F.struct(*[F.max(F.when(F.col("_nr") == end, at)).alias(f"e{i}")
                                       for i, end in enumerate(ends)]))
@@ -74,12 +74,12 @@ def rfm_segment(r: Column, f: Column, m: Column) -> Column:
     return F.concat_ws(" ", value, kind)
 
 
-def user_rfm(lifetime: DataFrame, as_of: str, hot_rows: int | None = None) -> DataFrame:
+def user_rfm(lifetime: DataFrame, as_of: str, pieces: int | None = None) -> DataFrame:
     base = lifetime.select(
         "user_id", F.date_diff(F.lit(as_of).cast("date"), F.to_date("last_order_time")).alias("recency_days"),
         F.col("order_cnt").alias("frequency"), F.col("paid_amt").alias("monetary"))
     scored = quintiles(base, {"_r": "recency_days", "f_score": "frequency", "m_score": "monetary"},
-                       "user_id", hot_rows)
+                       "user_id", pieces)
     scored = scored.withColumn("r_score", F.lit(6) - F.col("_r"))
     return scored.select("user_id", "recency_days", "frequency", "monetary", "r_score", "f_score", "m_score",
                          rfm_segment(F.col("r_score"), F.col("f_score"), F.col("m_score")).alias("segment"))

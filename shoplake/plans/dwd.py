@@ -34,9 +34,9 @@ def dim_product(products: DataFrame) -> DataFrame:
 
 
 def dim_product_price_scd2(log: DataFrame, products: DataFrame, start: str,
-                           hot_rows: int | None = None) -> DataFrame:
+                           pieces: int | None = None) -> DataFrame:
     """Price versions of every product, closed from `start` by an opening version."""
-    return build_scd2(with_init_rows(log, products, start), hot_rows=hot_rows)
+    return build_scd2(with_init_rows(log, products, start), pieces=pieces)
 
 
 def fact_order_item(items: DataFrame, products: DataFrame) -> DataFrame:

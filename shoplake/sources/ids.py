@@ -9,12 +9,12 @@ from shoplake.operators.ordered import ordered_scan
 
 
 def assign_ids(df: DataFrame, order: list[str], name: str, after: DataFrame | None = None,
-               after_key: str | None = None, hot_rows: int | None = None) -> DataFrame:
+               after_key: str | None = None, pieces: int | None = None) -> DataFrame:
     """Number rows in `order`, continuing after the largest id of `after` (0 if empty).
 
     `order` must be unique, so that a recomputed task gives the same ids.
     """
-    numbered = ordered_scan(df, [], order, number="_nr", hot_rows=hot_rows)
+    numbered = ordered_scan(df, [], order, number="_nr", pieces=pieces)
     start = F.lit(0)
     if after is not None:
         start = after.agg(F.coalesce(F.max(after_key or name), F.lit(0))).scalar()

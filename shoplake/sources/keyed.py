@@ -25,7 +25,15 @@ class KeyedTable:
     seq: list[str]
 
     def append(self, batch: DataFrame, batch_id: int) -> None:
-        """Store a batch, reduced to its latest row per key; deletes stay as tombstones."""
+        """Store a batch, reduced to its latest row per key; deletes stay as tombstones.
+
+        A number that a snapshot has folded already can only be the same batch again. If it
+        was never stored, a new run has started counting anew, and reads would miss it: an error.
+        """
+        spark = batch.sparkSession
+        folded = self._finished(spark, "snapshot")
+        if folded and batch_id <= folded[-1] and batch_id not in self.batches(spark):
+            raise ValueError(f"batch {batch_id} is older than the snapshot up to {folded[-1]}; number batches onwards")
         latest = latest_per_key(batch.select(*self.schema.names), self.keys, self.seq, keep_deletes=True)
         latest.write.mode("overwrite").parquet(f"{self.path}/changes/batch_id={batch_id}")
 

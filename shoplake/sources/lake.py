@@ -63,10 +63,21 @@ def query_in_place(spark: SparkSession, path: str, schema: T.StructType | None =
 
 def mirror_table(spark: SparkSession, source: str, target: str, checkpoint: str,
                  schema: T.StructType | None = None) -> DataFrame:
-    """Serving path B: copy new files of the lake table into a mirror, then read that."""
+    """Serving path B: copy new files of the lake table into a mirror, then read that.
+
+    Only appended tables can be followed. If a file that was copied has gone, the table
+    was rewritten and its rows would come twice: an error. Mirror it into a new folder then.
+    """
     schema = schema or spark.read.parquet(source).schema
+    files = spark.read.schema(schema).parquet(source).select(F.input_file_name().alias("file")).distinct()
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}-files")
+    if marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        copied = spark.read.parquet(f"{checkpoint}-files").select("file").distinct()
+        if copied.join(files, "file", "left_anti").limit(1).count():
+            raise ValueError(f"{source} was rewritten after it was mirrored; mirror it into a new folder")
     query = (spark.readStream.schema(schema).parquet(source).writeStream.format("parquet")
              .option("path", target).option("checkpointLocation", checkpoint)
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
+    files.write.mode("append").parquet(f"{checkpoint}-files")
     return spark.read.schema(schema).parquet(target)

@@ -42,13 +42,13 @@ def append_sink(stream: DataFrame, path: str, checkpoint: str, every: str | None
 
 
 def stage_in_order(df: DataFrame, path: str, order: list[str], chunk: int,
-                   hot_rows: int | None = None) -> int:
+                   pieces: int | None = None) -> int:
     """Write rows as one folder per `chunk` rows in `order`, oldest chunk first.
 
     A file stream takes files by modification time, so reading the folder with one file
     per trigger replays the order. Chunks are written by one job each to keep times apart.
     """
-    numbered = ordered_scan(df, [], order, number="_nr", hot_rows=hot_rows)
+    numbered = ordered_scan(df, [], order, number="_nr", pieces=pieces)
     chunked = numbered.withColumn("_chunk", F.floor((F.col("_nr") - 1) / chunk).cast("int")).drop("_nr")
     whole = f"{path}/_ordered"
     chunked.repartition("_chunk").sortWithinPartitions(*order) \

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -46,17 +46,25 @@ def window_table(path: str) -> KeyedTable:
 
 
 def split_late(df: DataFrame, arrival: str, ts: str, delay_seconds: float,
-               hot_rows: int | None = None) -> DataFrame:
+               pieces: int | None = None) -> DataFrame:
     """Mark rows that arrive more than the delay behind the latest time seen before."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     seen = ordered_scan(df.withColumn("_us", micros), [], [arrival], peak_before={"_max": "_us"},
-                        hot_rows=hot_rows)
+                        pieces=pieces)
     edge = F.col("_max") - F.lit(int(delay_seconds * 1_000_000))
     return (seen.withColumn("late", F.when(F.col("_us") < edge, 1).otherwise(0)).drop("_us", "_max"))
 
 
 def dropped_by_watermark(query: StreamingQuery) -> int:
-    """Rows a finished query dropped for being late."""
+    """Rows a finished query dropped for being late.
+
+    Spark keeps the latest progress reports only. If some may be gone already, this is
+    an error and not a smaller number; raise spark.sql.streaming.numRecentProgressUpdates.
+    """
+    spark = SparkSession.getActiveSession()
+    kept = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100")) if spark else 100
+    if len(query.recentProgress) >= kept:
+        raise ValueError(f"only the last {kept} progress reports are kept; earlier drops are not counted")
     total = 0
     for progress in query.recentProgress:
         for state in progress["stateOperators"]:

@@ -36,7 +36,7 @@ def test_keyset_pages_lose_no_row(ties):
 
 def test_equal_times_are_reported(ties):
     assert rows(C.out_of_order(ties), "change_id") == [(5,)]
-    assert rows(Q.time_not_increasing(ties, hot_rows=2), "change_id") == [(5,)]
+    assert rows(Q.time_not_increasing(ties, pieces=2), "change_id") == [(5,)]
 
 
 def test_noops_are_dropped(spark):
@@ -66,7 +66,7 @@ def test_collapse_keeps_last_of_chunk(spark):
     log = price_log(spark, [(1, 1, "1.00", "ADJUST", T0), (2, 1, "2.00", "ADJUST", T1), (3, 2, "9.00", "ADJUST", T1),
                             (4, 1, "3.00", "ADJUST", T2), (5, 2, "8.00", "ADJUST", T3)])
     for hot in (None, 2):
-        got = C.collapse_per_chunk(log, 3, hot_rows=hot)
+        got = C.collapse_per_chunk(log, 3, pieces=hot)
         assert rows(got, "chunk_no", "product_id", "change_id") == [(0, 1, 2), (0, 2, 3), (1, 1, 4), (1, 2, 5)]
 
 
@@ -166,7 +166,7 @@ def test_ids_continue_and_are_contiguous(spark):
     new = spark.createDataFrame([(i % 3, i) for i in range(50)], "t int, k int")
     old = spark.createDataFrame([(7,), (9,)], "order_id long")
     for hot in (None, 6):
-        got = assign_ids(new, ["t", "k"], "order_id", after=old, hot_rows=hot).orderBy("t", "k").collect()
+        got = assign_ids(new, ["t", "k"], "order_id", after=old, pieces=hot).orderBy("t", "k").collect()
         assert [r["order_id"] for r in got] == list(range(10, 60))
     first = assign_ids(new, ["t", "k"], "order_id", after=old.limit(0))
     assert first.agg(F.min("order_id")).first()[0] == 1
@@ -183,7 +183,7 @@ def test_pools_and_picks_repeat(spark):
     a, b = O.pool(df, 10, "id", 3), O.pool(df.repartition(7), 10, "id", 3)
     assert rows(a, "id") == rows(b, "id") and a.count() == 10
     picks = O.pick_n_per_group(df, ["g"], 3, "id", seed=1)
-    again = O.pick_n_per_group(df, ["g"], 3, "id", seed=1, hot_rows=5)
+    again = O.pick_n_per_group(df, ["g"], 3, "id", seed=1, pieces=5)
     assert rows(picks, "g", "id") == rows(again, "g", "id")
     assert [r["count"] for r in picks.groupBy("g").count().collect()] == [3] * 4
 
@@ -193,7 +193,7 @@ def test_anchor_probe_against_brute_force(spark, hot):
     keys = [k for k in range(200) if k % 7 < 3]
     anchors = [0, 3, 50, 51, 120, 195, 199, 400]
     got = anchor_probe(spark.createDataFrame([(k,) for k in keys], "order_id long"),
-                       spark.createDataFrame([(a,) for a in anchors], "anchor long"), 5, hot_rows=hot)
+                       spark.createDataFrame([(a,) for a in anchors], "anchor long"), 5, pieces=hot)
     want = [(a, n, k) for a in anchors for n, k in enumerate([k for k in keys if k >= a][:5], 1)]
     assert rows(got) == sorted(want, key=repr)
 

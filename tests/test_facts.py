@@ -32,7 +32,7 @@ def test_floored_levels_with_mixed_signs(spark, hot):
         level = max(level + d, 0)
         want.append((i, level))
     log = spark.createDataFrame([(1, i, d, 5) for i, d in enumerate(deltas)], "k long, i int, d int, open int")
-    assert rows(K.floored_levels(log, "open", "d", "k", ["i"], hot_rows=hot), "i", "level") == want
+    assert rows(K.floored_levels(log, "open", "d", "k", ["i"], pieces=hot), "i", "level") == want
 
 
 @pytest.fixture(scope="module")
@@ -121,7 +121,7 @@ def test_latency_and_throughput(spark):
     probes = spark.range(1, 11).select("id", (F.lit(1_700_000_000_000) + F.col("id") * 500).alias("create_time_ms")) \
         .withColumn("sink_time", F.timestamp_millis(F.col("create_time_ms") + F.col("id") * 100).cast("timestamp_ntz"))
     for hot in (None, 3):
-        got = A.latency_stats(probes, 100, hot_rows=hot).withColumn("p95_ms", F.round("p95_ms", 6))
+        got = A.latency_stats(probes, 100, pieces=hot).withColumn("p95_ms", F.round("p95_ms", 6))
         assert rows(got) == [(0, 10, 1000, 550.0, 955.0)]
     run = A.throughput(probes, 2.0).first()
     assert (run["rows"], run["first_id"], run["last_id"], run["wall_sec"], run["off_target"]) == (10, 1, 10, 4.5, 1)
@@ -132,7 +132,7 @@ def test_latency_and_throughput(spark):
 def test_quintiles_equal_ntile(spark, n):
     df = spark.range(n).select(F.col("id").alias("user_id"), (F.pmod(F.xxhash64("id"), F.lit(4))).alias("v"))
     want = df.withColumn("q", F.ntile(5).over(Window.orderBy("v", "user_id")))
-    assert rows(ads.quintiles(df, {"q": "v"}, "user_id", hot_rows=20)) == rows(want)
+    assert rows(ads.quintiles(df, {"q": "v"}, "user_id", pieces=20)) == rows(want)
 
 
 def test_rank_share_and_divergence(spark):

@@ -37,8 +37,8 @@ def test_random_logs_give_closed_versions(spark, hot):
     start = dt.datetime(2024, 1, 1)
     data = [(i, rng.choice([1, 1, 1, 2, 3]), f"{rng.randint(1, 4)}.00", "ADJUST",
              str(start + dt.timedelta(minutes=rng.randint(0, 60)))) for i in range(200)]
-    scd2 = build_scd2(price_log(spark, data), hot_rows=hot)
-    assert Q.scd2_breaks(scd2, hot_rows=hot).count() == 0
+    scd2 = build_scd2(price_log(spark, data), pieces=hot)
+    assert Q.scd2_breaks(scd2, pieces=hot).count() == 0
     want = {}
     for change_id, product, price, _kind, at in sorted(data, key=lambda r: (r[4], r[0])):
         want.setdefault(product, {})[at] = price
@@ -78,7 +78,7 @@ def test_lookup_equals_interval_join(spark, hot):
     log = price_log(spark, [(i, rng.choice([1, 1, 2, 3]), f"{rng.randint(1, 30)}.00", "ADJUST", at()) for i in range(60)])
     facts = lines(spark, [(i, rng.choice([1, 1, 2, 4]), at()) for i in range(200)])
     scd2 = build_scd2(log)
-    got = scd2_join(facts, scd2, hot_rows=hot).select("item_id", "version_price", "version_no")
+    got = scd2_join(facts, scd2, pieces=hot).select("item_id", "version_price", "version_no")
     v = scd2.withColumnRenamed("product_id", "p")
     want = facts.join(v, (F.col("product_id") == F.col("p")) & (F.col("create_time") >= F.col("price_start_time"))
                       & (F.col("price_end_time").isNull() | (F.col("create_time") < F.col("price_end_time"))), "left") \

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shoplake.operators.ordered import exact_quantiles, ordered_scan, split_hot_keys
+from shoplake.operators.ordered import exact_quantiles, ordered_scan, in_segments
 
 
 @pytest.fixture(scope="module")
@@ -20,12 +20,12 @@ def log(spark):
     return spark.createDataFrame(rows, "k long, t int, id long, v int").cache()
 
 
-@pytest.mark.parametrize("hot_rows", [3, 150, 10_000])
+@pytest.mark.parametrize("pieces", [1, 3, 40])
 @pytest.mark.parametrize("keys", [["k"], []])
-def test_scan_equals_plain_window(log, keys, hot_rows):
+def test_scan_equals_plain_window(log, keys, pieces):
     got = ordered_scan(log, keys, ["t", "id"], previous={"pv": "v", "pid": "id"},
                        following={"nid": "id"}, running={"sv": "v"}, peak_before={"mv": "v"},
-                       filled={"fv": "v"}, number="rn", hot_rows=hot_rows)
+                       filled={"fv": "v"}, number="rn", pieces=pieces)
     w = Window.partitionBy(*keys).orderBy("t", "id")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     want = log.select(
@@ -39,19 +39,20 @@ def test_scan_equals_plain_window(log, keys, hot_rows):
         sorted(map(repr, want.select(*columns).collect()))
 
 
-def test_hot_key_is_cut_into_many_segments(log):
-    parts = split_hot_keys(log, ["k"], ["t", "id"], hot_rows=100)
-    sizes = {r["_segment"]: r["n"] for r in parts.where("k = 1").groupBy("_segment")
-             .agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    assert len(sizes) == -(-total // 100) and max(sizes.values()) <= 150
-    others = parts.where("k <> 1").select("_segment").distinct().collect()
-    assert [r[0] for r in others] == [-1]
+def test_heavy_keys_ties_and_nulls_are_cut(spark, log):
+    parts = in_segments(log, ["k"], ["t", "id"], pieces=10)
+    sizes = [r["n"] for r in parts.where("k = 1").groupBy("_segment").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 200
+    same = spark.range(2000).select(F.lit(None).cast("long").alias("k"), F.lit(1).alias("t"), "id")
+    sizes = [r["count"] for r in in_segments(same, ["k"], ["t"], pieces=8).groupBy("_segment").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 600
+    numbered = ordered_scan(same, ["k"], ["t"], number="n", pieces=8)
+    assert sorted(r["n"] for r in numbered.collect()) == list(range(1, 2001))
 
 
-@pytest.mark.parametrize("hot_rows", [5, 10_000])
-def test_exact_quantiles(log, hot_rows):
-    got = exact_quantiles(log, ["k"], "v", {"p50": 0.5, "p95": 0.95}, hot_rows=hot_rows)
+@pytest.mark.parametrize("pieces", [1, 5])
+def test_exact_quantiles(log, pieces):
+    got = exact_quantiles(log, ["k"], "v", {"p50": 0.5, "p95": 0.95}, pieces=pieces)
     want = log.groupBy("k").agg(F.percentile("v", 0.5).alias("p50"), F.percentile("v", 0.95).alias("p95"))
     a = {r["k"]: (round(r["p50"], 9), round(r["p95"], 9)) for r in got.collect()}
     b = {r["k"]: (round(r["p50"], 9), round(r["p95"], 9)) for r in want.collect()}

@@ -68,7 +68,7 @@ def test_late_rows_are_counted(spark, tmp_path, late_every):
     expected = 200 // late_every if late_every else 0
     assert split.where("late = 1").count() == expected
     assert windows.split_late(rows_in.withColumn("arrival", F.col("arrival") * 300 + F.col("id")), "arrival", "ts", 5,
-                              hot_rows=30).where("late = 1").count() == expected
+                              pieces=30).where("late = 1").count() == expected
     stream = feed(spark, rows_in, ["arrival", "id"], str(tmp_path / "in"), 20)
     table = windows.window_table(str(tmp_path / "w"))
     query = windows.window_stream(stream, "ts", "10 seconds", "5 seconds", table, str(tmp_path / "c"))
