@@ -141,74 +141,95 @@ def near_pairs(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
     return np.unpackbits(near.view(np.uint8), bitorder="little")[:len(x)].astype(bool)
 
 
-def group_links(group: np.ndarray, side: np.ndarray, prints: np.ndarray, ids: np.ndarray,
-                radius: int, closest: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links among rows sorted by group. A small group gives all its pairs. Of a larger one,
-    each linked set is a star; or, if `closest`, each row goes with the closest and the
-    first row before it."""
+def group_links(group: np.ndarray, side: np.ndarray, prints: np.ndarray, ids: np.ndarray, radius: int,
+                sets: ShingleSets | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among rows sorted by group, of near fingerprints and, if given, similar sets.
+    A small group gives all its pairs; each linked set of a larger one is a star."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
-    out = []
     small = np.repeat(sizes <= SMALL, sizes)
     for shift in range(1, SMALL):
         a = np.flatnonzero(small[shift:] & (group[shift:] == group[:-shift]))
-        mixed = np.repeat(np.maximum.reduceat(side, starts), sizes)[a] > 0      # two parts: compare across only
-        a = a[~mixed | (side[a] != side[a + shift])]
+        two = np.repeat(np.maximum.reduceat(side, starts), sizes)[a] > 0        # two parts: compare across only
+        a = a[~two | (side[a] != side[a + shift])]
         if not a.size:
             continue
         a = a[near_pairs(prints[a], prints[a + shift], radius)]
-        out.append((ids[a], ids[a + shift]))
+        if sets:
+            a = a[np.array([sets.similar(x, np.array([x + shift]))[0] for x in a], bool)]
+        yield ids[a], ids[a + shift]
     for g in np.flatnonzero(sizes > SMALL):
         part = slice(starts[g], starts[g] + sizes[g])
         p, i, s = prints[part], ids[part], side[part]
         cross = s.any()
         asked = np.flatnonzero(s == 0)
         held = np.flatnonzero(s == 1) if cross else asked
-        planes, label, picked = planes_of(p[held]), np.arange(len(p)), []
+        planes, label = planes_of(p[held]), np.arange(len(p))
         for at in range(0, len(asked), QUERIES):
             q = asked[at:at + QUERIES]
             near = near_lanes(p[q], planes, len(held), radius)
-            if closest:
-                pairs = [(row, held[lanes]) for row, lanes in zip(q, near, strict=True) if lanes.any()]
-                picked += [x for row, lanes in pairs for x in _closest(p, row, lanes[lanes < row] if not cross else lanes)]
-                continue
             for row in np.flatnonzero(near.any(axis=1)):
-                tied = np.unique(np.r_[label[q[row]], label[held[near[row]]]])
+                others = held[near[row]]
+                if sets:                        # sets are compared only where that may join two stars
+                    others = others[(label[others] != label[q[row]]) & (cross | (others > q[row]))]
+                    others = others[sets.similar(starts[g] + q[row], starts[g] + others)]
+                tied = np.unique(np.r_[label[q[row]], label[others]])
                 if len(tied) > 1:
                     label[np.isin(label, tied)] = tied[0]
         tied = np.flatnonzero(label != np.arange(len(p)))
-        out.append((i[tied], i[label[tied]]))
-        if picked:
-            x, y = np.array(picked).T
-            out.append((i[x], i[y]))
-    return out
-
-
-def _closest(prints: np.ndarray, row: int, lanes: np.ndarray) -> set[tuple[int, int]]:
-    if not len(lanes):
-        return set()
-    far = np.bitwise_count(prints[lanes] ^ prints[row]).sum(1)
-    return {(row, lanes[far.argmin()]), (row, lanes[0])}
-
-
-def _links(radius: int, width: int, closest: bool):
-    """Arrow task: rows sorted by block in, links out; a block may run over batches."""
+        yield i[tied], i[label[tied]]
+
+
+class ShingleSets:
+    """Sets of longs, one a row, as one array and its offsets; renumbered, so that a set is a row of flags."""
+
+    def __init__(self, column: pa.Array, similarity: float):
+        self.at, self.least = column.offsets.to_numpy(), similarity
+        self.values = column.values.to_numpy()
+        names, self.values = np.unique(self.values[self.at[0]:self.at[-1]], return_inverse=True)
+        self.at = self.at - self.at[0]
+        self.flags = np.zeros(len(names), bool)
+
+    def similar(self, row: int, others: np.ndarray) -> np.ndarray:
+        """Which of `others` have a Jaccard similarity to `row` of at least the bound."""
+        out = np.zeros(len(others), bool)
+        n, sizes = self.at[row + 1] - self.at[row], self.at[others + 1] - self.at[others]
+        fit = np.flatnonzero(np.minimum(n, sizes) >= self.least * np.maximum(n, sizes))
+        if len(fit):
+            mine = self.values[self.at[row]:self.at[row + 1]]
+            self.flags[mine] = True
+            hits = self.flags[np.concatenate([self.values[self.at[o]:self.at[o + 1]] for o in others[fit]])]
+            self.flags[mine] = False
+            common = np.add.reduceat(hits, np.r_[0, np.cumsum(sizes[fit])[:-1]], dtype=np.int64)
+            out[fit] = common >= self.least * (n + sizes[fit] - common)
+        return out
+
+
+def _links(radius: int, width: int, similarity: float | None = None):
+    """Arrow task: rows (block, side, id, fingerprint words, sets if `similarity` is given) sorted by block in,
+    links out; a block may run over batches."""
     def run(batches):
-        held = None
+        held = []
         for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3 + width)]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            cut = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0     # the last block may go on
-            ready, held = [x[:cut] for x in held], [x[cut:] for x in held]
-            if cut:
-                yield from emit(ready)
-        if held is not None and len(held[0]):
+            if not batch.num_rows:
+                continue
+            block = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(block, block[-1]))        # the last block may go on
+            if held and (cut or block[0] != held[0].column(0)[0].as_py()):
+                yield from emit([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield from emit([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+        if held:
             yield from emit(held)
 
-    def emit(rows):
-        group, side, ids = rows[:3]
-        prints = np.stack([r.astype(np.int64).view(np.uint64) for r in rows[3:]], axis=1)
-        for a, b in group_links(group, side, prints, ids, radius, closest):
+    def emit(batches):
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        group, side, ids, *prints = (rows.column(k).to_numpy() for k in range(3 + width))
+        prints = np.stack([r.astype(np.int64).view(np.uint64) for r in prints], axis=1)
+        sets = None if similarity is None else ShingleSets(rows.column(3 + width).chunk(0), similarity)
+        for a, b in group_links(group, side, prints, ids, radius, sets):
             if len(a):
                 yield pa.RecordBatch.from_pydict({"a": a, "b": b})
     return run
@@ -227,37 +248,23 @@ def _bands(radius: int, fp: Column) -> list[Column]:
     return keys
 
 
-def _sampled(tables: int, bits: int, prints: list[Column]) -> list[Column]:
-    """Keys of `tables` hash tables, each of `bits` places of the fingerprint."""
-    dice, keys = np.random.default_rng(SEED), []
-    for t in range(tables):
-        places = dice.choice(64 * len(prints), bits, replace=False)
-        parts = []
-        for w, column in enumerate(prints):
-            mask = sum(1 << int(p % 64) for p in places if p // 64 == w)
-            if mask:
-                parts.append(column.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")))
-        keys.append(F.xxhash64(F.lit(t), *parts))
-    return keys
-
-
-def print_links(prints: DataFrame, columns: list[str], keys: list[Column], radius: int, closest: bool) -> DataFrame:
-    """(a, b) links between rows of `prints` (id long and fingerprint words) that share a key.
+def blocks(keyed: DataFrame, busy: DataFrame) -> DataFrame:
+    """(block, side, id): the rows of `keyed` (key, id) whose key is in `busy` (key, parts).
 
-    A key of more than BLOCK rows is cut into parts by a hash; each pair of parts is a
-    block of its own, so no task holds more than two parts.
+    A key is cut into its parts by a hash; each pair of parts is a block of its own, so
+    no task holds more than two parts.
     """
-    keyed = stored(prints.where("id is not null").select("id", F.explode(F.array(*keys)).alias("key")), "keyed-prints")
-    busy = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-                  .select("key", F.ceil(F.col("n") / BLOCK).alias("parts")), "busy-keys")
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    rows = (keyed.join(busy, "key").select("key", "id", part.alias("part"), other)
-            .join(prints.select("id", *columns), "id")
+    return (keyed.join(busy, "key").select("key", "id", part.alias("part"), other)
             .select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"),
-                    F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"), "id", *columns))
+                    F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"), "id"))
+
+
+def block_links(rows: DataFrame, width: int, radius: int, similarity: float | None = None) -> DataFrame:
+    """(a, b) links between the rows of each block."""
     return (rows.repartition("block").sortWithinPartitions("block", "side", "id")
-            .mapInArrow(_links(radius, len(columns), closest), "a long, b long"))
+            .mapInArrow(_links(radius, width, similarity), "a long, b long"))
 
 
 def simhash_components(docs: DataFrame, words: int, radius: int) -> DataFrame:
@@ -270,54 +277,84 @@ def simhash_components(docs: DataFrame, words: int, radius: int) -> DataFrame:
     """
     prints = stored(fingerprints(docs, words), "fingerprints")
     distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "distinct-prints")
-    links = print_links(distinct, ["fingerprint"], _bands(radius, F.col("fingerprint")), radius, closest=False)
+    bands = F.array(*_bands(radius, F.col("fingerprint")))
+    keyed = stored(distinct.where("id is not null").select("id", F.explode(bands).alias("key")), "keyed-prints")
+    busy = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                  .select("key", F.ceil(F.col("n") / BLOCK).alias("parts")), "busy-keys")
+    rows = blocks(keyed, busy).join(distinct, "id").select("block", "side", "id", "fingerprint")
+    links = block_links(rows, 1, radius)
     roots = components(stored(links, "print-links"), "print-components")
     named = distinct.join(roots, F.col("id") == F.col("node"), "left").select(
         "fingerprint", F.coalesce("component", "id").alias("component_id"))
     return prints.join(stored(named, "named-prints"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-WIDTH = 4                       # words of the fingerprint that similar texts are sought by
-TABLES, TABLE_BITS = 112, 22    # finds a pair of similarity 0.8 with a chance of 0.95, one of 0.85 with 0.996
-REACH = 56                      # of 256 bits; a pair of similarity 0.8 has 39 on average, deviation 6
+WIDTH = 4                       # words of the fingerprint that similar texts are compared by
+REACH = 60                      # of 256 bits; a pair of similarity 0.8 has 39 on average, deviation 6
+KEYS, KEY_MINIMA = 16, 4        # a pair of similarity 0.8 shares a key with a chance of 0.9998
+BLOCK_SHINGLES = 1 << 22        # of one key that meet in one block
+
+
+def block_keys(hashes: np.ndarray) -> list[int]:
+    """KEYS hashes, each of KEY_MINIMA least shingle hashes under one multiplier each; none without shingles."""
+    if not len(hashes):
+        return []
+    factors = np.random.default_rng(SEED).integers(1, 1 << 63, KEYS * KEY_MINIMA, dtype=np.uint64) | np.uint64(1)
+    least = np.full(len(factors), ~np.uint64(0))
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (mixed(hashes[at:at + 4096])[:, None] * factors).min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(KEYS, KEY_MINIMA))]
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): documents tied by a Jaccard similarity of word shingles of at least `similarity`.
 
-    Candidates come from bit-sliced SimHash blocks (256 bits, REACH); their shingle sets
-    are then compared exactly. Equal texts are one from the start. Texts without words
-    are tied to each other only where equal; a shorter text than `words` is one shingle.
-    A document with many near ones is compared with the closest and the first of each
-    block, so that groups cost no more than their size. Other columns are ignored.
+    Documents that share a key of least shingle hashes meet in blocks; keys with the same
+    members make one block. There bit-sliced SimHash (256 bits, REACH) leaves the near
+    ones, whose shingle sets are compared exactly. Every near pair of a block is compared
+    unless its two are tied already, and only ties leave the task. Equal texts are one
+    from the start. Texts without words are tied to each other only where equal; a shorter
+    text than `words` is one shingle. Other columns are ignored; an empty table gives none.
     """
+    found = texts(docs).withColumn("id", F.xxhash64("text", F.octet_length("text"), F.crc32("text")))
+
+    def keys(doc_id, id, text):
+        hashes = [shingle_hashes(t, words) for t in text]
+        return {"doc_id": doc_id, "id": id, "size": [len(h) for h in hashes], "keys": [block_keys(h) for h in hashes]}
+    named = stored(map_batches(found.select("doc_id", "id", "text"),
+                               "doc_id long, id long, size long, keys array<long>", keys), "block-keys")
+    distinct = stored(named.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"),
+                                              F.first("keys").alias("keys")), "distinct-texts")
+    keyed = stored(distinct.select("id", "size", F.explode("keys").alias("key")), "keyed-texts")
+    members = [F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"),
+               F.bit_xor(F.xxhash64("id")).alias("mix"), F.bit_xor(F.xxhash64("id", F.lit(SEED))).alias("mix2")]
+    busy = stored(keyed.groupBy("key").agg(*members, F.sum("size").alias("size")).where("n > 1")
+                  .groupBy("n", "low", "high", "mix", "mix2", "size").agg(F.min("key").alias("key"))
+                  .select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).alias("parts")),
+                  "busy-keys")
+    placed = stored(blocks(keyed, busy), "block-rows")
+    asked = distinct.join(placed.select("id").distinct(), "id", "left_semi") \
+        .select("id", F.col("first").alias("doc_id"))
+
     columns = [f"p{k}" for k in range(WIDTH)]
-    found = texts(docs).withColumn("content", F.xxhash64("text", F.octet_length("text"), F.crc32("text")))
-
-    def work(doc_id, content, text):
-        prints = [fingerprint(shingle_hashes(t, words), WIDTH) for t in text]
-        return {"doc_id": doc_id, "content": content} | {c: [p[k] for p in prints] for k, c in enumerate(columns)}
-    shape = "doc_id long, content long, " + ", ".join(f"{c} long" for c in columns)
-    prints = stored(map_batches(found.select("doc_id", "content", "text"), shape, work), "wide-prints")
-    distinct = stored(prints.groupBy("content", *columns).agg(F.min("doc_id").alias("id")), "distinct-texts")
-    keys = _sampled(TABLES, TABLE_BITS, [F.col(c) for c in columns])
-    links = print_links(distinct, columns, keys, REACH, closest=True)
-    pairs = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
-
-    def sets(doc_id, text):
-        return {"doc_id": doc_id, "shingles": [np.unique(shingle_hashes(t, words)).view(np.int64).tolist()
-                                               for t in text]}
-    shingles = stored(map_batches(texts(docs).join(asked, "doc_id", "left_semi"),
-                                  "doc_id long, shingles array<long>", sets).dropDuplicates(["doc_id"]), "shingle-sets")
-    both = (pairs.join(shingles.withColumnsRenamed({"doc_id": "a", "shingles": "x"}), "a")
-            .join(shingles.withColumnsRenamed({"doc_id": "b", "shingles": "y"}), "b"))
-    common = F.size(F.array_intersect("x", "y"))
-    tied = both.where((common > 0) & (common >= similarity * (F.size("x") + F.size("y") - common))).select("a", "b")
-    roots = components(stored(tied, "similar-pairs"), "similar-components")
-    named = stored(distinct.join(roots, F.col("id") == F.col("node"), "left").select(
-        "content", F.coalesce("component", "id").alias("component_id")), "named-texts")
-    return prints.join(named, "content").select("doc_id", "component_id")
+
+    def sets(id, text):
+        hashes = [shingle_hashes(t, words) for t in text]
+        prints = [fingerprint(h, WIDTH) for h in hashes]
+        return {"id": id} | {c: [p[k] for p in prints] for k, c in enumerate(columns)} \
+            | {"shingles": [np.unique(h).view(np.int64).tolist() for h in hashes]}
+    same = (F.col("found.id") == F.col("asked.id")) & F.col("found.doc_id").eqNullSafe(F.col("asked.doc_id"))
+    once = found.alias("found").join(stored(asked, "asked").alias("asked"), same, "left_semi").select("id", "text")
+    shape = "id long, " + ", ".join(f"{c} long" for c in columns) + ", shingles array<long>"
+    shingles = stored(map_batches(once, shape, sets).dropDuplicates(["id"]), "shingle-sets")
+    links = block_links(placed.join(shingles, "id").select("block", "side", "id", *columns, "shingles"),
+                        WIDTH, REACH, similarity)
+    roots = components(stored(links, "similar-pairs"), "similar-components")
+    tied = stored(distinct.join(roots, F.col("id") == F.col("node"), "left")
+                  .select("id", "first", F.coalesce("component", "id").alias("root")), "tied-texts")
+    least = stored(tied.groupBy("root").agg(F.min("first").alias("component_id")), "first-of-each")
+    return named.join(stored(tied.join(least, "root").select("id", "component_id"), "named-texts"), "id") \
+        .select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

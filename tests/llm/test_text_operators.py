@@ -154,6 +154,27 @@ def test_keep_first_drops_copies_only(spark, texts):
     assert 7 not in kept and 9 not in kept and 10 in kept
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_similar_documents_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    dice, many = np.random.default_rng(7), []
+    for g, changed in enumerate([0, 1, 2, 3, 4, 6, 9]):          # groups from copies to texts far apart
+        base = phrase(120, 50 + g).split()
+        for _ in range(14):
+            new = list(base)
+            for at in dice.integers(0, len(base), changed):
+                new[at] = f"new{dice.integers(10**6)}"
+            many.append(" ".join(new))
+    many += [None, "", " ", "two words", "two  words", "Two words"]
+    sets = [set(simhash.shingle_hashes(t or "", 5).tolist()) for t in many]
+    ties = [(i, j) for i, j in combinations(range(len(many)), 2)
+            if (many[i] or "") == (many[j] or "") or len(sets[i] & sets[j]) >= max(1, 0.8 * len(sets[i] | sets[j]))]
+    expected = roots(range(len(many)), ties)
+    got = table(simhash.similar_documents(frame(spark, many)))
+    assert {i: got[i]["component_id"] for i in got} == expected
+    assert len(set(expected.values())) > 20
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (5, 5), (7, 6), (6, 5), (5, 4), (4, 3), (None, 2)] + [(20 + i, 21 + i) for i in range(30)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
