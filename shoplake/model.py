@@ -14,18 +14,6 @@ PRICE_CHANGE_TYPES = ["INIT", "ADJUST", "OFFSHELF", "ONSHELF"]
 STOCK_CHANGE_TYPES = ["INIT", "ORDER_DEDUCT", "REPLENISH", "ADJUST"]
 PHONE_HEADS = ["13", "15", "17", "18", "19"]
 PRICE_FLOOR = "1.00"
-PROVINCE_CITIES = {
-    "广东": ["广州", "深圳", "东莞"],
-    "浙江": ["杭州", "宁波", "温州"],
-    "江苏": ["南京", "苏州", "无锡"],
-    "上海": ["上海"],
-    "北京": ["北京"],
-    "四川": ["成都", "绵阳"],
-    "湖北": ["武汉", "宜昌"],
-    "湖南": ["长沙", "株洲"],
-    "福建": ["厦门", "福州"],
-    "山东": ["青岛", "济南"],
-}
 # -----------------------------------------------------------------------------
 
 _TS = T.TimestampNTZType()      # wall clock, no zone

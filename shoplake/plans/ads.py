@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shoplake.functions.scalars import ratio
 from shoplake.operators.ordered import ordered_scan
+from shoplake.session import scratch_dir
 
 
 def trade_overview_day(user_day: DataFrame) -> DataFrame:
@@ -48,22 +49,29 @@ def top_k_categories(category_day: DataFrame, dt: str, k: int) -> DataFrame:
 def quintiles(df: DataFrame, metrics: dict[str, str], key: str, pieces: int | None = None) -> DataFrame:
     """Exact ntile(5) of each metric ({score: metric}), ties by key, without one big window.
 
-    The rows at the four boundaries of each metric are found by an ordered scan that
-    splits anywhere; every row is then compared with four (value, key) pairs.
+    The input is stored once. One ordered scan over (metric, value, key), which splits
+    anywhere, finds the rows at the four boundaries of all metrics; every row is then
+    compared with four (value, key) pairs a metric.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
+    path = scratch_dir(df.sparkSession, "scored")
+    df.write.parquet(path)
+    base = df.sparkSession.read.schema(df.schema).parquet(path)
+    total = base.agg(F.count(F.lit(1))).scalar()
     ends = [F.floor(total / 5) * i + F.least(F.lit(i), total % 5) for i in range(1, 5)]
-    out = df
-    for score, metric in metrics.items():
-        placed = ordered_scan(df.select(metric, key), [], [metric, key], number="_nr", pieces=pieces)
-        at = F.struct(metric, key)
-        edges = placed.agg(F.struct(*[F.max(F.when(F.col("_nr") == end, at)).alias(f"e{i}")
-                                      for i, end in enumerate(ends)]))
+    number = F.explode(F.array(*[F.lit(m) for m in range(len(metrics))])).alias("_metric")
+    values = [F.when(F.col("_metric") == m, F.col(c)).alias(f"_v{m}") for m, c in enumerate(metrics.values())]
+    tall = base.select(number, key, *metrics.values()).select("_metric", *values, key)
+    placed = ordered_scan(tall, ["_metric"], [f"_v{m}" for m in range(len(metrics))] + [key],
+                          number="_nr", pieces=pieces)
+    edges = placed.agg(F.struct(*[
+        F.max(F.when((F.col("_metric") == m) & (F.col("_nr") == end), F.struct(F.col(f"_v{m}").alias(c), key)))
+        .alias(f"m{m}e{i}") for m, c in enumerate(metrics.values()) for i, end in enumerate(ends)]))
+    out = base.withColumn("_edges", edges.scalar())
+    for m, (score, c) in enumerate(metrics.items()):
         # Fewer rows than buckets: the repeated edges never count a row upwards.
-        out = out.withColumn("_edges", edges.scalar())
-        above = [F.when(at > F.col(f"_edges.e{i}"), 1).otherwise(0) for i in range(4)]
-        out = out.withColumn(score, sum(above, F.lit(1))).drop("_edges")
-    return out
+        above = [F.when(F.struct(c, key) > F.col(f"_edges.m{m}e{i}"), 1).otherwise(0) for i in range(4)]
+        out = out.withColumn(score, sum(above, F.lit(1)))
+    return out.drop("_edges")
 
 
 def rfm_segment(r: Column, f: Column, m: Column) -> Column:

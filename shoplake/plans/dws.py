@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplake.functions.scalars import cents_of, sum_cents, sum_money
+from shoplake.functions.scalars import cents_of, from_cents, line_net, sum_money
 from shoplake.operators.joins import orders_with_user
 
 
@@ -37,21 +37,37 @@ def trade_product_day(items: DataFrame) -> DataFrame:
     return items.groupBy("product_id", "dt").agg(*_line_sums())
 
 
+def product_day_from_lines(items: DataFrame, products: DataFrame) -> DataFrame:
+    """`trade_product_day` from lines without product columns.
+
+    Lines are summed first, map-side, so a product with many of them never meets in one
+    task; its price today is looked up for the sums.
+    """
+    sums = items.groupBy("product_id", F.to_date("create_time").alias("dt")).agg(
+        F.count(F.lit(1)).alias("line_cnt"), F.sum("quantity").alias("qty"),
+        sum_money("subtotal").alias("gross_amt"), sum_money("discount_amount").alias("discount_amt"),
+        sum_money(line_net("subtotal", "discount_amount")).alias("net_amt"))
+    today = products.select("product_id", cents_of("price").alias("_cents"))
+    return sums.join(today, "product_id", "left").select(
+        *sums.columns, from_cents(F.col("_cents") * F.col("qty"), "decimal(22,2)").alias("current_price_amt"))
+
+
+def category_day_sums(items: DataFrame) -> DataFrame:
+    """Sums per category and day: one row per group leaves a task, however many lines it read."""
+    return items.groupBy("category", "dt").agg(*_line_sums())
+
+
 def trade_category_day(items: DataFrame) -> DataFrame:
     """From lines, since distinct orders of products do not add up to a category's.
 
-    Lines collapse to (category, day, order) first, so a big category is summed in
-    parts before its final group.
+    Only the narrow (category, day, order) rows of the order count cross the network by order.
     """
-    cents = {"gross_amt": "subtotal", "discount_amt": "discount_amount", "net_amt": "net_amount",
-             "current_price_amt": "current_price_amount"}
-    per_order = items.groupBy("category", "dt", "order_id").agg(
-        F.count(F.lit(1)).alias("line_cnt"), F.sum("quantity").alias("qty"),
-        *[F.sum(cents_of(c)).alias(name) for name, c in cents.items()])
-    return per_order.groupBy("category", "dt").agg(
-        F.sum("line_cnt").alias("line_cnt"), F.sum("qty").alias("qty"),
-        *[sum_cents(c).alias(c) for c in cents],
-        F.count(F.lit(1)).alias("order_cnt"))
+    orders = (items.select("category", "dt", "order_id").distinct()
+              .groupBy(F.col("category").alias("_category"), F.col("dt").alias("_dt"))
+              .agg(F.count(F.lit(1)).alias("order_cnt")))
+    sums = category_day_sums(items)
+    same = F.col("category").eqNullSafe(F.col("_category")) & F.col("dt").eqNullSafe(F.col("_dt"))
+    return sums.join(orders, same).select(*sums.columns, "order_cnt")
 
 
 def trade_province_day(user_day: DataFrame, users: DataFrame) -> DataFrame:

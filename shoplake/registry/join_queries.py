@@ -12,6 +12,7 @@ from shoplake.registry.base import query
 from shoplake.registry.model_sql import using
 from shoplake.session import scratch_dir
 from shoplake.sources import driver_tables as src
+from shoplake.sources.calendar import calendar_covering
 from shoplake.sources.lake import write_bucketed
 
 
@@ -98,7 +99,8 @@ def _(spark, sf):
 SELECT order_id, dt AS date_key, quarter(dt) AS quarter, weekofyear(dt) AS iso_week, isodow(dt) AS day_of_week FROM f_orders""",
        day="date_key")
 def _(spark, sf):
-    dates = dwd.dim_date(spark, "1995-01-01", "2001-12-31").select("date_key", "quarter", "iso_week", "day_of_week")
+    dates = dwd.with_date_parts(calendar_covering(src.orders(spark, sf), "order_time")) \
+        .select("date_key", "quarter", "iso_week", "day_of_week")
     return J.with_date(src.orders(spark, sf), dates, "order_time").select(
         "order_id", "date_key", "quarter", "iso_week", "day_of_week")
 
@@ -112,12 +114,15 @@ def _(spark, sf):
 
 
 @query("anchor_probe", using("f_orders", "products") + """
-, a AS (SELECT product_id * 17 % 15000 AS anchor FROM products WHERE stock = 7)
-SELECT DISTINCT anchor, probe_no, order_id FROM a,
-LATERAL (SELECT order_id, row_number() OVER (ORDER BY order_id) AS probe_no FROM f_orders
-         WHERE order_id >= anchor AND order_status IN ('CREATED','PAID','SHIPPED') ORDER BY order_id LIMIT 10) t""")
-def _(spark, sf):
-    anchors = src.products(spark, sf).where("stock = 7").select((F.col("product_id") * 17 % 15000).alias("anchor"))
+, a AS (SELECT DISTINCT product_id * 7919 % (SELECT max(order_id) FROM f_orders) AS anchor FROM products),
+n AS (SELECT order_id, row_number() OVER (ORDER BY order_id) AS nr FROM f_orders
+      WHERE order_status IN ('CREATED','PAID','SHIPPED')),
+s AS (SELECT anchor, nr FROM a ASOF JOIN n ON a.anchor <= n.order_id)
+SELECT anchor, i AS probe_no, order_id FROM s CROSS JOIN generate_series(1, 10) t(i) JOIN n ON n.nr = s.nr + i - 1""")
+def _(spark, sf):
+    """Anchors of all products, spread over the whole range of order keys."""
+    last = src.orders(spark, sf).agg(F.max("order_id")).scalar()
+    anchors = src.products(spark, sf).select((F.col("product_id") * 7919 % last).alias("anchor"))
     open_orders = src.orders(spark, sf).where("order_status in ('CREATED', 'PAID', 'SHIPPED')")
     return J.anchor_probe(open_orders, anchors, 10)
 

@@ -29,8 +29,13 @@ def user_day(spark, sf):
     return dws.trade_user_day(acc(spark, sf))
 
 
-def category_day(spark, sf):
-    return dws.trade_category_day(lines(spark, sf))
+def product_day(spark, sf):
+    return dws.product_day_from_lines(src.items(spark, sf), src.products(spark, sf))
+
+
+def category_sums(spark, sf):
+    """For reports that do not show the count of orders."""
+    return dws.category_day_sums(lines(spark, sf))
 
 
 @query("dws_trade_user_day", using("user_day") + "SELECT * FROM user_day", num=DAY_SUMS, day="dt")
@@ -41,13 +46,13 @@ def _(spark, sf):
 @query("dws_trade_product_day", using("product_day") + "SELECT * FROM product_day",
        num=LINE_SUMS, day="dt", whole="qty")
 def _(spark, sf):
-    return dws.trade_product_day(lines(spark, sf))
+    return product_day(spark, sf)
 
 
 @query("dws_trade_category_day", using("category_day") + "SELECT * FROM category_day",
        num=LINE_SUMS, day="dt", whole="qty")
 def _(spark, sf):
-    return category_day(spark, sf)
+    return dws.trade_category_day(lines(spark, sf))
 
 
 @query("dws_trade_province_day", using("f_orders", "users") + """
@@ -98,13 +103,13 @@ FROM category_day"""
 
 @query("ads_category_rank_day", using("category_day") + RANKED, num="net_amt", day="dt")
 def _(spark, sf):
-    return ads.category_rank_day(category_day(spark, sf))
+    return ads.category_rank_day(category_sums(spark, sf))
 
 
 @query("top_k_categories", using("category_day") + f"""
 SELECT * FROM ({RANKED}) r WHERE dt = DATE '1998-06-15' AND rank <= 3""", num="net_amt", day="dt")
 def _(spark, sf):
-    return ads.top_k_categories(category_day(spark, sf), "1998-06-15", 3)
+    return ads.top_k_categories(category_sums(spark, sf), "1998-06-15", 3)
 
 
 @query("ads_user_rfm", using("lifetime") + """
@@ -129,7 +134,7 @@ SELECT coalesce(a.dt, b.dt) AS dt, gross_gmv, net_gmv, paid_gmv, gross_gmv - net
 FROM a FULL JOIN b ON a.dt = b.dt""",
        num="gross_gmv net_gmv paid_gmv gross_net_gap net_paid_gap gross_paid_gap", day="dt")
 def _(spark, sf):
-    return ads.gmv_caliber_compare(dws.trade_product_day(lines(spark, sf)), user_day(spark, sf))
+    return ads.gmv_caliber_compare(product_day(spark, sf), user_day(spark, sf))
 
 
 @query("ads_price_divergence_by_category", using("d_items") + """
@@ -138,7 +143,7 @@ SELECT category, sum(subtotal) AS snapshot_amt, sum(current_price_amount) AS cur
        round(CAST(sum(current_price_amount) - sum(subtotal) AS DOUBLE) / CAST(sum(subtotal) AS DOUBLE), 6) AS diff_ratio
 FROM d_items GROUP BY category""", num="snapshot_amt current_price_amt diff_amt")
 def _(spark, sf):
-    return ads.price_divergence_by_category(category_day(spark, sf))
+    return ads.price_divergence_by_category(category_sums(spark, sf))
 
 
 @query("materialised_preagg", using("f_orders") + OVERVIEW, num="order_amt paid_amt", day="dt")

@@ -18,13 +18,18 @@ from shoplake.sources.lake import read_changelog
 from shoplake.streaming import runs, tables, windows
 
 BATCHES = 4
+FILE_ROWS = 250_000
 
 
 def feed(spark, df, order, root):
-    """A stream over `df`, a quarter of the rows per micro-batch in `order`."""
-    chunk = -(-df.count() // BATCHES)
-    runs.stage_in_order(df, root, order, max(1, chunk))
-    return runs.replay_stream(spark, root, df.schema)
+    """A stream over `df`, a quarter of the rows per micro-batch in `order`.
+
+    A micro-batch has at least two files and as many as its rows need.
+    """
+    chunk = max(1, -(-df.count() // BATCHES))
+    files = min(chunk, max(2, -(-chunk // FILE_ROWS)))
+    runs.stage_in_order(df, root, order, chunk, files)
+    return runs.replay_stream(spark, root, df.schema, files)
 
 
 def raw_stream(spark, sf, name):
@@ -148,6 +153,43 @@ def _(spark, sf):
     return windows.window_rates(src.events(spark, sf), "ts", 3600, 0.004, 24, 1.5)
 
 
+@query("stream_rates", """
+WITH w AS (SELECT date_trunc('hour', ts) AS window_start, count(*) AS rows FROM events GROUP BY 1),
+p AS (SELECT *, sum(rows) OVER b AS s, count(rows) OVER b AS n FROM w
+      WINDOW b AS (ORDER BY window_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
+SELECT window_start, rows, round(CAST(rows AS DOUBLE) / 3600, 6) AS rate,
+       round(CAST(rows AS DOUBLE) / 3600.0::DOUBLE / 0.004::DOUBLE, 6) AS of_target,
+       CASE WHEN rows >= CAST(s AS DOUBLE) / nullif(n, 0) * 1.5 THEN 1 ELSE 0 END AS burst FROM p""",
+       ts="window_start", whole="burst")
+def _(spark, sf):
+    """Rates and bursts of the hourly counts a stream keeps, rows arriving out of order."""
+    root = scratch_dir(spark, "rates")
+    stream = feed(spark, src.arrivals(spark, sf), ["arrival", "event_id"], root)
+    table = windows.window_table(f"{root}/table")
+    windows.window_stream(stream, "ts", "1 hour", "30 days", table, f"{root}/checkpoint")
+    return windows.rates(table.current(spark), 3600, 0.004, 24, 1.5)
+
+
+@query("stream_price_log", using("price_log") + """
+SELECT change_id, product_id, new_price, change_type, change_time FROM price_log""", num="new_price", ts="change_time")
+def _(spark, sf):
+    """Append-only; rows are never changed."""
+    root = scratch_dir(spark, "price-log")
+    log = src.price_log(spark, sf).select("change_id", "product_id", "new_price", "change_type", "change_time")
+    runs.append_sink(feed(spark, log, ["change_id"], root), f"{root}/out", f"{root}/checkpoint")
+    return spark.read.schema(log.schema).parquet(f"{root}/out")
+
+
+@query("stream_stock_log", using("stock_log") + """
+SELECT change_id, product_id, change_type, delta, stock_after, change_time FROM stock_log""",
+       ts="change_time", whole="delta stock_after")
+def _(spark, sf):
+    root = scratch_dir(spark, "stock-log")
+    log = src.stock_log(spark, sf).drop("order_id")
+    runs.append_sink(feed(spark, log, ["change_id"], root), f"{root}/out", f"{root}/checkpoint")
+    return spark.read.schema(log.schema).parquet(f"{root}/out")
+
+
 @query("stream_sink_stamp", "SELECT event_id, 1 AS stamped FROM events", whole="stamped")
 def _(spark, sf):
     root = scratch_dir(spark, "stamp")
@@ -219,6 +261,44 @@ def _(spark, sf):
         "product_id", "product_name", "category", "price")
 
 
+@query("stream_dim_user", using("users") + """
+, l AS (SELECT user_id, arg_max(event_type, event_id) AS last_event FROM events
+        WHERE event_type IN ('click','purchase','error') GROUP BY 1)
+SELECT u.user_id, username, province, coalesce(last_event, register_channel) AS register_channel
+FROM users u LEFT JOIN l ON u.user_id = l.user_id WHERE last_event IS DISTINCT FROM 'error'""")
+def _(spark, sf):
+    """All users first, then changes of some of them; an error event closes the user until the next change."""
+    root = scratch_dir(spark, "dim-user")
+    base = src.users(spark, sf)
+    loaded = base.withColumns({"op": F.lit("I"), "seq": F.lit(-1).cast("bigint"), "arrival": F.lit(-1).cast("bigint")})
+    moved = src.events(spark, sf).where("event_type in ('click', 'purchase', 'error')").select(
+        "user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("_event"))
+    updates = base.join(moved, "user_id").withColumns(
+        {"register_channel": F.col("_event"), "op": F.when(F.col("_event") == "error", "D").otherwise("UA"),
+         "arrival": F.col("seq")}).select(*loaded.columns)
+    stream = feed(spark, loaded.unionByName(updates), ["arrival", "user_id"], root)
+    tables.dim_stream(stream, "dim_user", f"{root}/table", f"{root}/checkpoint")
+    return tables.dim_table("dim_user", f"{root}/table").current(spark).select(
+        "user_id", "username", "province", "register_channel")
+
+
+@query("stream_fact_order_item", using("f_items") + """
+SELECT item_id, order_id, product_id, quantity, subtotal, discount_amount, CAST(date_trunc('month', create_time) AS DATE) AS order_month
+FROM f_items""", num="subtotal discount_amount", day="order_month", whole="quantity")
+def _(spark, sf):
+    """Lines arrive twice, a first version after the last one; the table is laid out by month."""
+    root = scratch_dir(spark, "lines")
+    lines = src.items(spark, sf).withColumn("order_month", F.trunc("create_time", "month"))
+    new = lines.withColumns({"op": F.lit("UA"), "seq": F.lit(2).cast("bigint"), "arrival": F.col("item_id")})
+    old = lines.withColumns({"quantity": F.lit(0), "op": F.lit("I"), "seq": F.lit(1).cast("bigint"),
+                             "arrival": F.col("item_id") + 50_000})
+    stream = feed(spark, new.unionByName(old), ["arrival", "seq"], root).drop("arrival")
+    table = KeyedTable(f"{root}/table", stream.schema, ["order_month", "item_id"], ["seq"], ("order_month",))
+    tables.upsert_stream(stream, table, f"{root}/checkpoint")
+    return table.current(spark).select("item_id", "order_id", "product_id", "quantity", "subtotal", "discount_amount",
+                                       "order_month")
+
+
 @query("stream_fact_order", using("f_orders") + f"SELECT {ACC_COLUMNS} FROM f_orders",
        num="total_amount discount_amount", whole="is_deleted",
        ts="order_time pay_time shipping_time complete_time cancel_time")

@@ -9,6 +9,7 @@ snapshot by source order, so late and repeated events cannot win over newer ones
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ class KeyedTable:
     schema: T.StructType        # table columns, `op` and the sequence columns
     keys: list[str]
     seq: list[str]
+    partition: tuple[str, ...] = ()     # of the keys: folders that a filter on them skips
 
     def append(self, batch: DataFrame, batch_id: int) -> None:
         """Store a batch, reduced to its latest row per key; deletes stay as tombstones.
@@ -35,7 +37,24 @@ class KeyedTable:
         if folded and batch_id <= folded[-1] and batch_id not in self.batches(spark):
             raise ValueError(f"batch {batch_id} is older than the snapshot up to {folded[-1]}; number batches onwards")
         latest = latest_per_key(batch.select(*self.schema.names), self.keys, self.seq, keep_deletes=True)
-        latest.write.mode("overwrite").parquet(f"{self.path}/changes/batch_id={batch_id}")
+        self._write(latest, f"{self.path}/changes/batch_id={batch_id}")
+
+    def _write(self, df: DataFrame, path: str) -> None:
+        """By folder if the table is partitioned; a heavy folder becomes several files."""
+        if not self.partition:
+            df.write.mode("overwrite").parquet(path)
+        else:
+            df.hint("rebalance", *[F.col(c) for c in self.partition]) \
+                .write.mode("overwrite").partitionBy(*self.partition).parquet(path)
+
+    def _read(self, spark: SparkSession, number: str, paths: list[str]) -> DataFrame:
+        """Folders of one kind; their numbers are left out."""
+        reader = spark.read
+        if self.partition:
+            reader = reader.option("basePath", paths[0].rsplit("/", 1)[0])
+            return reader.schema(T.StructType([*self.schema.fields, T.StructField(number, T.LongType())])) \
+                .parquet(*paths).select(*self.schema.names)
+        return reader.schema(self.schema).parquet(*paths)
 
     def _finished(self, spark: SparkSession, folder: str) -> list[int]:
         """Numbers of the finished sub-folders (`name=<number>` with a success mark)."""
@@ -54,17 +73,16 @@ class KeyedTable:
     def rows(self, spark: SparkSession, before: int | None = None) -> DataFrame:
         """Latest snapshot and the batches after it, tombstones included."""
         covered = None
-        paths = []
+        parts = []
         snapshots = [n for n in self._finished(spark, "snapshot") if before is None or n < before]
         if snapshots:
             covered = snapshots[-1]
-            paths.append(f"{self.path}/snapshot/upto={covered}")
-        for n in self._finished(spark, "changes"):
-            if (covered is None or n > covered) and (before is None or n < before):
-                paths.append(f"{self.path}/changes/batch_id={n}")
-        if not paths:
-            return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(*paths)
+            parts.append(self._read(spark, "upto", [f"{self.path}/snapshot/upto={covered}"]))
+        paths = [f"{self.path}/changes/batch_id={n}" for n in self._finished(spark, "changes")
+                 if (covered is None or n > covered) and (before is None or n < before)]
+        if paths:
+            parts.append(self._read(spark, "batch_id", paths))
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], self.schema)
 
     def current(self, spark: SparkSession, before: int | None = None,
                 keep_deletes: bool = False) -> DataFrame:
@@ -80,6 +98,5 @@ class KeyedTable:
         batches = self.batches(spark)
         upto = batches[-1] if batches else None
         if batches and upto not in self._finished(spark, "snapshot"):
-            (self.current(spark, before=upto + 1, keep_deletes=True)
-             .write.mode("overwrite").parquet(f"{self.path}/snapshot/upto={upto}"))
+            self._write(self.current(spark, before=upto + 1, keep_deletes=True), f"{self.path}/snapshot/upto={upto}")
         return upto

@@ -35,35 +35,61 @@ def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], chec
     return run(stream.writeStream.outputMode("update").foreachBatch(guarded), checkpoint, every)
 
 
-def append_sink(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def append_sink(stream: DataFrame, path: str, checkpoint: str, every: str | None = None,
+                partition_by: list[str] | None = None) -> StreamingQuery:
     """Append-only table from a stream."""
     writer = stream.writeStream.format("parquet").option("path", path).outputMode("append")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     return run(writer, checkpoint, every)
 
 
-def stage_in_order(df: DataFrame, path: str, order: list[str], chunk: int,
+def stage_in_order(df: DataFrame, path: str, order: list[str], chunk: int, files: int = 2,
                    pieces: int | None = None) -> int:
-    """Write rows as one folder per `chunk` rows in `order`, oldest chunk first.
+    """Write rows as `files` files per `chunk` rows in `order`, oldest chunk first.
 
-    A file stream takes files by modification time, so reading the folder with one file
-    per trigger replays the order. Chunks are written by one job each to keep times apart.
+    A file stream takes files by modification time, so reading the folder with `files`
+    files per trigger replays the order, a chunk at a time. Each file is a piece of the
+    chunk and one task's work. Chunks are written by one job each; a store whose clock is
+    too coarse to keep them apart is an error. Needs `files` <= `chunk`.
     """
+    if not 1 <= files <= chunk:
+        raise ValueError(f"cannot write {files} files per chunk of {chunk} rows")
+    at = F.col("_nr") - 1
     numbered = ordered_scan(df, [], order, number="_nr", pieces=pieces)
-    chunked = numbered.withColumn("_chunk", F.floor((F.col("_nr") - 1) / chunk).cast("int")).drop("_nr")
+    placed = numbered.withColumns({"_chunk": F.floor(at / chunk).cast("int"),
+                                   "_piece": F.floor(at % chunk * files / chunk).cast("int")}).drop("_nr")
     whole = f"{path}/_ordered"
-    chunked.repartition("_chunk").sortWithinPartitions(*order) \
-        .write.mode("overwrite").partitionBy("_chunk").parquet(whole)
+    placed.repartition("_chunk", "_piece").write.mode("overwrite").partitionBy("_chunk", "_piece").parquet(whole)
     spark = df.sparkSession
-    stored = spark.read.schema(chunked.schema).parquet(whole)
+    stored = spark.read.schema(placed.schema).parquet(whole)
     last = stored.agg(F.max("_chunk")).first()[0]
     count = 0 if last is None else last + 1
+    newest = -1
     for i in range(count):
-        (stored.where(F.col("_chunk") == i).drop("_chunk").coalesce(1).sortWithinPartitions(*order)
-         .write.mode("append").parquet(f"{path}/feed"))
+        (stored.where(F.col("_chunk") == i).drop("_chunk").repartition("_piece").sortWithinPartitions(*order)
+         .write.partitionBy("_piece").parquet(f"{path}/feed/chunk={i}"))
+        times = _file_times(spark, f"{path}/feed/chunk={i}")
+        if min(times) <= newest:
+            raise RuntimeError("files of two chunks have one modification time: their order would be lost")
+        newest = max(times)
     return count
 
 
-def replay_stream(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int = 1) -> DataFrame:
-    """Stream over a folder written by `stage_in_order`."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
-            .parquet(f"{path}/feed"))
+def _file_times(spark: SparkSession, path: str) -> list[int]:
+    """Modification times of the data files below `path`."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    times = []
+    while found.hasNext():
+        entry = found.next()
+        if entry.getPath().getName().endswith(".parquet"):
+            times.append(entry.getModificationTime())
+    return times
+
+
+def replay_stream(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int = 2) -> DataFrame:
+    """Stream over a folder written by `stage_in_order`, with as many files per trigger as a chunk has."""
+    places = [T.StructField("chunk", T.IntegerType()), T.StructField("_piece", T.IntegerType())]
+    return (spark.readStream.schema(T.StructType([*schema.fields, *places]))
+            .option("maxFilesPerTrigger", per_trigger).parquet(f"{path}/feed").select(*schema.names))

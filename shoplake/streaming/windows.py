@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -79,15 +79,24 @@ def drop_repeats(stream: DataFrame, key: str, ts: str, within: str) -> DataFrame
 
 def window_rates(df: DataFrame, ts: str, width_seconds: int, target_rate: float, trailing: int,
                  burst_factor: float) -> DataFrame:
-    """Rate per window against a target, and whether it bursts over the trailing average.
+    """Rate per window against a target, and whether it bursts over the trailing average."""
+    return rates(tumbling_counts(df, ts, f"{width_seconds} seconds"), width_seconds, target_rate, trailing,
+                 burst_factor)
 
-    The trailing window runs over one row per time window, a count bounded by the time
-    span and not by the data.
+
+def rates(counts: DataFrame, width_seconds: int, target_rate: float, trailing: int, burst_factor: float) -> DataFrame:
+    """Rates and bursts from window counts, of a batch or as a stream has kept them.
+
+    The sum of the trailing windows is the difference of two running sums, so no window
+    of rows is gathered however narrow the time windows are.
     """
-    counts = tumbling_counts(df, ts, f"{width_seconds} seconds")
-    past = Window.orderBy("window_start").rowsBetween(-trailing, -1)
-    usual = F.sum("rows").over(past) / F.count("rows").over(past)
-    return counts.select(
+    summed = ordered_scan(counts.select("window_start", "rows"), [], ["window_start"], number="_nr",
+                          running={"_sum": "rows"})
+    old = summed.select((F.col("_nr") + trailing + 1).alias("_nr"), F.col("_sum").alias("_old"))
+    placed = summed.join(old, "_nr", "left")
+    before = F.col("_sum") - F.col("rows") - F.coalesce("_old", F.lit(0))
+    usual = before / F.nullif(F.least(F.col("_nr") - 1, F.lit(trailing)), F.lit(0))
+    return placed.select(
         "window_start", "rows", ratio("rows", F.lit(width_seconds)).alias("rate"),
         F.round(F.col("rows") / F.lit(float(width_seconds)) / F.lit(float(target_rate)), 6).alias("of_target"),
         F.when(F.col("rows") >= usual * F.lit(float(burst_factor)), 1).otherwise(0).alias("burst"))
