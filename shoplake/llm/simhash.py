@@ -143,8 +143,8 @@ def near_pairs(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
 
 def group_links(group: np.ndarray, side: np.ndarray, prints: np.ndarray, ids: np.ndarray, radius: int,
                 sets: ShingleSets | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links among rows sorted by group, of near fingerprints and, if given, similar sets.
-    A small group gives all its pairs; each linked set of a larger one is a star."""
+    """Links among rows sorted by group, of near fingerprints and, if given, similar sets; few
+    shingles are compared whatever their fingerprints. A small group gives all its pairs; each linked set of a larger one is a star."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
     small = np.repeat(sizes <= SMALL, sizes)
@@ -154,7 +154,8 @@ def group_links(group: np.ndarray, side: np.ndarray, prints: np.ndarray, ids: np
         a = a[~two | (side[a] != side[a + shift])]
         if not a.size:
             continue
-        a = a[near_pairs(prints[a], prints[a + shift], radius)]
+        near = near_pairs(prints[a], prints[a + shift], radius)
+        a = a[near | sets.few[a] | sets.few[a + shift]] if sets else a[near]
         if sets:
             a = a[np.array([sets.similar(x, np.array([x + shift]))[0] for x in a], bool)]
         yield ids[a], ids[a + shift]
@@ -168,6 +169,8 @@ def group_links(group: np.ndarray, side: np.ndarray, prints: np.ndarray, ids: np
         for at in range(0, len(asked), QUERIES):
             q = asked[at:at + QUERIES]
             near = near_lanes(p[q], planes, len(held), radius)
+            if sets:
+                near |= sets.few[starts[g] + q][:, None] | sets.few[starts[g] + held]
             for row in np.flatnonzero(near.any(axis=1)):
                 others = held[near[row]]
                 if sets:                        # sets are compared only where that may join two stars
@@ -188,6 +191,7 @@ class ShingleSets:
         self.values = column.values.to_numpy()
         names, self.values = np.unique(self.values[self.at[0]:self.at[-1]], return_inverse=True)
         self.at = self.at - self.at[0]
+        self.few = np.diff(self.at) <= FEW
         self.flags = np.zeros(len(names), bool)
 
     def similar(self, row: int, others: np.ndarray) -> np.ndarray:
@@ -290,7 +294,8 @@ def simhash_components(docs: DataFrame, words: int, radius: int) -> DataFrame:
 
 
 WIDTH = 4                       # words of the fingerprint that similar texts are compared by
-REACH = 60                      # of 256 bits; a pair of similarity 0.8 has 39 on average, deviation 6
+REACH = 60                      # of 256 bits; two sets of similarity 0.8 have 39 on average, deviation 6
+FEW = 64                        # shingles of a set that is compared without a look at its fingerprint
 KEYS, KEY_MINIMA = 16, 4        # a pair of similarity 0.8 shares a key with a chance of 0.9998
 BLOCK_SHINGLES = 1 << 22        # of one key that meet in one block
 
@@ -310,8 +315,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     """(doc_id, component_id): documents tied by a Jaccard similarity of word shingles of at least `similarity`.
 
     Documents that share a key of least shingle hashes meet in blocks; keys with the same
-    members make one block. There bit-sliced SimHash (256 bits, REACH) leaves the near
-    ones, whose shingle sets are compared exactly. Every near pair of a block is compared
+    members make one block. There bit-sliced SimHash of the shingle sets (256 bits, REACH)
+    leaves the near ones, whose sets are compared exactly, as are those of FEW shingles. Every near pair of a block is compared
     unless its two are tied already, and only ties leave the task. Equal texts are one
     from the start. Texts without words are tied to each other only where equal; a shorter
     text than `words` is one shingle. Other columns are ignored; an empty table gives none.
@@ -339,10 +344,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     columns = [f"p{k}" for k in range(WIDTH)]
 
     def sets(id, text):
-        hashes = [shingle_hashes(t, words) for t in text]
+        hashes = [np.unique(shingle_hashes(t, words)) for t in text]
         prints = [fingerprint(h, WIDTH) for h in hashes]
         return {"id": id} | {c: [p[k] for p in prints] for k, c in enumerate(columns)} \
-            | {"shingles": [np.unique(h).view(np.int64).tolist() for h in hashes]}
+            | {"shingles": [h.view(np.int64).tolist() for h in hashes]}
     same = (F.col("found.id") == F.col("asked.id")) & F.col("found.doc_id").eqNullSafe(F.col("asked.doc_id"))
     once = found.alias("found").join(stored(asked, "asked").alias("asked"), same, "left_semi").select("id", "text")
     shape = "id long, " + ", ".join(f"{c} long" for c in columns) + ", shingles array<long>"

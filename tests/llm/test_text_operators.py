@@ -175,6 +175,26 @@ def test_similar_documents_equal_all_pairs(spark, monkeypatch, block):
     assert len(set(expected.values())) > 20
 
 
+def test_repeated_lines_and_short_texts_equal_all_pairs(spark):
+    many = []
+    for k, times in enumerate([1, 10, 20, 40]):                  # a line that one of two long texts repeats
+        base, line = phrase(1000, 200 + k), phrase(18, 300 + k)
+        many += [base, base + f" {line}" * times]
+    for k in range(80):                                          # 9 words and the first 8 of them
+        short = phrase(9, 400 + k).split()
+        many += [" ".join(short), " ".join(short[:8])]
+    for n in range(4, 16):                                       # n shingles, without the last word, or one more changed
+        for k in range(4):
+            short = phrase(n + 4, 1000 + 10 * n + k).split()
+            many += [" ".join(short), " ".join(short[:-1]), " ".join([*short[:-2], "end"])]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in many]
+    ties = [(i, j) for i, j in combinations(range(len(many)), 2)
+            if len(sets[i] & sets[j]) >= max(1, 0.8 * len(sets[i] | sets[j]))]
+    got = table(simhash.similar_documents(frame(spark, many)))
+    assert len(ties) > 130
+    assert {i: got[i]["component_id"] for i in got} == roots(range(len(many)), ties)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (5, 5), (7, 6), (6, 5), (5, 4), (4, 3), (None, 2)] + [(20 + i, 21 + i) for i in range(30)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
