@@ -5,6 +5,7 @@ survives substitutions there. The two masks hit every window of LENGTH words wit
 to two substituted words, wherever they fall (a test counts all cases). Seeds of
 documents and of benchmark items meet in a join; around each hit the words are
 compared one by one, and an overlap counts if LENGTH words in a row agree in LEAST.
+Items of fewer words have one seed, of all their words, and count where all agree.
 
 Documents are scanned once. A Bloom filter of fixed size, made from the benchmark's
 seeds, decides which stretches of a document may match, so only those are stored and
@@ -13,6 +14,8 @@ joined; it errs on one side only, whatever the size of the benchmark.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
@@ -42,31 +45,39 @@ def seeds_of(words: np.ndarray, mask: int) -> np.ndarray:
     return mixed(total)
 
 
+def spans_of(words: np.ndarray, most: int) -> list[np.ndarray]:
+    """Seed hashes of all spans of n words, by start, for n = 1 to `most`."""
+    out = [mixed(words ^ np.uint64(len(MASKS) + 1))]
+    for n in range(2, most + 1):
+        out.append(mixed(out[-1][:-1] * np.uint64(5) + words[n - 1:] + np.uint64(n)))
+    return out
+
+
 def _slots(seeds: np.ndarray) -> list[np.ndarray]:
     return [(seeds >> np.uint64(64 - BLOOM_BITS - 17 * k) & np.uint64((1 << BLOOM_BITS) - 1)) for k in range(PROBES)]
 
 
 def benchmark_words(items: DataFrame) -> DataFrame:
-    """(item_id, words array<long>) of items with LENGTH words or more; equal ones count as the smallest id."""
+    """(item_id, words array<long>) of items with words; equal ones count as the smallest id."""
     def work(doc_id, text):
         words: list[list[int]] = []
         for _, data, begins in batches(text):
-            starts, hashes = word_hashes(data, WORD_BYTES)
+            starts, hashes = word_hashes(data, WORD_BYTES, unspaced=True)
             cuts = np.searchsorted(starts, begins)
             words += [hashes[a:b].view(np.int64).tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return {"item_id": doc_id, "words": words}
     lowered = texts(items, "item_id").withColumn("text", F.lower("text"))
-    return (map_batches(lowered, "item_id long, words array<long>", work).where(F.size("words") >= LENGTH)
+    return (map_batches(lowered, "item_id long, words array<long>", work).where(F.size("words") > 0)
             .groupBy("words").agg(F.min("item_id").alias("item_id")).select("item_id", "words"))
 
 
 def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """(seed, item_id, at) of benchmark words."""
+    """(seed, item_id, at) of benchmark words; a single seed for fewer than LENGTH."""
     def work(item_id, words):
         out: dict[str, list] = {"seed": [], "item_id": [], "at": []}
         for item, w in zip(item_id, words, strict=True):
-            for mask in range(len(MASKS)):
-                seeds = seeds_of(np.array(w, np.int64).view(np.uint64), mask)
+            words = np.array(w, np.int64).view(np.uint64)
+            for seeds in spans_of(words, len(w))[-1:] if len(w) < LENGTH else map(partial(seeds_of, words), range(len(MASKS))):
                 out["seed"] += seeds.view(np.int64).tolist()
                 out["item_id"] += [item] * len(seeds)
                 out["at"] += range(len(seeds))
@@ -96,14 +107,27 @@ def _suspects(seeds: np.ndarray, bloom: np.ndarray) -> np.ndarray:
     return at
 
 
-def stretches(docs: DataFrame, bloom: Broadcast) -> DataFrame:
-    """Parts of documents with suspected seeds, with LENGTH words of context on both sides."""
+def stretches(docs: DataFrame, bloom: Broadcast, short: list[int]) -> DataFrame:
+    """Parts of documents with suspected seeds, with LENGTH words of context on both sides; and, for each
+    length in `short`, the first place of each suspected span of so many words."""
     def rows_of(many: list[str], ids: list[int], table: np.ndarray) -> dict[str, list]:
         out: dict[str, list] = {c: [] for c in ("doc_id", "start", "words", "hits")}
         for first, data, begins in batches(many):
-            starts, words = word_hashes(data, WORD_BYTES)
+            starts, words = word_hashes(data, WORD_BYTES, unspaced=True)
             cuts = np.searchsorted(starts, begins)
             owner = np.repeat(np.arange(len(begins) - 1), np.diff(cuts))
+            spans = spans_of(words, min(max(short, default=0), len(words)))
+            for n in short:
+                if n > len(words):
+                    continue
+                hit = _suspects(spans[n - 1], table)
+                hit = hit[owner[hit] == owner[hit + n - 1]]
+                _, once = np.unique(np.stack((owner[hit].astype(np.uint64), spans[n - 1][hit])), axis=1, return_index=True)
+                for a in hit[once]:
+                    out["doc_id"].append(ids[first + owner[a]])
+                    out["start"].append(int(a - cuts[owner[a]]))
+                    out["words"].append(words[a:a + n].view(np.int64).tolist())
+                    out["hits"].append([{"seed": int(spans[n - 1][a:a + 1].view(np.int64)[0]), "at": 0}])
             at, seed = [], []
             for mask in range(len(MASKS)):
                 seeds = seeds_of(words, mask)
@@ -137,8 +161,11 @@ def longest_overlap(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[in
     """(first word, first item word, words, equal ones) of the longest overlap at one alignment, or None.
 
     It is the longest run of windows of LENGTH words of which LEAST agree, without
-    disagreeing words at its ends.
+    disagreeing words at its ends. A shorter item overlaps as a whole or not at all.
     """
+    if len(item) < LENGTH:
+        whole = shift >= 0 and np.array_equal(words[shift:shift + len(item)], item)
+        return (shift, 0, len(item), len(item)) if whole else None
     low, high = max(0, -shift), min(len(item), len(words) - shift)
     if high - low < LENGTH:
         return None
@@ -158,15 +185,17 @@ def longest_overlap(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[in
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, n_words, n_equal): the longest overlap of each document and item.
 
-    Words are lower-cased runs of letters and digits (all beyond ASCII included). Items
-    of fewer than LENGTH words, null and empty texts overlap with nothing; of items with
+    Words are lower-cased runs of letters and digits (all beyond ASCII included but STOPS);
+    in scripts without spaces, characters. Items of fewer than LENGTH words overlap where all
+    their words follow each other; null and empty texts overlap with nothing; of items with
     equal words the smallest item_id stands for all; rows that share a doc_id count as
     one document; other columns are ignored.
     """
     known = stored(benchmark_words(items), "benchmark-words")
     seeds = stored(benchmark_seeds(known), "benchmark-seeds")
     bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(seeds))
-    parts = stored(stretches(docs, bloom).withColumn("stretch", F.monotonically_increasing_id()), "stretches")
+    short = [r[0] for r in known.select(F.size("words")).where(F.size("words") < LENGTH).distinct().collect()]
+    parts = stored(stretches(docs, bloom, short).withColumn("stretch", F.monotonically_increasing_id()), "stretches")
     aligned = (parts.select("stretch", F.explode("hits").alias("hit"))
                .select("stretch", F.col("hit.seed").alias("seed"), F.col("hit.at").alias("here"))
                .join(seeds, "seed").select("stretch", "item_id", (F.col("here") - F.col("at")).alias("shift"))

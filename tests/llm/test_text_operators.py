@@ -259,6 +259,26 @@ def test_overlaps(spark, texts):
     assert decontaminate.overlaps(frame(spark, many), items.limit(0)).count() == 0
 
 
+def test_overlaps_of_short_items_and_scripts_without_spaces(spark):
+    chinese = "春天来了,河边的柳树都绿了。孩子们跑到草地上,一起放风筝!老人坐在树下慢慢地喝茶?"
+    japanese = "昨日の夜、友達と一緒に古い映画を見ました。とても面白かったです"
+    items = spark.createDataFrame([(1, "Who wrote the red book?", ""), (2, phrase(12, 80), ""), (3, chinese, ""),
+                                   (4, "什么是光?", ""), (5, "Paris", ""), (6, japanese, ""), (7, "?!", "")],
+                                  "item_id long, text string, words string")
+    many = [phrase(50, 81) + " Q: who wrote -- the RED book; who wrote the red book " + phrase(50, 82),
+            "who wrote the blue book", "wrote the red book", phrase(12, 80), phrase(12, 80)[:-1],
+            "前言后语都不同" + chinese.replace("。", " ").replace("柳", "杨") + "别的结尾", "请问什么是光呢", "什么是电",
+            "in Paris or Parisian", "parisian", "ああ" + japanese + "ええ", None, "", "who wrote the red", "book", "龍" * 40]
+    got = {(r["doc_id"], r["item_id"]): (r["doc_word"], r["n_words"], r["n_equal"])
+           for r in decontaminate.overlaps(frame(spark, many), items).collect()}
+    assert set(got) == {(0, 1), (3, 2), (5, 3), (6, 4), (8, 5), (10, 6)}
+    assert got[0, 1] == (51, 5, 5) and got[3, 2] == (0, 12, 12) and got[8, 5] == (1, 1, 1) and got[6, 4] == (2, 4, 4)
+    n = len([c for c in chinese if c not in ",。!?"])
+    assert got[5, 3] == (7, n, n - 1) and got[10, 6][0] == 2
+    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(frame(spark, many), items).collect()}
+    assert kept == {1, 2, 4, 7, 9, 11, 12, 13, 14, 15}
+
+
 def test_quality_separates_held_out_texts(spark):
     good = [phrase(40, k) for k in range(60)]
     bad = [" ".join(w.upper() + "!!" for w in phrase(40, 100 + k).split()) for k in range(60)]
