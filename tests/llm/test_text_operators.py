@@ -377,3 +377,27 @@ def test_propagation_equals_plain_iteration(spark):
             following[b] = following.get(b, 0) + rank.get(a, 0) * 85 // 100 * n // out[a]
         rank = {h: r for h, r in following.items() if r}
     assert got == rank
+
+
+def test_propagation_goes_on_until_ranks_settle(spark):
+    chain = [(k, f"https://c{k}.net/", f'<a href="https://c{k + 1}.net/">') for k in range(23)]
+    pages = [*chain, (23, "https://c23.net/", '<a href="https://bad.com/">'), (24, "https://bad.com/de/1", ""),
+             (25, "https://good.org/", '<a href="https://other.net/">'), (26, "https://other.net/", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["verdict"], r["distrust"]) for r in url_trust.judge_pages(df, RULES).collect()}
+    for k in range(24):                                          # c0 leads to the blocked host over 24 links
+        assert got[k][0] == "block" and abs(float(got[k][1]) / (1e30 * 0.15 * 0.85 ** (24 - k)) - 1) < 1e-9
+    assert got[25][0] == got[26][0] == "allow"
+
+
+def test_small_seeds_pass_hubs(spark):
+    edges = [("bad", "hub", 1), ("hub", "next", 1), ("hub", "many", 10 ** 7), ("next", "hub2", 1), ("hub2", "last", 1),
+             ("hub2", "many", 10 ** 7)]
+    seeds = [("bad", 1), ("big", 10 ** 10)]
+    got = {r["host"]: r["rank"] for r in url_trust.propagate(spark.createDataFrame(edges, "src string, dst string, links long"),
+           spark.createDataFrame(seeds, "host string, weight long"), rounds=50, settle=True).collect()}
+    share = 1e30 / (10 ** 10 + 1) * 0.15 * 0.85 ** 4 / (10 ** 7 + 1) ** 2
+    assert abs(float(got["last"]) / share - 1) < 1e-3
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, links long")
+    with pytest.raises(RuntimeError):
+        url_trust.propagate(edges, spark.createDataFrame([("a", 1)], "host string, weight long"), rounds=20, settle=True)
