@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from shoplake.llm.shared import map_batches, runs, texts
 
-MEMO_WORDS = 250_000            # words, and as many chunks, that one task remembers: some 150 MB
+MEMO_WORDS = 120_000            # words, and as many chunks, that one task remembers: some 70 MB
 MEMO_CHARS = 64                 # longer ones are not remembered
 TILE_CHARS = 1 << 21            # characters of text whose new words are merged together
 TILE = 1 << 18                  # symbols that are merged side by side
@@ -65,7 +65,13 @@ class WordBpe:
         self._base, self._pairs, self._ranks, self._made = base, pairs[order], order, made[order]
         self._cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self._memo: dict[str, Coded] = {}
-        self._words: dict[str, Coded] = {s: (str(i), 1, s) for s, i in self.special.items()}
+        self._words: dict[str, Coded] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memos; a task does so at its end, since its worker goes on to other work."""
+        self._memo.clear()
+        self._words = {s: (str(i), 1, s) for s, i in self.special.items()}
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (or never) and merged symbol of each pair."""
@@ -217,7 +223,8 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     def work(doc_id, text):
         got = encoder(vocabulary).encode_all(text)
         return {"doc_id": doc_id, "ids": [[int(i) for i in g[0].split()] for g in got], "decoded": [g[2] for g in got]}
-    return map_batches(texts(docs), "doc_id long, ids array<int>, decoded string", work)
+    return map_batches(texts(docs), "doc_id long, ids array<int>, decoded string", work,
+                       lambda: encoder(vocabulary).forget())
 
 
 def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -233,4 +240,5 @@ def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                 out["ids_sha256"].append(sha(ids))
                 out["decoded_sha256"].append(sha(decoded))
         return out
-    return map_batches(texts(docs), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", work)
+    return map_batches(texts(docs), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", work,
+                       lambda: encoder(vocabulary).forget())

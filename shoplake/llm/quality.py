@@ -1,7 +1,7 @@
-"""Quality classifier: averaged embeddings of hashed words and byte n-grams, softmax output.
+"""Quality classifier: averaged embeddings of hashed words and character n-grams, softmax output.
 
-A document is the mean of the learned vectors of its hashed words, word pairs and byte
-n-grams; a softmax layer over the two classes gives the score. Vectors and layer are
+A document is the mean of the learned vectors of its hashed words, word pairs and
+character n-grams; a softmax layer over the two classes gives the score. Vectors and layer are
 trained together by stochastic gradient descent in numpy on a bounded sample of
 labelled rows. A trained model is linear in the mean, so scoring needs one number per
 bucket: it is a table of `BUCKETS` floats, sent to the tasks, which read every text once.
@@ -9,6 +9,7 @@ bucket: it is a table of `BUCKETS` floats, sent to the tasks, which read every t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplake.llm.shared import map_batches, texts
+from shoplake.llm.shared import map_batches, slices, texts
 from shoplake.llm.words import SOLID_BYTES, batches, mixed, word_hashes
 
 BUCKETS = 1 << 16               # hashed features
@@ -25,42 +26,58 @@ TRAIN_ROWS = 2000               # labelled rows fitted on, at most
 EPOCHS = 6
 RATE = 0.5
 VECTOR_RATE = 20                # times RATE: a mean passes on a small share of its gradient
-GRAMS = (2, 4)
+GRAMS = (2, 4)                  # characters
+PART_CHARS = 1 << 18            # text whose features are held at a time; a longer text stands alone
 REPEATED = np.uint64(0x5EED)    # one feature for any word that follows itself
 SEED = 7
 
 
-def _features(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, document) of all features of the joined texts."""
+def _grams(data: np.ndarray, begins: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of all runs of n characters that stay inside a text."""
+    first = np.flatnonzero((data & 0xC0) != 0x80)       # first byte of each character; line feeds close the texts
+    owner = np.searchsorted(begins, first, "right") - 1
+    wide = data.astype(np.uint32)
+    point = wide[first]
+    for k in range(1, 4):                               # further bytes of a character, if they are its own
+        at = np.minimum(first + k, len(data) - 1)
+        more = (data[at] & 0xC0) == 0x80
+        for j in range(1, k):
+            more &= (data[np.minimum(first + j, len(data) - 1)] & 0xC0) == 0x80
+        point = np.where(more, point << np.uint32(8) | wide[at], point)
+    count = len(first) - n + 1
+    if count < 1:
+        return np.zeros(0, np.uint64), owner[:0]
+    inside = owner[:count] == owner[n - 1:]
+    inside &= first[n - 1:] < begins[owner[:count] + 1] - 1         # not over the closing line feed
+    gram = np.full(count, n, np.uint64)
+    for k in range(n):
+        gram = mixed(gram ^ point[k:count + k])
+    return gram[inside], owner[:count][inside]
+
+
+def _features(data: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, document) of the features of the joined texts, one kind after another."""
+    def bucket(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(7) & np.uint64(BUCKETS - 1)).astype(np.int32)
+
     starts, words = word_hashes(data, SOLID_BYTES)
     owner = np.searchsorted(begins, starts, "right") - 1
-    kinds, owners = [words], [owner]
+    yield bucket(words), owner
     pair = owner[1:] == owner[:-1]
-    kinds.append(np.where(words[1:] == words[:-1], REPEATED, words[:-1] * np.uint64(3) + words[1:])[pair])
-    owners.append(owner[1:][pair])
-    doc = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    wide = data.astype(np.uint64)
+    pairs = np.where(words[1:] == words[:-1], REPEATED, words[:-1] * np.uint64(3) + words[1:])
+    yield bucket(pairs[pair]), owner[1:][pair]
     for n in GRAMS:
-        if len(data) < n:
-            continue
-        gram = np.full(len(data) - n + 1, n, np.uint64)
-        for k in range(n):
-            gram = gram << np.uint64(8) | wide[k:len(data) - n + 1 + k]
-        whole = doc[:len(gram)] == doc[n - 1:]
-        whole &= np.arange(len(gram)) + n < begins[doc[:len(gram)] + 1]      # not over the closing line feed
-        kinds.append(mixed(gram[whole]))
-        owners.append(doc[:len(gram)][whole])
-    bucket = (np.concatenate(kinds) >> np.uint64(7) & np.uint64(BUCKETS - 1)).astype(np.int32)
-    return bucket, np.concatenate(owners)
+        grams, owner = _grams(data, begins, n)
+        yield bucket(grams), owner
 
 
 def bags(many: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, counts) of each text."""
     out = []
-    for _, data, begins in batches(many):
-        bucket, owner = _features(data, begins)
+    for _, data, begins in batches(many, PART_CHARS):
+        key = np.concatenate([owner.astype(np.int64) * BUCKETS + bucket for bucket, owner in _features(data, begins)])
         n = len(begins) - 1
-        key, count = np.unique(owner.astype(np.int64) * BUCKETS + bucket, return_counts=True)
+        key, count = np.unique(key, return_counts=True)
         cuts = np.searchsorted(key, np.arange(n + 1) * BUCKETS)
         out += [((key[a:b] % BUCKETS).astype(np.int32), count[a:b].astype(np.float32))
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -74,11 +91,13 @@ class Model:
 
     def scores(self, many: list[str]) -> list[float]:
         out: list[float] = []
-        for _, data, begins in batches(many):
-            bucket, owner = _features(data, begins)
+        for _, data, begins in batches(many, PART_CHARS):
             n = len(begins) - 1
-            total = np.bincount(owner, self.weight[bucket], n)
-            mean = total / np.maximum(np.bincount(owner, minlength=n), 1)
+            total, count = np.zeros(n), np.zeros(n)
+            for bucket, owner in _features(data, begins):
+                total += np.bincount(owner, self.weight[bucket], n)
+                count += np.bincount(owner, minlength=n)
+            mean = total / np.maximum(count, 1)
             out += (1 / (1 + np.exp(-np.clip(mean + self.bias, -60, 60)))).tolist()
         return out
 
@@ -140,11 +159,16 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of `docs`, all columns, whose text scores at least `least`."""
+    """The rows of `docs`, all columns, whose text scores at least `least`.
+
+    A null text scores as an empty one; equal rows score alike, so all stay or all go; an
+    empty table stays empty. The text is the column `text`; other columns may have any name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(found):
-        for batch in found:
+        for batch in slices(found):
             many = [t or "" for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(np.array(shared.value.scores(many)) >= least)) if many else batch
+            yield batch.filter(pa.array(np.array(shared.value.scores(many)) >= least))
+        pa.default_memory_pool().release_unused()
     return docs.mapInArrow(run, docs.schema)

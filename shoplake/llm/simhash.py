@@ -331,9 +331,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     distinct = stored(named.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"),
                                               F.first("keys").alias("keys")), "distinct-texts")
     keyed = stored(distinct.select("id", "size", F.explode("keys").alias("key")), "keyed-texts")
+    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys")
+    keyed = stored(keyed.join(shared, "key", "left_semi"), "shared-texts")      # few rows: wide sums are of these only
     members = [F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"),
                F.bit_xor(F.xxhash64("id")).alias("mix"), F.bit_xor(F.xxhash64("id", F.lit(SEED))).alias("mix2")]
-    busy = stored(keyed.groupBy("key").agg(*members, F.sum("size").alias("size")).where("n > 1")
+    busy = stored(keyed.groupBy("key").agg(*members, F.sum("size").alias("size"))
                   .groupBy("n", "low", "high", "mix", "mix2", "size").agg(F.min("key").alias("key"))
                   .select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).alias("parts")),
                   "busy-keys")
@@ -351,7 +353,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     same = (F.col("found.id") == F.col("asked.id")) & F.col("found.doc_id").eqNullSafe(F.col("asked.doc_id"))
     once = found.alias("found").join(stored(asked, "asked").alias("asked"), same, "left_semi").select("id", "text")
     shape = "id long, " + ", ".join(f"{c} long" for c in columns) + ", shingles array<long>"
-    shingles = stored(map_batches(once, shape, sets).dropDuplicates(["id"]), "shingle-sets")
+    shingles = map_batches(once, shape, sets).dropDuplicates(["id"])     # laid out by id: the join moves only `placed`
     links = block_links(placed.join(shingles, "id").select("block", "side", "id", *columns, "shingles"),
                         WIDTH, REACH, similarity)
     roots = components(stored(links, "similar-pairs"), "similar-components")
