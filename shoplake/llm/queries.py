@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplake.llm import (
-    bpe, decontaminate, kd_shards, pivots, quality, secrets, simhash, suffix_repeats, token_counts, url_trust)
+    bpe, decontaminate, filter_audit, kd_shards, main_text, pivots, prefix_trie, quality, secrets, simhash, suffix_repeats,
+    token_counts, url_trust)
 from shoplake.llm.shared import table
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -87,10 +88,28 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from each source, in all orders of the filters."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All shared prefixes of the rebuilt conversations."""
+    turns, convs = prefix_trie.spliced(prefix_trie.turn_ids(table(spark, sf_dir, "conversations")), every=5, choices=9)
+    return prefix_trie.trie_nodes(turns, convs).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_near_vectors, op2_bpe_codec, op3_url_filter, op4_token_counts, op5_decontaminate, op6_quality,
-                                   op7_kd_shards, op8_suffix_repeats, op9_simhash, op10_secrets)}
+                                   op7_kd_shards, op8_suffix_repeats, op9_simhash, op10_secrets, op11_main_text, op12_filter_audit,
+                                   op13_prefix_trie)}
 
 
 def checks() -> dict[str, str]:
-    return {}
+    return {"op12_filter_audit": filter_audit.AUDIT_SQL, "op13_prefix_trie": prefix_trie.TRIE_SQL}
