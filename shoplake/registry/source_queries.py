@@ -14,8 +14,9 @@ from shoplake.sources import driver_tables as src
 from shoplake.sources.calendar import calendar_covering
 from shoplake.sources.ids import assign_ids, split_ranges
 from shoplake.sources.keyed import KeyedTable
+from shoplake.sources.batches import append_changes
 from shoplake.sources.lake import (
-    append_changes, load_table, mirror_table, query_in_place, read_changelog, write_partitioned)
+    load_table, mirror_table, query_in_place, read_changelog, write_partitioned)
 from shoplake.sources.tsv import read_tsv, write_tsv
 
 ITEM_COLUMNS = "item_id, order_id, product_id, quantity, unit_price, subtotal, discount_amount, create_time"

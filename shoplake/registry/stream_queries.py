@@ -221,7 +221,7 @@ def _(spark, sf):
     root = scratch_dir(spark, "replay")
     stream = feed(spark, src.events(spark, sf), ["ts", "event_id"], root)
 
-    def note(batch, batch_id):
+    def note(batch, batch_id, run):
         batch.agg(F.count(F.lit(1)).alias("rows"), F.min("event_id").alias("first_id"),
                   F.max("event_id").alias("last_id")) \
             .write.mode("overwrite").parquet(f"{root}/notes/batch_id={batch_id}")

@@ -1,9 +1,10 @@
 """A keyed table kept as a snapshot plus batches of changes.
 
-Each batch is a folder named by its id, so writing one again replaces it: a re-run
-of a micro-batch changes nothing. Reads replay the batches over the latest finished
-snapshot by source order, so late and repeated events cannot win over newer ones.
-`compact` folds the batches into a new snapshot beside the old one.
+Each batch is a folder named by its run and number, so writing one again replaces it and
+a re-run of a micro-batch changes nothing, while a new run, which numbers from 0 again,
+overwrites nothing. Reads replay the batches over the latest finished snapshot by source
+order, so late and repeated events cannot win over newer ones. `compact` folds the
+batches into a new snapshot beside the old one.
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoplake.operators.changes import latest_per_key
+from shoplake.sources import batches as log
+from shoplake.sources.batches import BatchKey
+from shoplake.sources.lake import folders
+
+BY_HAND = "direct"              # run of batches that no stream wrote
 
 
 @dataclass(frozen=True)
@@ -26,77 +32,69 @@ class KeyedTable:
     seq: list[str]
     partition: tuple[str, ...] = ()     # of the keys: folders that a filter on them skips
 
-    def append(self, batch: DataFrame, batch_id: int) -> None:
+    @property
+    def changes(self) -> str:
+        return f"{self.path}/changes"
+
+    def append(self, batch: DataFrame, batch_id: int, run: str = BY_HAND) -> None:
         """Store a batch, reduced to its latest row per key; deletes stay as tombstones.
 
-        A number that a snapshot has folded already can only be the same batch again. If it
-        was never stored, a new run has started counting anew, and reads would miss it: an error.
+        A batch that a snapshot has folded already can only be the same batch again. If it
+        was never stored, its number has gone backwards within a run, and reads would miss it: an error.
         """
         spark = batch.sparkSession
-        folded = self._finished(spark, "snapshot")
-        if folded and batch_id <= folded[-1] and batch_id not in self.batches(spark):
-            raise ValueError(f"batch {batch_id} is older than the snapshot up to {folded[-1]}; number batches onwards")
+        covered = self._snapshots(spark)
+        key = log.label(spark, self.changes, run), batch_id
+        if covered and key <= covered[-1] and key not in self.batches(spark):
+            raise ValueError(f"batch {key} is older than the snapshot up to {covered[-1]}; number batches onwards")
         latest = latest_per_key(batch.select(*self.schema.names), self.keys, self.seq, keep_deletes=True)
-        self._write(latest, f"{self.path}/changes/batch_id={batch_id}")
-
-    def _write(self, df: DataFrame, path: str) -> None:
-        """By folder if the table is partitioned; a heavy folder becomes several files."""
-        if not self.partition:
-            df.write.mode("overwrite").parquet(path)
-        else:
-            df.hint("rebalance", *[F.col(c) for c in self.partition]) \
-                .write.mode("overwrite").partitionBy(*self.partition).parquet(path)
-
-    def _read(self, spark: SparkSession, number: str, paths: list[str]) -> DataFrame:
-        """Folders of one kind; their numbers are left out."""
-        reader = spark.read
-        if self.partition:
-            reader = reader.option("basePath", paths[0].rsplit("/", 1)[0])
-            return reader.schema(T.StructType([*self.schema.fields, T.StructField(number, T.LongType())])) \
-                .parquet(*paths).select(*self.schema.names)
-        return reader.schema(self.schema).parquet(*paths)
-
-    def _finished(self, spark: SparkSession, folder: str) -> list[int]:
-        """Numbers of the finished sub-folders (`name=<number>` with a success mark)."""
-        root = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = []
-        for entry in fs.listStatus(root):
-            at = entry.getPath()
-            done = spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")
-            if entry.isDirectory() and fs.exists(done):
-                found.append(int(at.getName().split("=")[1]))
-        return sorted(found)
-
-    def rows(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        log.write_batch(latest, self.changes, run, batch_id, self.partition)
+
+    def _read(self, spark: SparkSession, base: str, paths: list[str], places: list[T.StructField]) -> DataFrame:
+        """Folders below `base`; their numbers are left out."""
+        return spark.read.option("basePath", base).schema(T.StructType([*self.schema.fields, *places])) \
+            .parquet(*paths).select(*self.schema.names)
+
+    def _snapshots(self, spark: SparkSession) -> list[BatchKey]:
+        """The last batch of each finished snapshot."""
+        names = [n.split("=", 1)[1] for n in folders(spark, f"{self.path}/snapshot", done=True)]
+        return sorted((n.rsplit("~", 1)[0], int(n.rsplit("~", 1)[1])) for n in names)
+
+    def rows(self, spark: SparkSession, before: BatchKey | None = None) -> DataFrame:
         """Latest snapshot and the batches after it, tombstones included."""
         covered = None
         parts = []
-        snapshots = [n for n in self._finished(spark, "snapshot") if before is None or n < before]
+        snapshots = [n for n in self._snapshots(spark) if before is None or n < before]
         if snapshots:
             covered = snapshots[-1]
-            parts.append(self._read(spark, "upto", [f"{self.path}/snapshot/upto={covered}"]))
-        paths = [f"{self.path}/changes/batch_id={n}" for n in self._finished(spark, "changes")
+            parts.append(self._read(spark, f"{self.path}/snapshot", [self._snapshot(covered)],
+                                    [T.StructField("upto", T.StringType())]))
+        paths = [log.folder(self.changes, n) for n in self.batches(spark)
                  if (covered is None or n > covered) and (before is None or n < before)]
         if paths:
-            parts.append(self._read(spark, "batch_id", paths))
+            parts.append(self._read(spark, self.changes, paths, log.PLACES))
         return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], self.schema)
 
-    def current(self, spark: SparkSession, before: int | None = None,
+    def _snapshot(self, upto: BatchKey) -> str:
+        return f"{self.path}/snapshot/upto={upto[0]}~{upto[1]}"
+
+    def current(self, spark: SparkSession, before: BatchKey | None = None,
                 keep_deletes: bool = False) -> DataFrame:
         """One row per live key. `before` leaves out that batch and later ones."""
         return latest_per_key(self.rows(spark, before), self.keys, self.seq, keep_deletes=keep_deletes)
 
-    def batches(self, spark: SparkSession) -> list[int]:
-        """Ids of the batches stored so far."""
-        return self._finished(spark, "changes")
+    def batches(self, spark: SparkSession) -> list[BatchKey]:
+        """Keys of the batches stored so far, in order."""
+        return log.finished(spark, self.changes)
 
-    def compact(self, spark: SparkSession) -> int | None:
+    def compact(self, spark: SparkSession) -> BatchKey | None:
         """Fold all batches into a snapshot. Tombstones stay: a late event may follow."""
-        batches = self.batches(spark)
-        upto = batches[-1] if batches else None
-        if batches and upto not in self._finished(spark, "snapshot"):
-            self._write(self.current(spark, before=upto + 1, keep_deletes=True), f"{self.path}/snapshot/upto={upto}")
-        return upto
+        found = self.batches(spark)
+        if not found:
+            return None
+        if found[-1] not in self._snapshots(spark):
+            folded = self.current(spark, before=(found[-1][0], found[-1][1] + 1), keep_deletes=True)
+            if self.partition:
+                folded = folded.hint("rebalance", *[F.col(c) for c in self.partition])
+            folded.write.mode("overwrite").partitionBy(*self.partition).parquet(self._snapshot(found[-1]))
+        return found[-1]

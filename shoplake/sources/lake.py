@@ -40,9 +40,14 @@ def write_bucketed(df: DataFrame, table: str, n: int, key: str, path: str | None
     writer.saveAsTable(table)
 
 
-def append_changes(df: DataFrame, path: str, batch_id: int) -> None:
-    """Append one batch of a change table. The same batch written twice counts once."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def folders(spark: SparkSession, path: str, done: bool = False) -> list[str]:
+    """Names of the folders in `path`, if `done` only those with a success mark."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    return [e.getPath().getName() for e in fs.listStatus(root) if e.isDirectory()
+            and (not done or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(e.getPath(), "_SUCCESS")))]
 
 
 def read_changelog(spark: SparkSession, path: str, schema: T.StructType, streaming: bool = False,

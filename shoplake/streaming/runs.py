@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from shoplake.operators.ordered import ordered_scan
+from shoplake.sources.batches import run_id
 
 
 def run(writer: DataStreamWriter, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -22,13 +23,14 @@ def run(writer: DataStreamWriter, checkpoint: str, every: str | None = None) ->
     return query
 
 
-def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,
+def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int, str], None], checkpoint: str,
                every: str | None = None) -> StreamingQuery:
-    """foreachBatch with the batch read once. Handlers must be idempotent per batch id."""
+    """foreachBatch with the batch read once. Handlers get the batch, its number and the run
+    that numbers it, and must be idempotent per run and number."""
     def guarded(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
         try:
-            handle(held, batch_id)
+            handle(held, batch_id, run_id(batch.sparkSession, checkpoint))
         finally:
             held.unpersist()
 

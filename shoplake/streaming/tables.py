@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +13,7 @@ from shoplake.operators.joins import lookup_join
 from shoplake.operators.status import MILESTONES, is_valid_step, milestones, with_durations
 from shoplake.operators.ordered import ordered_scan
 from shoplake.plans.dwd import with_date_parts
+from shoplake.sources import batches
 from shoplake.sources.keyed import KeyedTable
 from shoplake.streaming.runs import each_batch
 
@@ -24,40 +25,59 @@ def upsert_stream(events: DataFrame, table: KeyedTable, checkpoint: str,
 
 
 # ---- price history ----------------------------------------------------------
+BUCKETS = 64                    # folders of the history; a batch reads those of its products
+
+
 def scd2_stream(changes: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Keep price versions from a stream of price changes.
 
     A batch adds its rows to the history and rebuilds the versions of the products it
-    touches, since a late change may split an old version. Both writes carry the batch
-    id and replace themselves on a re-run.
+    touches, since a late change may split an old version. The history lies in folders by a
+    hash of the product, and a batch reads the folders of its products only. Both writes carry
+    run and batch and replace themselves on a re-run; a batch does not see later ones.
     """
-    schema = changes.schema
+    schema = T.StructType([*changes.schema.fields, T.StructField("bucket", T.LongType())])
 
-    def rebuild(batch: DataFrame, batch_id: int) -> None:
+    def rebuild(batch: DataFrame, batch_id: int, run: str) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/history/batch_id={batch_id}")
-        touched = batch.select("product_id").distinct()
-        stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])) \
-            .parquet(f"{path}/history").where(F.col("batch_id") <= batch_id)
-        history = stored.join(touched, "product_id", "left_semi").drop("batch_id")
-        build_scd2(history.dropDuplicates(["change_id"])) \
-            .write.mode("overwrite").parquet(f"{path}/versions/batch_id={batch_id}")
+        placed = batch.withColumn("bucket", product_bucket())
+        key = batches.write_batch(placed, f"{path}/history", run, batch_id, ("bucket",))
+        touched = placed.select("product_id", "bucket").distinct()
+        versions = build_scd2(touched_history(spark, f"{path}/history", schema, touched, key))
+        batches.write_batch(versions, f"{path}/versions", run, batch_id)
 
     return each_batch(changes, rebuild, checkpoint, every)
 
 
+def product_bucket() -> Column:
+    return F.pmod(F.xxhash64(F.col("product_id")), F.lit(BUCKETS))
+
+
+def touched_history(spark: SparkSession, path: str, schema: T.StructType, touched: DataFrame,
+                    upto: batches.BatchKey) -> DataFrame:
+    """Changes up to a batch of the products in `touched` (product_id, bucket), each once.
+
+    The join on the folder column prunes the scan at run time.
+    """
+    stored = batches.read_batches(spark, path, schema, upto)
+    buckets = touched.where("bucket >= 0").select("bucket").distinct()     # BUCKETS rows at most
+    return (stored.join(F.broadcast(buckets), "bucket").join(touched, ["product_id", "bucket"], "left_semi")
+            .drop("bucket", "run", "batch_id").dropDuplicates(["change_id"]))
+
+
 def scd2_versions(spark: SparkSession, path: str) -> DataFrame:
     """Versions as of the last batch that touched each product."""
     stored = spark.read.parquet(f"{path}/versions")
-    newest = stored.groupBy("product_id").agg(F.max("batch_id").alias("batch_id"))
-    return stored.join(newest, ["product_id", "batch_id"]).drop("batch_id")
+    newest = stored.groupBy("product_id").agg(F.max(F.struct("run", "batch_id")).alias("newest"))
+    at = F.struct("run", "batch_id")
+    return stored.join(newest, "product_id").where(at == F.col("newest")).drop("run", "batch_id", "newest")
 
 
 # ---- accumulating snapshot --------------------------------------------------
 def acc_stream(status: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Keep order milestones from a stream of status rows (order_id, status, ts)."""
-    def add(batch: DataFrame, batch_id: int) -> None:
-        milestones(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    def add(batch: DataFrame, batch_id: int, run: str) -> None:
+        batches.write_batch(milestones(batch), path, run, batch_id)
 
     return each_batch(status, add, checkpoint, every)
 
@@ -83,9 +103,9 @@ def date_dim_stream(facts: DataFrame, ts: str, path: str, checkpoint: str,
     """Keep the calendar of the days seen in a stream of facts."""
     table = date_dim_table(path)
 
-    def add(batch: DataFrame, batch_id: int) -> None:
+    def add(batch: DataFrame, batch_id: int, run: str) -> None:
         days = with_date_parts(batch.select(F.to_date(ts).alias("date_key")).distinct())
-        table.append(days.select(*[F.col(f.name).cast(f.dataType) for f in table.schema.fields]), batch_id)
+        table.append(days.select(*[F.col(f.name).cast(f.dataType) for f in table.schema.fields]), batch_id, run)
 
     return each_batch(facts, add, checkpoint, every)
 
@@ -123,19 +143,20 @@ def invalid_transition_stream(status: DataFrame, path: str, checkpoint: str,
     """
     last = last_status_table(path)
 
-    def check(batch: DataFrame, batch_id: int) -> None:
+    def check(batch: DataFrame, batch_id: int, run: str) -> None:
         spark = batch.sparkSession
+        here = batches.label(spark, last.changes, run), batch_id
         rows = batch.select("order_id", "seq", "status", F.lit(0).alias("_carried"))
-        before = last.current(spark, before=batch_id) \
+        before = last.current(spark, before=here) \
             .join(rows.select("order_id").distinct(), "order_id", "left_semi") \
             .select("order_id", "seq", "status", F.lit(1).alias("_carried"))
         seen = ordered_scan(rows.unionByName(before), ["order_id"], ["seq", "_carried"],
                             previous={"from_status": "status"})
         bad = seen.where((F.col("_carried") == 0)
                          & ~F.coalesce(is_valid_step(F.col("from_status"), F.col("status")), F.lit(False)))
-        bad.select("order_id", "seq", "from_status", F.col("status").alias("to_status")) \
-            .write.mode("overwrite").parquet(f"{path}/invalid/batch_id={batch_id}")
-        last.append(batch.select("order_id", "seq", "status"), batch_id)
+        bad = bad.select("order_id", "seq", "from_status", F.col("status").alias("to_status"))
+        batches.write_batch(bad, f"{path}/invalid", run, batch_id)
+        last.append(batch.select("order_id", "seq", "status"), batch_id, run)
 
     return each_batch(status, check, checkpoint, every)
 
@@ -147,27 +168,27 @@ def last_status_table(path: str) -> KeyedTable:
 
 
 def invalid_transitions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/invalid").drop("batch_id")
+    return spark.read.parquet(f"{path}/invalid").drop("run", "batch_id")
 
 
 # ---- snapshot then stream ---------------------------------------------------
 def backfill_then_follow(spark: SparkSession, snapshot: DataFrame, events: DataFrame, table: KeyedTable,
                          checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Load a full snapshot as batch -1, then apply a stream on top of it.
+    """Load a full snapshot as a run of its own, then apply a stream on top of it.
 
     Stream events older than the snapshot lose to it by `seq`, so the stream may start
     anywhere before the snapshot's position.
     """
     if not table.batches(spark):
-        table.append(snapshot, -1)
+        table.append(snapshot, 0, "snapshot")
     return upsert_stream(events, table, checkpoint, every)
 
 
 def stamp_sink_time(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append rows with the time they reached the sink, for latency measurement."""
-    def add(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("sink_time", F.current_timestamp().cast("timestamp_ntz")) \
-            .write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    def add(batch: DataFrame, batch_id: int, run: str) -> None:
+        stamped = batch.withColumn("sink_time", F.current_timestamp().cast("timestamp_ntz"))
+        batches.write_batch(stamped, path, run, batch_id)
 
     return each_batch(stream, add, checkpoint, every)
 

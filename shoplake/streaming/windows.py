@@ -36,7 +36,7 @@ def window_stream(stream: DataFrame, ts: str, width: str, delay: str, table: Key
     State is kept for the delay only. Counts grow, so the largest is the latest.
     """
     counts = tumbling_counts(stream, ts, width, delay)
-    return each_batch(counts, lambda batch, n: table.append(batch, n), checkpoint, every)
+    return each_batch(counts, table.append, checkpoint, every)
 
 
 def window_table(path: str) -> KeyedTable:

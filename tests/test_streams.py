@@ -114,3 +114,55 @@ def test_stateful_snapshot_matches_batch(spark, tmp_path):
     runs.run(state.writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend(b.collect())), str(tmp_path / "c"))
     last = {r["order_id"]: r for r in seen}
     assert str(last[1]["pay_time"]) == T1 and last[2]["pay_time"] is None
+
+
+def two_runs(spark, df, order, tmp_path, start):
+    """The halves of `df` as two streams with fresh checkpoints; the first stream's last batch is then done again."""
+    half = df.count() // 2
+    ranked = df.orderBy(*order).collect()
+    for k, part in enumerate((ranked[:half], ranked[half:])):
+        stream = feed(spark, spark.createDataFrame(part, df.schema), order, str(tmp_path / f"in{k}"), 2)
+        start(stream, str(tmp_path / f"c{k}"))
+
+
+def test_a_new_run_overwrites_nothing(spark, tmp_path):
+    schema = "k long, v string, op string, seq long"
+    events = spark.createDataFrame([(i, f"v{i}", "I", i) for i in range(8)] + [(1, "new", "UA", 9)], schema)
+    table = KeyedTable(str(tmp_path / "t"), events.schema, ["k"], ["seq"])
+    two_runs(spark, events, ["seq"], tmp_path, lambda stream, c: tables.upsert_stream(stream, table, c))
+    assert rows(table.current(spark), "k", "v") == rows(latest_per_key(events, ["k"], ["seq"]), "k", "v")
+    assert len({run for run, _ in table.batches(spark)}) == 2
+    again = events.where("seq >= 8")
+    first = table.batches(spark)
+    table.append(again, first[-1][1], first[-1][0].split("-", 1)[1])       # the same batch once more
+    assert table.batches(spark) == first and rows(table.current(spark), "k", "v")[1] == (1, "new")
+
+
+def test_versions_over_two_runs(spark, tmp_path):
+    log = price_log(spark, [(1, 1, "5.00", "INIT", T0), (2, 2, "6.00", "INIT", T0), (3, 1, "7.00", "ADJUST", T2),
+                            (4, 1, "8.00", "ADJUST", T3), (5, 1, "6.00", "ADJUST", T1), (6, 3, "1.00", "INIT", T1)])
+    two_runs(spark, log, ["change_id"], tmp_path, lambda stream, c: tables.scd2_stream(stream, str(tmp_path / "s"), c))
+    assert rows(tables.scd2_versions(spark, str(tmp_path / "s"))) == rows(build_scd2(log))
+
+
+def test_order_snapshot_and_steps_over_two_runs(spark, tmp_path):
+    log = typed(spark.createDataFrame([
+        (1, 1, "CREATED", T0), (2, 2, "CREATED", T0), (1, 3, "PAID", T1), (2, 4, "SHIPPED", T1), (1, 5, "SHIPPED", T2), (1, 6, "PAID", T3)],
+        "order_id long, seq long, status string, ts string"), "ts")
+    two_runs(spark, log, ["seq"], tmp_path, lambda stream, c: tables.acc_stream(stream, str(tmp_path / "a"), c))
+    assert rows(tables.acc_snapshot(spark, str(tmp_path / "a"))) == rows(with_durations(milestones(log)))
+    steps = tmp_path / "steps"
+    two_runs(spark, log.drop("ts"), ["seq"], steps, lambda stream, c: tables.invalid_transition_stream(stream, str(tmp_path / "o"), c))
+    want = transitions(log).where("valid = 0").select("order_id", "seq", "from_status", "to_status")
+    assert rows(tables.invalid_transitions(spark, str(tmp_path / "o"))) == rows(want)
+
+
+def test_a_batch_of_changes_reads_the_folders_of_its_products(spark, tmp_path):
+    log = price_log(spark, [(i, i % 40, "5.00", "INIT", T0) for i in range(1, 200)])
+    placed = log.withColumn("bucket", tables.product_bucket())
+    key = tables.batches.write_batch(placed, str(tmp_path / "h"), "r", 0, ("bucket",))
+    touched = placed.where("product_id = 7").select("product_id", "bucket").distinct()
+    got = tables.touched_history(spark, str(tmp_path / "h"), placed.schema, touched, key)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    assert got.count() == log.where("product_id = 7").count()
