@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplake.operators.ordered import ordered_scan
@@ -65,22 +65,31 @@ def day_end_levels(log: DataFrame) -> DataFrame:
                  F.sum(F.when(delta < 0, -delta).otherwise(0)).alias("out_qty")))
 
 
-def densify(products: DataFrame, start: str, end: str) -> DataFrame:
-    """Every product on every day: each row expands on its own, nothing is joined."""
-    days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
+def day_span(facts: DataFrame, ts: str) -> tuple[Column, Column]:
+    """First and last day of `facts`, as scalars of a plan; null without facts."""
+    return (facts.agg(F.min(F.to_date(ts))).scalar(), facts.agg(F.max(F.to_date(ts))).scalar())
+
+
+def densify(products: DataFrame, start: str | Column, end: str | Column) -> DataFrame:
+    """Every product on every day: each row expands on its own, nothing is joined. No span, no rows."""
+    first, last = (F.lit(d).cast("date") for d in (start, end))
+    days = F.when(first <= last, F.sequence(first, F.greatest(first, last)))
     return products.select("product_id", F.explode(days).alias("dt"))
 
 
-def stock_per_day(products: DataFrame, log: DataFrame, start: str, end: str) -> DataFrame:
+def stock_per_day(products: DataFrame, log: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Day-end stock of each product, the last level carried over days without change.
 
-    Levels from before `start` count; a day before any change has no level.
+    Without `start` or `end` the days run from the log's first or to its last. Levels from
+    before `start` count; a day before any change has no level.
     """
-    moves = day_end_levels(log.where(F.to_date("change_time") <= F.lit(end).cast("date")))
-    within = moves.where(F.col("dt") >= F.lit(start).cast("date"))
-    opening = (moves.where(F.col("dt") < F.lit(start).cast("date")).groupBy("product_id")
+    first, last = day_span(log, "change_time")
+    first, last = (F.lit(start).cast("date") if start else first), (F.lit(end).cast("date") if end else last)
+    moves = day_end_levels(log.where(F.to_date("change_time") <= last))
+    within = moves.where(F.col("dt") >= first)
+    opening = (moves.where(F.col("dt") < first).groupBy("product_id")
                .agg(F.max_by("last_stock", "dt").alias("_opening")))
-    grid = densify(products, start, end).join(within, ["product_id", "dt"], "left") \
+    grid = densify(products, first, last).join(within, ["product_id", "dt"], "left") \
         .join(opening, "product_id", "left")
     # A product has exactly one row per day here, so this window is small for every key.
     carried = Window.partitionBy("product_id").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)

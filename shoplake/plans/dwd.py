@@ -56,5 +56,6 @@ def fact_order_acc(orders: DataFrame) -> DataFrame:
     return with_durations(orders.select(*kept)).withColumn("dt", F.to_date("order_time"))
 
 
-def fact_product_stock_per_day(products: DataFrame, log: DataFrame, start: str, end: str) -> DataFrame:
+def fact_product_stock_per_day(products: DataFrame, log: DataFrame, start: str | None = None,
+                               end: str | None = None) -> DataFrame:
     return stock_per_day(products, log, start, end)

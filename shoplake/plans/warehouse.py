@@ -16,12 +16,12 @@ from shoplake.sources.lake import load_table, write_partitioned
 
 @dataclass(frozen=True)
 class Span:
-    """First and last day of the stock report, the day scores are drawn for, and the
-    partition width of the fact tables."""
-    start: str
-    end: str
+    """The day scores are drawn for, the partition width of the fact tables, and first and
+    last day of calendar and stock report; where not given, those of the stock log."""
     as_of: str
     grain: str = "day"
+    start: str | None = None
+    end: str | None = None
 
 
 def build(spark: SparkSession, sources: Mapping[str, DataFrame], root: str, span: Span) -> dict[str, str]:
@@ -47,14 +47,18 @@ def build(spark: SparkSession, sources: Mapping[str, DataFrame], root: str, span
     orders, lines, products = ods["fact_order"], ods["fact_order_item"], ods["dim_product"]
     prices = exclude_types(ods["fact_product_price_change"], ["FINAL"])
 
-    store("dwd.dim_date", dwd.dim_date(spark, span.start, span.end))
+    days = ods["fact_stock_change"].agg(F.min(F.to_date("change_time")).cast("string"), F.max(F.to_date("change_time")).cast("string"))
+    start, end = (given or seen for given, seen in zip((span.start, span.end), days.first(), strict=True))
+    if not start or not end:
+        raise ValueError("an empty stock log names no days; give the span's start and end")
+    store("dwd.dim_date", dwd.dim_date(spark, start, end))
     users = store("dwd.dim_user", dwd.dim_user(ods["dim_user"], orders))
     store("dwd.dim_product", dwd.dim_product(products))
-    store("dwd.dim_product_price_scd2", dwd.dim_product_price_scd2(prices, products, span.start))
+    store("dwd.dim_product_price_scd2", dwd.dim_product_price_scd2(prices, products, start))
     items = store("dwd.fact_order_item", dwd.fact_order_item(lines, products), "create_time")
     acc = store("dwd.fact_order_acc", dwd.fact_order_acc(orders), "order_time")
     stock = store("dwd.fact_product_stock_per_day", dwd.fact_product_stock_per_day(
-        products, ods["fact_stock_change"], span.start, span.end))
+        products, ods["fact_stock_change"], start, end))
 
     user_day = store("dws.trade_user_day", dws.trade_user_day(acc))
     product_day = store("dws.trade_product_day", dws.trade_product_day(items))

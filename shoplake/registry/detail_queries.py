@@ -11,7 +11,7 @@ from shoplake.operators.history import asof_join, build_scd2, build_scd2_multi,
 from shoplake.operators.joins import unmatched_count
 from shoplake.operators.status import milestones, order_trace, transitions, with_durations
 from shoplake.operators.stock import (
-    day_end_levels, deduct_stock, densify, floored_levels, running_stock, stock_per_day, total_stock_by_day)
+    day_end_levels, day_span, deduct_stock, densify, floored_levels, running_stock, stock_per_day, total_stock_by_day)
 from shoplake.plans import dwd, dws
 from shoplake.registry.base import query
 from shoplake.registry.model_sql import using
@@ -246,18 +246,17 @@ STOCK_DAYS = using("stock_log", "products") + """
 , moves AS (SELECT product_id, CAST(change_time AS DATE) AS d, arg_max(stock_after, (change_time, change_id)) AS last_stock,
             sum(CASE WHEN delta > 0 THEN delta ELSE 0 END) AS in_qty, sum(CASE WHEN delta < 0 THEN -delta ELSE 0 END) AS out_qty
             FROM stock_log GROUP BY 1, 2),
-grid AS (SELECT product_id, CAST(g AS DATE) AS dt FROM products,
-         generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) t(g)),
-per_day AS (SELECT g.product_id, g.dt, coalesce(
-         last_value(last_stock IGNORE NULLS) OVER (PARTITION BY g.product_id ORDER BY g.dt),
-         (SELECT arg_max(o.last_stock, o.d) FROM moves o WHERE o.product_id = g.product_id AND o.d < DATE '2024-01-05')) AS day_end_stock,
+span AS (SELECT min(CAST(change_time AS DATE)) AS first, max(CAST(change_time AS DATE)) AS last FROM stock_log),
+grid AS (SELECT product_id, CAST(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS dt FROM products, span),
+per_day AS (SELECT g.product_id, g.dt,
+       last_value(last_stock IGNORE NULLS) OVER (PARTITION BY g.product_id ORDER BY g.dt) AS day_end_stock,
        coalesce(in_qty, 0) AS in_qty, coalesce(out_qty, 0) AS out_qty
 FROM grid g LEFT JOIN moves m ON g.product_id = m.product_id AND g.dt = m.d)
 """
 
 
 def per_day(spark, sf):
-    return stock_per_day(src.products(spark, sf), src.stock_log(spark, sf), "2024-01-05", "2024-01-31")
+    return stock_per_day(src.products(spark, sf), src.stock_log(spark, sf))
 
 
 @query("dwd_fact_product_stock_per_day", STOCK_DAYS + "SELECT * FROM per_day", day="dt",
@@ -279,11 +278,24 @@ def _(spark, sf):
     return total_stock_by_day(per_day(spark, sf))
 
 
-@query("densify", """
-SELECT p_partkey AS product_id, CAST(g AS DATE) AS dt
-FROM part, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-14', INTERVAL 1 DAY) t(g)""", day="dt")
+@query("densify", using("stock_log") + """
+SELECT p_partkey AS product_id, CAST(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS dt
+FROM part, (SELECT min(CAST(change_time AS DATE)) AS first, max(CAST(change_time AS DATE)) AS last FROM stock_log)""", day="dt")
 def _(spark, sf):
-    return densify(src.products(spark, sf), "2024-01-01", "2024-01-14")
+    return densify(src.products(spark, sf), *day_span(src.stock_log(spark, sf), "change_time"))
+
+
+@query("stock_from_later_day", using("stock_log", "products") + """
+, span AS (SELECT min(CAST(change_time AS DATE)) + 10 AS first, max(CAST(change_time AS DATE)) AS last FROM stock_log),
+grid AS (SELECT product_id, CAST(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS dt FROM products, span)
+SELECT g.product_id, dt, (SELECT arg_max(stock_after, (change_time, change_id)) FROM stock_log l
+                          WHERE l.product_id = g.product_id AND CAST(change_time AS DATE) <= g.dt) AS day_end_stock FROM grid g""",
+       day="dt", whole="day_end_stock")
+def _(spark, sf):
+    """Days from the log's eleventh on: the levels of the days before open the first."""
+    log = src.stock_log(spark, sf)
+    first = log.agg(F.date_add(F.min(F.to_date("change_time")), 10)).first()[0]
+    return stock_per_day(src.products(spark, sf), log, start=str(first)).select("product_id", "dt", "day_end_stock")
 
 
 @query("running_stock", using("stock_log") + """

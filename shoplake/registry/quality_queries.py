@@ -139,14 +139,39 @@ def _(spark, sf):
     return Q.scd2_breaks(scd2)
 
 
-@query("q_unit_price", using("f_items", "products", "real_log") + """
+SOLD = using("f_items", "products", "real_log") + """
+, sold AS (SELECT item_id, product_id, unit_price, create_time FROM f_items UNION ALL
+           SELECT -2 * change_id - 1, product_id, new_price, change_time + INTERVAL 400 MILLISECOND FROM real_log UNION ALL
+           SELECT -2 * change_id - 2, product_id, new_price, change_time - INTERVAL 400 MILLISECOND FROM real_log)"""
+
+
+def sold(spark, sf):
+    """The lines of the test tables, from before any logged price, and lines about each price change."""
+    return src.items(spark, sf).unionByName(src.sold_lines(spark, sf))
+
+
+@query("q_unit_price", SOLD + """
 , c AS (SELECT item_id, i.product_id, unit_price, coalesce(l.new_price, price) AS asof_price
-        FROM f_items i ASOF LEFT JOIN real_log l ON i.product_id = l.product_id AND i.create_time >= l.change_time
+        FROM sold i ASOF LEFT JOIN real_log l ON i.product_id = l.product_id AND i.create_time >= l.change_time
         LEFT JOIN products p ON i.product_id = p.product_id)
 SELECT item_id, product_id, unit_price, asof_price FROM c WHERE unit_price IS DISTINCT FROM asof_price""",
        num="unit_price asof_price")
 def _(spark, sf):
-    return Q.unit_price_mismatch(src.items(spark, sf), real_log(spark, sf), src.products(spark, sf), "exact") \
+    return Q.unit_price_mismatch(sold(spark, sf), real_log(spark, sf), src.products(spark, sf), "exact") \
+        .select("item_id", "product_id", "unit_price", "asof_price")
+
+
+@query("q_unit_price_second", SOLD + """
+, r AS (SELECT product_id, date_trunc('second', change_time + INTERVAL 500 MILLISECOND) AS at, arg_max(new_price, change_id) AS new_price
+        FROM real_log GROUP BY 1, 2),
+c AS (SELECT item_id, i.product_id, unit_price, coalesce(r.new_price, price) AS asof_price
+      FROM sold i ASOF LEFT JOIN r ON i.product_id = r.product_id AND date_trunc('second', i.create_time + INTERVAL 500 MILLISECOND) >= r.at
+      LEFT JOIN products p ON i.product_id = p.product_id)
+SELECT item_id, product_id, unit_price, asof_price FROM c WHERE unit_price IS DISTINCT FROM asof_price""",
+       num="unit_price asof_price")
+def _(spark, sf):
+    """Times rounded to seconds: some of the lines 400 ms early now have the price they were sold at."""
+    return Q.unit_price_mismatch(sold(spark, sf), real_log(spark, sf), src.products(spark, sf), "second") \
         .select("item_id", "product_id", "unit_price", "asof_price")
 
 

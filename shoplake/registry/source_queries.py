@@ -166,19 +166,20 @@ def _(spark, sf):
 
 
 @query("warehouse_layers", using("user_day", "product_day", "category_day", "lifetime", "users", "stock_log", "scd2") + """
+, span AS (SELECT date_diff('day', min(CAST(change_time AS DATE)), max(CAST(change_time AS DATE))) + 1 AS days FROM stock_log)
 SELECT 'ods.dim_user' AS table_name, 'ods' AS layer, count(*) AS row_count FROM users
 UNION ALL SELECT 'ods.dim_product', 'ods', count(*) FROM products
 UNION ALL SELECT 'ods.fact_order', 'ods', count(*) FROM f_orders
 UNION ALL SELECT 'ods.fact_order_item', 'ods', count(*) FROM f_items
 UNION ALL SELECT 'ods.fact_product_price_change', 'ods', count(*) FROM price_log
 UNION ALL SELECT 'ods.fact_stock_change', 'ods', count(*) FROM stock_log
-UNION ALL SELECT 'dwd.dim_date', 'dwd', 31
+UNION ALL SELECT 'dwd.dim_date', 'dwd', days FROM span
 UNION ALL SELECT 'dwd.dim_user', 'dwd', count(*) FROM users
 UNION ALL SELECT 'dwd.dim_product', 'dwd', count(*) FROM products
 UNION ALL SELECT 'dwd.dim_product_price_scd2', 'dwd', (SELECT count(*) FROM products) + (SELECT count(*) FROM scd2)
   - (SELECT count(DISTINCT product_id) FROM real_log WHERE product_id IN (SELECT product_id FROM products))
-UNION ALL SELECT 'dwd.fact_product_stock_per_day', 'dwd', count(*) * 31 FROM products
-UNION ALL SELECT 'dws.product_stock_day', 'dws', count(*) * 31 FROM products
+UNION ALL SELECT 'dwd.fact_product_stock_per_day', 'dwd', count(*) * (SELECT days FROM span) FROM products
+UNION ALL SELECT 'dws.product_stock_day', 'dws', count(*) * (SELECT days FROM span) FROM products
 UNION ALL SELECT 'dws.trade_province_day', 'dws', count(*) FROM (
   SELECT DISTINCT province, dt FROM f_orders o LEFT JOIN users u ON o.user_id = u.user_id)
 UNION ALL SELECT 'ads.order_funnel_day', 'ads', count(DISTINCT dt) FROM f_orders
@@ -200,5 +201,5 @@ def _(spark, sf):
                "fact_order": src.orders(spark, sf), "fact_order_item": src.items(spark, sf),
                "fact_product_price_change": src.price_log(spark, sf),
                "fact_stock_change": src.stock_log(spark, sf)}
-    paths = build(spark, sources, scratch_dir(spark, "warehouse"), Span("2024-01-01", "2024-01-31", "2001-08-02", "year"))
+    paths = build(spark, sources, scratch_dir(spark, "warehouse"), Span("2001-08-02", "year"))
     return layer_sizes(spark, paths)

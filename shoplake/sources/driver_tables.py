@@ -106,6 +106,18 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_shipdate").alias("create_time"))
 
 
+def sold_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Two lines about each price change, at the new price: 400 ms after it and, wrongly, 400 ms before."""
+    side = F.explode(F.array(F.lit(1), F.lit(-1))).alias("_side")
+    changes = price_log(spark, sf).where("change_type <> 'FINAL'").select("*", side)
+    return changes.select(
+        (-2 * F.col("change_id") - F.when(F.col("_side") > 0, 1).otherwise(2)).alias("item_id"),
+        F.col("change_id").alias("order_id"), "product_id", F.lit(1).alias("quantity"), F.col("new_price").alias("unit_price"),
+        F.col("new_price").cast(AMOUNT).alias("subtotal"), F.lit(0).cast(AMOUNT).alias("discount_amount"),
+        F.timestamp_micros(F.unix_micros(F.col("change_time").cast("timestamp")) + 400_000 * F.col("_side"))
+        .cast("timestamp_ntz").alias("create_time"))
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "events")
 
