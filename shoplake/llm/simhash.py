@@ -10,17 +10,19 @@ abandoned. Only links that join groups leave a task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoplake.llm import bloom
 from shoplake.llm.components import components
-from shoplake.llm.shared import map_batches, stored, texts
+from shoplake.llm.shared import SLICE_BYTES, map_batches, stored, texts
 from shoplake.llm.words import mixed
 
 SEED = 42
@@ -141,8 +143,8 @@ def near_pairs(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
     return np.unpackbits(near.view(np.uint8), bitorder="little")[:len(x)].astype(bool)
 
 
-def group_links(group: np.ndarray, side: np.ndarray, prints: np.ndarray, ids: np.ndarray, radius: int,
-                sets: ShingleSets | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def group_links(group: np.ndarray, side: np.ndarray, prints: np.ndarray, sets: ShingleSets | None, ids: np.ndarray,
+                radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links among rows sorted by group, of near fingerprints and, if given, similar sets; few
     shingles are compared whatever their fingerprints. A small group gives all its pairs; each linked set of a larger one is a star."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -184,13 +186,11 @@ def group_links(group: np.ndarray, side: np.ndarray, prints: np.ndarray, ids: np
 
 
 class ShingleSets:
-    """Sets of longs, one a row, as one array and its offsets; renumbered, so that a set is a row of flags."""
+    """Sets of hashes as one array and its offsets; renumbered, so that a set is a row of flags."""
 
-    def __init__(self, column: pa.Array, similarity: float):
-        self.at, self.least = column.offsets.to_numpy(), similarity
-        self.values = column.values.to_numpy()
-        names, self.values = np.unique(self.values[self.at[0]:self.at[-1]], return_inverse=True)
-        self.at = self.at - self.at[0]
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.at, self.least = np.cumsum([0, *[len(s) for s in sets]]), similarity
+        names, self.values = np.unique(np.concatenate(sets), return_inverse=True)
         self.few = np.diff(self.at) <= FEW
         self.flags = np.zeros(len(names), bool)
 
@@ -209,9 +209,9 @@ class ShingleSets:
         return out
 
 
-def _links(radius: int, width: int, similarity: float | None = None):
-    """Arrow task: rows (block, side, id, fingerprint words, sets if `similarity` is given) sorted by block in,
-    links out; a block may run over batches."""
+def _links(radius: int, compared: Callable[[pa.Table], tuple[np.ndarray, ShingleSets | None]]):
+    """Arrow task: rows (block, side, id, ...) sorted by block in, links out; a block may run over
+    batches. `compared` makes fingerprints, and sets if those count, of the rows of some blocks."""
     def run(batches):
         held = []
         for batch in batches:
@@ -227,18 +227,35 @@ def _links(radius: int, width: int, similarity: float | None = None):
             held.append(batch.slice(cut))
         if held:
             yield from emit(held)
+        pa.default_memory_pool().release_unused()
 
     def emit(batches):
         rows = pa.Table.from_batches(batches).combine_chunks()
-        group, side, ids, *prints = (rows.column(k).to_numpy() for k in range(3 + width))
-        prints = np.stack([r.astype(np.int64).view(np.uint64) for r in prints], axis=1)
-        sets = None if similarity is None else ShingleSets(rows.column(3 + width).chunk(0), similarity)
-        for a, b in group_links(group, side, prints, ids, radius, sets):
-            if len(a):
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+        block = rows.column(0).to_numpy()
+        cuts = [*np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist(), len(block)]
+        sizes = np.full(len(block), 64)
+        if "text" in rows.schema.names:
+            sizes += pc.binary_length(rows.column("text")).to_numpy()
+        ends = np.r_[0, np.cumsum(sizes)][cuts]
+        begin = 0
+        for i in range(1, len(cuts)):                           # some blocks at a time
+            if i + 1 < len(cuts) and ends[i + 1] - ends[begin] <= SLICE_BYTES:
+                continue
+            part = rows.slice(cuts[begin], cuts[i] - cuts[begin])
+            group, side, ids = (part.column(k).to_numpy() for k in range(3))
+            for a, b in group_links(group, side, *compared(part), ids, radius):
+                if len(a):
+                    yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+            begin = i
+
     return run
 
 
+def stored_prints(rows: pa.Table) -> tuple[np.ndarray, None]:
+    """The fingerprints that the rows carry."""
+    return np.stack([rows.column(k).to_numpy().astype(np.int64).view(np.uint64) for k in range(3, rows.num_columns)], axis=1), None
+
+
 def _bands(radius: int, fp: Column) -> list[Column]:
     """Keys of which two fingerprints within the radius share one: pairs of radius + 2 bands."""
     n = radius + 2
@@ -265,10 +282,10 @@ def blocks(keyed: DataFrame, busy: DataFrame) -> DataFrame:
                     F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"), "id"))
 
 
-def block_links(rows: DataFrame, width: int, radius: int, similarity: float | None = None) -> DataFrame:
-    """(a, b) links between the rows of each block."""
+def block_links(rows: DataFrame, radius: int, compared=stored_prints) -> DataFrame:
+    """(a, b) links between the rows (block, side, id, what `compared` reads) of each block."""
     return (rows.repartition("block").sortWithinPartitions("block", "side", "id")
-            .mapInArrow(_links(radius, width, similarity), "a long, b long"))
+            .mapInArrow(_links(radius, compared), "a long, b long"))
 
 
 def simhash_components(docs: DataFrame, words: int, radius: int) -> DataFrame:
@@ -286,7 +303,7 @@ def simhash_components(docs: DataFrame, words: int, radius: int) -> DataFrame:
     busy = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                   .select("key", F.ceil(F.col("n") / BLOCK).alias("parts")), "busy-keys")
     rows = blocks(keyed, busy).join(distinct, "id").select("block", "side", "id", "fingerprint")
-    links = block_links(rows, 1, radius)
+    links = block_links(rows, radius)
     roots = components(stored(links, "print-links"), "print-components")
     named = distinct.join(roots, F.col("id") == F.col("node"), "left").select(
         "fingerprint", F.coalesce("component", "id").alias("component_id"))
@@ -340,22 +357,22 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
                   .select("key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)).alias("parts")),
                   "busy-keys")
     placed = stored(blocks(keyed, busy), "block-rows")
-    asked = distinct.join(placed.select("id").distinct(), "id", "left_semi") \
-        .select("id", F.col("first").alias("doc_id"))
-
-    columns = [f"p{k}" for k in range(WIDTH)]
-
-    def sets(id, text):
-        hashes = [np.unique(shingle_hashes(t, words)) for t in text]
-        prints = [fingerprint(h, WIDTH) for h in hashes]
-        return {"id": id} | {c: [p[k] for p in prints] for k, c in enumerate(columns)} \
-            | {"shingles": [h.view(np.int64).tolist() for h in hashes]}
-    same = (F.col("found.id") == F.col("asked.id")) & F.col("found.doc_id").eqNullSafe(F.col("asked.doc_id"))
-    once = found.alias("found").join(stored(asked, "asked").alias("asked"), same, "left_semi").select("id", "text")
-    shape = "id long, " + ", ".join(f"{c} long" for c in columns) + ", shingles array<long>"
-    shingles = map_batches(once, shape, sets).dropDuplicates(["id"])     # laid out by id: the join moves only `placed`
-    links = block_links(placed.join(shingles, "id").select("block", "side", "id", *columns, "shingles"),
-                        WIDTH, REACH, similarity)
+    # texts of the rows in blocks travel, all others stay: a filter picks one row of each text, the join is exact
+    key = F.xxhash64("id", "doc_id")
+    asked = stored(distinct.join(placed.select("id").distinct(), "id", "left_semi")
+                   .select("id", F.col("first").alias("doc_id")).select(key.alias("key")), "asked")
+    near = bloom.keep(found.withColumn("key", key), "key", bloom.build(asked)).select("id", "text").dropDuplicates(["id"])
+
+    def compared(rows: pa.Table) -> tuple[np.ndarray, ShingleSets]:
+        sets: dict[int, np.ndarray] = {}
+        ids = rows.column("id").to_pylist()
+        for id_, t in zip(ids, rows.column("text").to_pylist(), strict=True):
+            if id_ not in sets:
+                sets[id_] = np.unique(shingle_hashes(t, words))
+        prints = {i: fingerprint(h, WIDTH) for i, h in sets.items()}
+        return (np.array([prints[i] for i in ids], np.int64).view(np.uint64).reshape(-1, WIDTH),
+                ShingleSets([sets[i] for i in ids], similarity))
+    links = block_links(placed.join(near, "id").select("block", "side", "id", "text"), REACH, compared)
     roots = components(stored(links, "similar-pairs"), "similar-components")
     tied = stored(distinct.join(roots, F.col("id") == F.col("node"), "left")
                   .select("id", "first", F.coalesce("component", "id").alias("root")), "tied-texts")
