@@ -7,9 +7,10 @@ documents and of benchmark items meet in a join; around each hit the words are
 compared one by one, and an overlap counts if LENGTH words in a row agree in LEAST.
 Items of fewer words have one seed, of all their words, and count where all agree.
 
-Documents are scanned once. A Bloom filter of fixed size, made from the benchmark's
-seeds, decides which stretches of a document may match, so only those are stored and
-joined; it errs on one side only, whatever the size of the benchmark.
+Documents are scanned once. A Bloom filter made from the benchmark's seeds and sized by
+their number decides which stretches of a document may match, so only those are stored and
+joined; it errs on one side only, whatever the size of the benchmark. The join pairs a
+stretch with an item once, however often their seeds repeat; places are found in the pair.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoplake.llm import bloom
+from shoplake.llm.bloom import Bloom
 from shoplake.llm.shared import arrow_shape, map_batches, stored, texts
 from shoplake.llm.words import WORD_BYTES, batches, mixed, word_hashes
 
@@ -29,10 +32,8 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SPAN = 8
 LENGTH = 13                     # words of the shortest overlap
 LEAST = 11                      # of them equal: at least 0.8
-BLOOM_BITS = 24                 # 2 MB
-PROBES = 3
 
-STRETCH = "doc_id long, start int, words array<long>, hits array<struct<seed:long,at:int>>"
+STRETCH = "doc_id long, start int, words array<long>, seeds array<long>"
 OVERLAP = "doc_id long, item_id long, doc_word int, item_word int, n_words int, n_equal int"
 
 
@@ -53,10 +54,6 @@ def spans_of(words: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
-def _slots(seeds: np.ndarray) -> list[np.ndarray]:
-    return [(seeds >> np.uint64(64 - BLOOM_BITS - 17 * k) & np.uint64((1 << BLOOM_BITS) - 1)) for k in range(PROBES)]
-
-
 def benchmark_words(items: DataFrame) -> DataFrame:
     """(item_id, words array<long>) of items with words; equal ones count as the smallest id."""
     def work(doc_id, text):
@@ -72,46 +69,23 @@ def benchmark_words(items: DataFrame) -> DataFrame:
 
 
 def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """(seed, item_id, at) of benchmark words; a single seed for fewer than LENGTH."""
+    """Distinct (key, item_id): seeds of benchmark words; a single seed for fewer than LENGTH."""
     def work(item_id, words):
-        out: dict[str, list] = {"seed": [], "item_id": [], "at": []}
+        out: dict[str, list] = {"key": [], "item_id": []}
         for item, w in zip(item_id, words, strict=True):
             words = np.array(w, np.int64).view(np.uint64)
             for seeds in spans_of(words, len(w))[-1:] if len(w) < LENGTH else map(partial(seeds_of, words), range(len(MASKS))):
-                out["seed"] += seeds.view(np.int64).tolist()
-                out["item_id"] += [item] * len(seeds)
-                out["at"] += range(len(seeds))
+                out["key"] += np.unique(seeds).view(np.int64).tolist()
+                out["item_id"] += [item] * (len(out["key"]) - len(out["item_id"]))
         return out
-    return map_batches(items, "seed long, item_id long, at int", work)
-
-
-def bloom_filter(seeds: DataFrame) -> np.ndarray:
-    """Bits of all seeds as bytes; the driver receives one row per 64 bits at most."""
-    def work(seed):
-        slots = np.unique(np.concatenate(_slots(np.array(seed, np.int64).view(np.uint64))).astype(np.int64))
-        return {"word": (slots >> 6).tolist(), "bit": (slots & 63).tolist()}
-    rows = (map_batches(seeds.select("seed"), "word long, bit int", work)
-            .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect())
-    table = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    for r in rows:
-        table[r["word"]] = r["bits"]
-    return table.view(np.uint8)
+    return map_batches(items, "key long, item_id long", work).distinct()
 
 
-def _suspects(seeds: np.ndarray, bloom: np.ndarray) -> np.ndarray:
-    """Places whose seed may be in the benchmark."""
-    at = np.arange(len(seeds))
-    for k in range(PROBES):
-        slot = _slots(seeds[at])[k]
-        at = at[bloom[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 > 0]
-    return at
-
-
-def stretches(docs: DataFrame, bloom: Broadcast, short: list[int]) -> DataFrame:
+def stretches(docs: DataFrame, known: Broadcast, short: list[int]) -> DataFrame:
     """Parts of documents with suspected seeds, with LENGTH words of context on both sides; and, for each
     length in `short`, the first place of each suspected span of so many words."""
-    def rows_of(many: list[str], ids: list[int], table: np.ndarray) -> dict[str, list]:
-        out: dict[str, list] = {c: [] for c in ("doc_id", "start", "words", "hits")}
+    def rows_of(many: list[str], ids: list[int], known: Bloom) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in ("doc_id", "start", "words", "seeds")}
         for first, data, begins in batches(many):
             starts, words = word_hashes(data, WORD_BYTES, unspaced=True)
             cuts = np.searchsorted(starts, begins)
@@ -120,18 +94,18 @@ def stretches(docs: DataFrame, bloom: Broadcast, short: list[int]) -> DataFrame:
             for n in short:
                 if n > len(words):
                     continue
-                hit = _suspects(spans[n - 1], table)
+                hit = known.may_hold(spans[n - 1])
                 hit = hit[owner[hit] == owner[hit + n - 1]]
                 _, once = np.unique(np.stack((owner[hit].astype(np.uint64), spans[n - 1][hit])), axis=1, return_index=True)
                 for a in hit[once]:
                     out["doc_id"].append(ids[first + owner[a]])
                     out["start"].append(int(a - cuts[owner[a]]))
                     out["words"].append(words[a:a + n].view(np.int64).tolist())
-                    out["hits"].append([{"seed": int(spans[n - 1][a:a + 1].view(np.int64)[0]), "at": 0}])
+                    out["seeds"].append(spans[n - 1][a:a + 1].view(np.int64).tolist())
             at, seed = [], []
             for mask in range(len(MASKS)):
                 seeds = seeds_of(words, mask)
-                hit = _suspects(seeds, table)
+                hit = known.may_hold(seeds)
                 hit = hit[owner[hit] == owner[hit + SPAN - 1]]
                 at.append(hit)
                 seed.append(seeds[hit])
@@ -148,15 +122,31 @@ def stretches(docs: DataFrame, bloom: Broadcast, short: list[int]) -> DataFrame:
                 out["doc_id"].append(ids[first + doc])
                 out["start"].append(int(low - cuts[doc]))
                 out["words"].append(words[low:high].view(np.int64).tolist())
-                out["hits"].append([{"seed": int(s), "at": int(a - low)} for s, a in
-                                    zip(seed[part].view(np.int64), at[part], strict=True)])
+                out["seeds"].append(np.unique(seed[part]).view(np.int64).tolist())
         return out
 
     def work(doc_id, text):
-        return rows_of(text, doc_id, bloom.value)
+        return rows_of(text, doc_id, known.value)
     return map_batches(texts(docs).withColumn("text", F.lower("text")), STRETCH, work)
 
 
+def shifts_of(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Alignments (place in `words` less place in `item`) at which a seed of both agrees; only 0 for a short item.
+
+    Repeated seeds cost the product of their places in time, not in memory.
+    """
+    if len(item) < LENGTH:
+        return np.zeros(int(len(words) == len(item)), np.int64)
+    marks = np.zeros(len(words) + len(item), bool)
+    for mask in range(len(MASKS)):
+        here, there = seeds_of(words, mask), seeds_of(item, mask)
+        order = np.argsort(here, kind="stable")
+        for at, seed in enumerate(there):
+            low, high = np.searchsorted(here, seed, sorter=order), np.searchsorted(here, seed, "right", sorter=order)
+            marks[order[low:high] - at + len(item)] = True
+    return np.flatnonzero(marks) - len(item)
+
+
 def longest_overlap(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int, int] | None:
     """(first word, first item word, words, equal ones) of the longest overlap at one alignment, or None.
 
@@ -193,37 +183,41 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     known = stored(benchmark_words(items), "benchmark-words")
     seeds = stored(benchmark_seeds(known), "benchmark-seeds")
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(seeds))
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom.build(seeds))
     short = [r[0] for r in known.select(F.size("words")).where(F.size("words") < LENGTH).distinct().collect()]
-    parts = stored(stretches(docs, bloom, short).withColumn("stretch", F.monotonically_increasing_id()), "stretches")
-    aligned = (parts.select("stretch", F.explode("hits").alias("hit"))
-               .select("stretch", F.col("hit.seed").alias("seed"), F.col("hit.at").alias("here"))
-               .join(seeds, "seed").select("stretch", "item_id", (F.col("here") - F.col("at")).alias("shift"))
-               .groupBy("stretch", "item_id").agg(F.collect_set("shift").alias("shifts")))
-    found = (aligned.join(known.withColumnRenamed("words", "item"), "item_id")
-             .join(parts.drop("hits"), "stretch"))
+    parts = stored(stretches(docs, filter_, short).withColumn("stretch", F.monotonically_increasing_id()), "stretches")
+    pairs = (parts.select("stretch", F.explode("seeds").alias("key")).join(seeds, "key")
+             .select("stretch", "item_id").distinct())
+    found = (pairs.join(known.withColumnRenamed("words", "item"), "item_id")
+             .join(parts.drop("seeds"), "stretch"))
 
     shape = arrow_shape(OVERLAP)
 
-    def check(batch):
-        for b in batch:
+    def check(batches):
+        for batch in batches:
+            words_of, item_of = (batch.column(batch.schema.names.index(c)) for c in ("words", "item"))
             out = []
-            for r in b.to_pylist():
-                words, item = np.array(r["words"]), np.array(r["item"])
-                got = [g for s in r["shifts"] if (g := longest_overlap(words, item, s))]
+            for i, (doc, item_id, start) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True)):
+                words = words_of[i].values.to_numpy().view(np.uint64)
+                item = item_of[i].values.to_numpy().view(np.uint64)
+                got = [g for s in shifts_of(words, item) if (g := longest_overlap(words, item, s))]
                 if got:
                     at, item_at, n, equal = max(got, key=lambda g: (g[2], g[3], -g[0]))
-                    out.append({"doc_id": r["doc_id"], "item_id": r["item_id"], "doc_word": at + r["start"],
+                    out.append({"doc_id": doc, "item_id": item_id, "doc_word": at + start,
                                 "item_word": item_at, "n_words": n, "n_equal": equal})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=shape)
-    hits = found.select("doc_id", "item_id", "start", "words", "item", "shifts").mapInArrow(check, OVERLAP)
+    hits = found.select("doc_id", "item_id", "start", "words", "item").mapInArrow(check, OVERLAP)
     best = F.max_by(F.struct("doc_word", "item_word", "n_words", "n_equal"),
                     F.struct("n_words", "n_equal", -F.col("doc_word")))
     return (hits.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """`docs` without the documents that overlap with an item; a null doc_id stays."""
+    """`docs`, all columns, without the documents that overlap with an item; a null doc_id stays.
+
+    Rows that share a doc_id stay or go together; a null or empty text stays. No items, or
+    no documents, leave all. Columns other than doc_id and text may have any name.
+    """
     bad = overlaps(docs, items).select("doc_id").distinct()
     return docs.join(stored(bad, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
