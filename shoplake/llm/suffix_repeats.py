@@ -16,20 +16,27 @@ bytes for the anchor and its surroundings. Where the surroundings are equal too,
 larger documents lose them at once. Only where an anchor has several surroundings do
 the bytes travel, once for each of them. Both travel packed, one binary value per task
 batch and bucket; and a passage common to many documents about once per batch.
+
+An anchor with very many surroundings would make a task of its own. Counters of fixed size
+(a count-min sketch) tell such hot anchors beforehand, and never miss one. Their strings of
+`length` bytes compete one by one instead, spread by their own hashes: the smallest document
+of each is a minimum, taken per batch first.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplake.llm.shared import arrow_shape, map_batches, stored, texts
+from shoplake.llm.shared import arrow_shape, map_batches, slices, stored, texts
 from shoplake.llm.words import _power, batches, mixed
 
 ANCHOR = 22                     # bytes of an anchor
@@ -37,9 +44,12 @@ BUCKET_BYTES = 4 << 20          # text per bucket
 BATCH_CHARS = 2 << 20
 NOTE = 20                       # bits for a span's length in a packed span
 MARK = 48                       # bits of the digest of an anchor with its surroundings
+HOT_ROWS = 200_000              # surroundings of an anchor from which on it is hot, but at least
+COUNTERS = 20                   # 8 / 2^COUNTERS of all; bits, for two rows of counters: 16 MB
 PACKED = "bucket long, payload binary"
 MARKS = "doc_id long, mark long"     # digest << 1 | 1 if the bytes are asked for, 0 if they go
 SPANS = "doc_id long, span long"    # start << NOTE | length
+PARTS = 64                      # that the counters are added up in
 
 
 def _window_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -78,6 +88,111 @@ def anchors(data: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarr
     return at, h[at], owner, left, right, (mark >> np.uint64(64 - MARK)).astype(np.int64)
 
 
+class Hot:
+    """Which anchors are hot: all whose both counters reach the bound; some others may be taken along."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        self.least = max(HOT_ROWS, 8 * int(counts[0].sum()) >> COUNTERS)
+
+    def any(self) -> bool:
+        return bool((self.counts >= self.least).any(axis=1).all())
+
+    def among(self, seed: np.ndarray) -> np.ndarray:
+        first, second = _slots(seed)
+        return (self.counts[0, first] >= self.least) & (self.counts[1, second] >= self.least)
+
+
+def _slots(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (seed >> np.uint64(64 - COUNTERS)).astype(np.int64), (mixed(seed) >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def _counted(length: int):
+    """Arrow task: (doc_id, text) in, counts of different surroundings per anchor slot out."""
+    def run(found):
+        counts = np.zeros((2, 1 << COUNTERS), np.int64)
+        for batch in slices(found):
+            for _, data, begins in batches(batch.column("text").to_pylist(), BATCH_CHARS):
+                _, seed, _, _, _, mark = anchors(data, begins, length)
+                _, once = np.unique(mixed(seed ^ mark.view(np.uint64)), return_index=True)
+                for row, slot in zip(counts, _slots(seed[once]), strict=True):
+                    row += np.bincount(slot, minlength=1 << COUNTERS)
+        parts = counts.reshape(PARTS, -1)
+        if counts.any():
+            yield pa.RecordBatch.from_pydict({"bucket": list(range(PARTS)), "payload": [_pack([p]) for p in parts]})
+    return run
+
+
+def _summed(found):
+    """Arrow task: counts of equal slots added; sorted by bucket."""
+    for bucket, payloads in _by_bucket(found):
+        total = 0
+        for p in payloads:
+            total = total + np.frombuffer(p, np.int64)
+        yield pa.RecordBatch.from_pydict({"bucket": [bucket], "payload": [_pack([total])]})
+
+
+def _by_bucket(found) -> Iterator[tuple[int, Iterator[bytes]]]:
+    """Rows of each bucket in turn, unpacked one by one."""
+    rows = ((key, payload) for batch in found
+            for key, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True))
+    for key, group in groupby(rows, key=lambda r: r[0]):
+        yield key, (_unpack(payload) for _, payload in group)
+
+
+def hot_anchors(rows: DataFrame, length: int) -> Hot | None:
+    """The hot anchors of the texts, or None; the driver receives the counters."""
+    packed = rows.mapInArrow(_counted(length), PACKED)
+    counted = packed.repartition(PARTS, "bucket").sortWithinPartitions("bucket").mapInArrow(_summed, PACKED).toArrow()
+    counts = np.zeros((PARTS, (2 << COUNTERS) // PARTS), np.int64)
+    for bucket, payload in zip(counted["bucket"].to_pylist(), counted["payload"].to_pylist(), strict=True):
+        counts[bucket] = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), np.int64)
+    hot = Hot(counts.reshape(2, -1))
+    return hot if hot.any() else None
+
+
+WINDOWS = "window long, doc_id long, span long, gone boolean"
+
+
+def _windows(length: int, hot: Broadcast):
+    """Arrow task: strings of `length` bytes about hot anchors, each once per batch with its smallest document;
+    those of larger documents in the batch are gone already."""
+    def run(found):
+        for batch in slices(found):
+            ids = batch.column("doc_id").to_numpy()
+            for first, data, begins in batches(batch.column("text").to_pylist(), BATCH_CHARS):
+                at, seed, owner, left, right, _ = anchors(data, begins, length)
+                here = np.flatnonzero(hot.value.among(seed))
+                if not len(here):
+                    continue
+                step = np.arange(length - ANCHOR + 1)
+                start = at[here][:, None] - step
+                inside = (step <= left[here][:, None]) & (length - ANCHOR - step <= right[here][:, None])
+                start = np.unique(start[inside])
+                up, down = _power(len(data) + 1)
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)])))
+                window = mixed((sums[start + length] - sums[start]) * down[start]).view(np.int64)
+                text = np.searchsorted(begins, start, "right") - 1
+                doc, place = ids[first + text], start - begins[text]
+                order = np.lexsort((place, doc, window))
+                window, doc, place = window[order], doc[order], place[order]
+                head = np.r_[True, window[1:] != window[:-1]]
+                gone = doc > doc[np.maximum.accumulate(np.where(head, np.arange(len(doc)), 0))]
+                yield pa.RecordBatch.from_pydict({"window": window, "doc_id": doc, "span": place << NOTE | length, "gone": gone})
+    return run
+
+
+def _hot_spans(rows: DataFrame, length: int, hot: Hot) -> DataFrame:
+    """Spans about hot anchors that repeat in a smaller document."""
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
+    found = stored(rows.mapInArrow(_windows(length, shared), WINDOWS), "hot-windows")
+    left = found.where("not gone")
+    least = stored(left.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+                   .where("most > least").select("window", "least"), "hot-least")
+    later = left.join(least, "window").where("doc_id > least")
+    return found.where("gone").select("doc_id", "span").unionByName(later.select("doc_id", "span"))
+
+
 def _pack(columns: list[np.ndarray]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
 
@@ -111,13 +226,16 @@ def _from_low(raw: bytes, at: int, rows: int, n: int) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
-def _digested(length: int, buckets: int):
+def _digested(length: int, buckets: int, hot: Broadcast | None):
     """Arrow task: (doc_id, text) in, packed digests of anchors out; marks decided here go to bucket -1."""
     def run(found):
-        for batch in found:
+        for batch in slices(found):
             ids, text = batch.column("doc_id").to_numpy(), batch.column("text").to_pylist()
             for first, data, begins in batches(text, BATCH_CHARS):
                 _, seed, owner, _, _, mark = anchors(data, begins, length)
+                if hot and len(seed):
+                    cold = ~hot.value.among(seed)
+                    seed, owner, mark = seed[cold], owner[cold], mark[cold]
                 if not len(seed):
                     continue
                 doc, bucket = ids[first + owner], _bucket(seed, buckets)
@@ -183,7 +301,7 @@ def _packed(length: int, buckets: int):
     shape, reach = _shape(length), length - ANCHOR
 
     def run(found):
-        for batch in found:
+        for batch in slices(found):
             ids, text = batch.column("doc_id").to_numpy(), batch.column("text").to_pylist()
             marks = batch.column("marks").to_pylist()
             for first, data, begins in batches(text, BATCH_CHARS):
@@ -389,10 +507,13 @@ def _repeated_spans(rows: DataFrame, length: int) -> DataFrame:
 
     def gathered(packed: DataFrame) -> DataFrame:
         return packed.repartition("bucket").sortWithinPartitions("bucket")
-    marks = gathered(rows.mapInArrow(_digested(length, buckets), PACKED)).mapInArrow(_marked(), MARKS)
+    hot = hot_anchors(rows, length)
+    known = rows.sparkSession.sparkContext.broadcast(hot) if hot else None
+    marks = gathered(rows.mapInArrow(_digested(length, buckets, known), PACKED)).mapInArrow(_marked(), MARKS)
     marks = stored(marks.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "anchor-marks")
     packed = rows.join(marks.hint("shuffle_hash"), "doc_id").mapInArrow(_packed(length, buckets), PACKED)
-    return gathered(packed).mapInArrow(_found(length), SPANS)
+    spans = gathered(packed).mapInArrow(_found(length), SPANS)
+    return spans.unionByName(_hot_spans(rows, length, hot)) if hot else spans
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
