@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from shoplake.llm.shared import map_batches
 from shoplake.llm.words import mixed
 
-LEAST_BITS, MOST_BITS = 16, 27  # as powers of two: 8 kB to 16 MB, enough for some eight million keys
-BITS_A_KEY = 16
+LEAST_BITS, MOST_BITS = 18, 27  # as powers of two: 32 kB to 16 MB
+BITS_A_KEY = 256                # with three probes, some two in a million other keys pass
 PROBES = 3
 
 
@@ -39,7 +39,10 @@ def slots(keys: np.ndarray, bits: int, probe: int) -> np.ndarray:
 
 
 def build(keys: DataFrame) -> Bloom:
-    """The filter of the column `key` (long, not null) of a stored table; the driver receives at most 2^21 short rows."""
+    """The filter of the column `key` (long, not null) of a stored table.
+
+    The driver receives 2^21 short rows at most. Past half a million keys fewer bits are left for each.
+    """
     bits = max(LEAST_BITS, min(MOST_BITS, (BITS_A_KEY * max(1, keys.count()) - 1).bit_length()))
 
     def work(key):
