@@ -47,9 +47,10 @@ class _Ending(StatefulProcessor):
         self.grace = grace
 
     def end_after(self, ended: int | None) -> None:
+        """Set the timer anew; none for a key that goes on."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
         if ended is not None:
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
             self.handle.registerTimer((ended + self.grace) // 1000)
 
     def close(self) -> None:
@@ -84,8 +85,7 @@ class StepCheck(_Ending):
                 bad.append((key[0], seq, before, status))
             before = status
         self.last.update((int(steps[-1][0]), before))
-        if before in ENDED:
-            self.end_after(int(found["us"].max()))
+        self.end_after(int(found["us"].max()) if before in ENDED else None)
         yield pd.DataFrame(bad, columns=list(BAD_STEP))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -124,8 +124,7 @@ class Milestones(_Ending):
             self.times.update(times)
             yield self.row(key[0], times, False)
         done = [t for s, t in zip(TIMES, times, strict=True) if s in ENDED and t is not None]
-        if done:
-            self.end_after(max(int(found["us"].max()), *done))
+        self.end_after(max(int(found["us"].max()), *done) if done else None)
 
     def row(self, order_id: int, times: tuple, closed: bool) -> pd.DataFrame:
         return pd.DataFrame({"order_id": [order_id], "closed": [closed],

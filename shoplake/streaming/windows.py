@@ -59,11 +59,11 @@ def dropped_by_watermark(query: StreamingQuery) -> int:
     """Rows a finished query dropped for being late.
 
     Spark keeps the latest progress reports only. If some may be gone already, this is
-    an error and not a smaller number; raise spark.sql.streaming.numRecentProgressUpdates.
+    an error and not a smaller number; `counts.RowCounts` counts over any run length.
     """
     spark = SparkSession.getActiveSession()
     kept = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100")) if spark else 100
-    if len(query.recentProgress) >= kept:
+    if len(query.recentProgress) >= kept - 1:
         raise ValueError(f"only the last {kept} progress reports are kept; earlier drops are not counted")
     total = 0
     for progress in query.recentProgress:
