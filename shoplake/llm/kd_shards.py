@@ -7,8 +7,9 @@ rows of equal value can part while equal groups never do.
 
 The median is found by refining a histogram: byte sums per node and slice of the value
 range are aggregated map-side, the slice holding the median is cut again, until one
-value is left. The driver sees at most `SLICES` sums per node and round, whatever the
-number of rows; rows are never sorted or gathered for it. Built-in functions only.
+value is left. The driver sees one row per node and round, whatever the number of rows;
+nodes meet their rows by a join with a table of one row per node, so plans do not grow
+with the leaves. Rows are never sorted or gathered for it. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ VALUE_BITS = 36                 # of the dimension's value; larger ones count as
 
 @dataclass
 class Split:
-    """Rows of `node` whose `dim` position is at most `cut` go to child 2n+1, others to 2n+2."""
+    """Rows of `node` whose position in dimension `dim` is at most `cut` go to child 2n+1, others to 2n+2."""
     node: int
-    dim: str
+    dim: int
     cut: int
 
 
@@ -41,40 +42,38 @@ def _position(dim: str, group: str) -> Column:
         F.pmod(F.xxhash64(F.lit(dim), F.col(group)), F.lit(1 << HASH_BITS)))
 
 
-def _medians(points: DataFrame, wanted: dict[int, tuple[str, float]]) -> list[Split]:
+def _along(inner: Sequence[str]) -> Column:
+    """Position in the dimension that the row's node is cut in."""
+    return F.element_at(F.array(*inner), F.col("dim") + 1)
+
+
+def _medians(points: DataFrame, inner: Sequence[str], wanted: dict[int, tuple[int, int]]) -> list[Split]:
     """For each node its cut: the least position up to which at least the wanted weight lies."""
-    low = dict.fromkeys(wanted, 0)
-    left = dict(wanted)
+    spark = points.sparkSession
+    left = {node: (dim, 0, need) for node, (dim, need) in wanted.items()}
     bits = VALUE_BITS + HASH_BITS
+    by_slice = Window.partitionBy("node").orderBy("slice")          # SLICES rows at most
     while bits > 0:
         step = min(SLICE_BITS, bits)
         bits -= step
-        at = F.lit(None).cast("long")
-        for node, (dim, _) in left.items():
-            at = F.when((F.col("node") == node) & (F.shiftrightunsigned(dim, bits + step) == low[node]),
-                        F.shiftrightunsigned(dim, bits)).otherwise(at)
-        sums = (points.select("node", "weight", at.alias("slice")).where(F.col("slice").isNotNull())
-                .groupBy("node", "slice").agg(F.sum("weight").alias("weight")).collect())
-        found: dict[int, list[tuple[int, int]]] = {}
-        for r in sums:
-            found.setdefault(r["node"], []).append((r["slice"], r["weight"]))
-        for node in list(left):
-            dim, need = left[node]
-            slices = sorted(found[node])
-            for at_slice, weight in slices:
-                if weight >= need or at_slice == slices[-1][0]:
-                    break
-                need -= weight
-            low[node], left[node] = at_slice, (dim, need)
-    return [Split(node, dim, low[node]) for node, (dim, _) in wanted.items()]
-
-
-def _place(points: DataFrame, splits: list[Split]) -> DataFrame:
-    node = F.col("node")
-    for s in splits:
-        node = F.when(F.col("node") == s.node, F.when(F.col(s.dim) <= s.cut, 2 * s.node + 1).otherwise(2 * s.node + 2)) \
-            .otherwise(node)
-    return points.withColumn("node", node)
+        state = spark.createDataFrame([(n, *x) for n, x in left.items()], "node long, dim int, low long, need long")
+        at = _along(inner)
+        sums = (points.join(F.broadcast(state), "node").where(F.shiftrightunsigned(at, bits + step) == F.col("low"))
+                .groupBy("node", "need", F.shiftrightunsigned(at, bits).alias("slice")).agg(F.sum("weight").alias("weight")))
+        upto = F.sum("weight").over(by_slice)
+        held = sums.select("node", "slice", (F.col("need") - upto + F.col("weight")).alias("rest"),
+                           ((upto >= F.col("need")) | F.lead("slice").over(by_slice).isNull()).alias("enough"))
+        found = held.where("enough").groupBy("node").agg(F.min_by(F.struct("slice", "rest"), "slice").alias("hit")).collect()
+        left = {r["node"]: (left[r["node"]][0], r["hit"]["slice"], r["hit"]["rest"]) for r in found}
+    return [Split(node, dim, cut) for node, (dim, cut, _) in left.items()]
+
+
+def _place(points: DataFrame, inner: Sequence[str], splits: list[Split]) -> DataFrame:
+    """Rows of the nodes in `splits` (one level of the tree, one row each) go to their children."""
+    table = points.sparkSession.createDataFrame([(s.node, s.dim, s.cut) for s in splits], "node long, dim int, cut long")
+    child = 2 * F.col("node") + F.when(_along(inner) <= F.col("cut"), 1).otherwise(2)
+    return points.join(F.broadcast(table), "node", "left") \
+        .withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).otherwise(child)).drop("dim", "cut")
 
 
 def kd_shards(rows: DataFrame, dims: Sequence[str], weight: str, group: str, *,
@@ -84,7 +83,7 @@ def kd_shards(rows: DataFrame, dims: Sequence[str], weight: str, group: str, *,
     `dims` are whole-number columns and must not differ within a `group`. Their spread is
     compared on a log scale, from the lowest to the highest value of the node. A null
     dimension counts as 0, a null weight as none; an empty table stays empty; rows that
-    tie in everything stay together. A node that holds one group only is not cut, its
+    tie in everything stay together. Other columns of `rows` may have any name but `shard`. A node that holds one group only is not cut, its
     other shards stay empty. Shard sizes differ by the weight of one group at a cut.
     """
     inner = [f"_d{i}" for i in range(len(dims))]
@@ -95,7 +94,7 @@ def kd_shards(rows: DataFrame, dims: Sequence[str], weight: str, group: str, *,
         total = points.agg(F.sum("weight")).first()[0] or 0
         leaves = max(1, -(-total // max(1, target)))
     parts, splits = {0: leaves}, []
-    points = points.withColumn("node", F.lit(0))
+    points = points.withColumn("node", F.lit(0).cast("long"))
     while any(n > 1 for n in parts.values()):
         spread = points.groupBy("node").agg(
             F.sum("weight").alias("weight"),
@@ -106,29 +105,24 @@ def kd_shards(rows: DataFrame, dims: Sequence[str], weight: str, group: str, *,
             if parts.get(node, 1) < 2:
                 continue
             wide = [((r[f"max{i}"] >> HASH_BITS) + 1) / ((r[f"min{i}"] >> HASH_BITS) + 1) for i in inner]
-            dim = max(zip(wide, [r[f"max{i}"] - r[f"min{i}"] for i in inner], inner, strict=True),
-                      key=lambda w: (w[0], w[1]))[2]
+            dim = max(range(len(inner)), key=lambda d: (wide[d], r[f"max{inner[d]}"] - r[f"min{inner[d]}"]))
             first = parts[node] // 2
-            if r[f"max{dim}"] > r[f"min{dim}"]:
-                wanted[node] = (dim, r["weight"] * first / parts[node])
+            if r[f"max{inner[dim]}"] > r[f"min{inner[dim]}"]:
+                wanted[node] = (dim, -(-r["weight"] * first // parts[node]))
                 following |= {2 * node + 1: first, 2 * node + 2: parts[node] - first}
-        level = _medians(points, wanted) if wanted else []
-        splits += level
-        points = _place(points, level)
+        if wanted:
+            splits.append(_medians(points, inner, wanted))
+            points = stored(_place(points, inner, splits[-1]), "kd-points")
         parts = {n: k for n, k in parts.items() if n not in wanted and k < 2} | following
-    placed = rows.select("*", *[_position(d, group).alias(i) for d, i in zip(dims, inner, strict=True)]) \
-        .withColumn("node", F.lit(0))
-    cut = {s.node for s in splits}
-    by_depth: dict[int, list[Split]] = {}
-    for s in splits:
-        by_depth.setdefault((s.node + 1).bit_length(), []).append(s)
-    for depth in sorted(by_depth):
-        placed = _place(placed, by_depth[depth])
-    ends = [0] if not cut else sorted(c for n in cut for c in (2 * n + 1, 2 * n + 2) if c not in cut)
-    shard = F.lit(0)
-    for k, end in enumerate(ends):
-        shard = F.when(F.col("node") == end, k).otherwise(shard)
-    return placed.withColumn("shard", shard).drop("node", *inner)
+    named = {c: f"_row{i}" for i, c in enumerate(rows.columns)}         # the caller's columns may have any name
+    placed = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()],
+                         *[_position(d, group).alias(i) for d, i in zip(dims, inner, strict=True)], F.lit(0).cast("long").alias("node"))
+    for level in splits:
+        placed = _place(placed, inner, level)
+    cut = {s.node for level in splits for s in level}
+    ends = sorted(c for n in cut for c in (2 * n + 1, 2 * n + 2) if c not in cut) or [0]
+    shards = rows.sparkSession.createDataFrame(list(zip(ends, range(len(ends)), strict=True)), "node long, shard int")
+    return placed.join(F.broadcast(shards), "node").select(*[F.col(n).alias(c) for c, n in named.items()], "shard")
 
 
 def numbered(rows: DataFrame, part: str, order: Sequence[str], number: str = "slot") -> DataFrame:
