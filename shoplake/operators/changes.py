@@ -37,19 +37,29 @@ def number_rows(log: DataFrame, order: list[str], name: str = "order_no",
     return ordered_scan(log, [], order, number=name, pieces=pieces)
 
 
-def collapse_per_chunk(log: DataFrame, n: int, key: str = "product_id",
-                       order: tuple[str, str] = ("change_time", "change_id"),
-                       pieces: int | None = None) -> DataFrame:
-    """Only the last change of a product within every n-row chunk of the log."""
-    at = list(order)
-    numbered = number_rows(log, at, "_no", pieces)
-    chunked = numbered.withColumn("chunk_no", F.floor((F.col("_no") - 1) / n).cast("bigint"))
-    rest = [c for c in log.columns if c != key]
+ORDER = ("change_time", "change_id")
+
+
+def in_chunks(log: DataFrame, n: int, pieces: int | None = None, order: tuple[str, str] = ORDER) -> DataFrame:
+    """`log` with `chunk_no`, from 0: n rows each in `order`. Numbered once, however often it is read."""
+    numbered = number_rows(log, list(order), "_no", pieces)
+    return numbered.withColumn("chunk_no", F.floor((F.col("_no") - 1) / n).cast("bigint")).drop("_no")
+
+
+def last_per_chunk(chunked: DataFrame, key: str = "product_id", order: tuple[str, str] = ORDER) -> DataFrame:
+    """The last change of each product in each chunk."""
+    rest = [c for c in chunked.columns if c not in (key, "chunk_no")]
     return (chunked.groupBy("chunk_no", key)
-            .agg(F.max_by(F.struct(*rest), F.struct(*at)).alias("_row"))
+            .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
             .select("chunk_no", key, "_row.*"))
 
 
+def collapse_per_chunk(log: DataFrame, n: int, key: str = "product_id", order: tuple[str, str] = ORDER,
+                       pieces: int | None = None) -> DataFrame:
+    """Only the last change of a product within every n-row chunk of the log."""
+    return last_per_chunk(in_chunks(log, n, pieces, order), key, order)
+
+
 def out_of_order(log: DataFrame, key: str = "product_id", time: str = "change_time",
                  tie: str = "change_id", pieces: int | None = None) -> DataFrame:
     """Rows whose time does not lie strictly after the previous change of the key."""
@@ -204,7 +214,8 @@ def chunk_stats(log: DataFrame, products: DataFrame, n: int, pieces: int | None
     A chunk applies the last change of each product; it moves a row when the value
     differs from the one left by the chunk before (at first: the product's price).
     """
-    last = collapse_per_chunk(log, n, pieces=pieces)
+    numbered = in_chunks(log, n, pieces)
+    last = last_per_chunk(numbered)
     seen = ordered_scan(last, ["product_id"], ["chunk_no"], previous={"_before": "new_price"},
                         pieces=pieces)
     base = products.select("product_id", F.col("price").alias("_start"))
@@ -213,9 +224,7 @@ def chunk_stats(log: DataFrame, products: DataFrame, n: int, pieces: int | None
     updated = F.count_if(was.isNotNull() & (was != F.col("new_price")))
     applied = applied.groupBy("chunk_no").agg(
         F.count(F.lit(1)).alias("products"), updated.alias("updated"))
-    rows = (number_rows(log, ["change_time", "change_id"], "_no", pieces)
-            .groupBy(F.floor((F.col("_no") - 1) / n).cast("bigint").alias("chunk_no"))
-            .agg(F.count(F.lit(1)).alias("processed")))
+    rows = numbered.groupBy("chunk_no").agg(F.count(F.lit(1)).alias("processed"))
     return (rows.join(applied, "chunk_no")
             .select("chunk_no", "processed", "products", "updated",
                     (F.col("products") - F.col("updated")).alias("unchanged")))

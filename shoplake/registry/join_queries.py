@@ -13,7 +13,7 @@ from shoplake.registry.model_sql import using
 from shoplake.session import scratch_dir
 from shoplake.sources import driver_tables as src
 from shoplake.sources.calendar import calendar_covering
-from shoplake.sources.lake import write_bucketed
+from shoplake.sources.lake import bucket_count, write_bucketed
 
 
 @query("update_from_aggregate", using("users", "f_orders") + """
@@ -133,10 +133,10 @@ SELECT o.order_id, order_status, sum(subtotal) AS gross FROM f_orders o JOIN f_i
 def _(spark, sf):
     """Both tables bucketed by order, so the join and the totals need no exchange."""
     root = scratch_dir(spark, "bucketed")
-    tag = root.rsplit("-", 1)[1]
-    write_bucketed(src.orders(spark, sf).select("order_id", "order_status"), f"bucketed_orders_{tag}", 8,
+    tag, buckets = root.rsplit("-", 1)[1], bucket_count(src.items(spark, sf).count())
+    write_bucketed(src.orders(spark, sf).select("order_id", "order_status"), f"bucketed_orders_{tag}", buckets,
                    "order_id", f"{root}/orders")
-    write_bucketed(src.items(spark, sf).select("order_id", "subtotal"), f"bucketed_items_{tag}", 8,
+    write_bucketed(src.items(spark, sf).select("order_id", "subtotal"), f"bucketed_items_{tag}", buckets,
                    "order_id", f"{root}/items")
     head, lines = spark.table(f"bucketed_orders_{tag}"), spark.table(f"bucketed_items_{tag}")
     return head.join(lines, "order_id").groupBy("order_id", "order_status").agg(F.sum("subtotal").alias("gross"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shoplake.functions.scalars import sum_money
 from shoplake.model import FACT_ORDER, FACT_ORDER_ITEM
 from shoplake.plans.dwd import with_date_parts
 from shoplake.plans.warehouse import Span, build, layer_sizes
@@ -72,6 +73,41 @@ def _(spark, sf):
     return spark.read.parquet(path).select("order_id", "total_amount", F.to_date("order_time").alias("order_date"))
 
 
+def store_by_order_date(spark, orders, lines, root, grain="day"):
+    """Orders and lines in folders by the day of the order (or a wider grain), and the calendar; returns them as read."""
+    write_partitioned(orders, f"{root}/orders", "order_time", sort_by=["order_id"], grain=grain)
+    dated = lines.join(orders.select("order_id", "order_time"), "order_id")
+    write_partitioned(dated, f"{root}/lines", "order_time", sort_by=["order_id"], grain=grain)
+    load_table(with_date_parts(calendar_covering(orders, "order_time")), f"{root}/calendar")
+    return [spark.read.parquet(f"{root}/{name}") for name in ("orders", "lines", "calendar")]
+
+
+def week_of_lines(orders, lines, calendar, year, week, grain="day"):
+    """Lines and amounts per day of a week; the calendar prunes the folders of both tables at run time."""
+    days = calendar.where((F.col("year") == year) & (F.col("iso_week") == week))
+    folders = days.select(F.to_date(F.date_trunc(grain, "date_key")).alias("order_date"), F.col("date_key").alias("dt"))
+
+    def of_week(rows):
+        return rows.withColumn("dt", F.to_date("order_time")).join(F.broadcast(folders), ["order_date", "dt"])
+    sold = of_week(lines).groupBy("dt").agg(F.count(F.lit(1)).alias("lines"), sum_money("subtotal").alias("gross"))
+    placed = of_week(orders).groupBy("dt").agg(F.count(F.lit(1)).alias("orders"))
+    return placed.join(sold, "dt", "left").withColumnRenamed("dt", "order_date")
+
+
+@query("tables_by_order_date", using("f_orders", "f_items") + """
+, w AS (SELECT * FROM f_orders WHERE year(dt) = 1997 AND weekofyear(dt) = 10)
+SELECT w.dt AS order_date, count(DISTINCT w.order_id) AS orders, count(item_id) AS lines, sum(subtotal) AS gross
+FROM w LEFT JOIN f_items i ON i.order_id = w.order_id GROUP BY w.dt""", day="order_date", num="gross")
+def _(spark, sf):
+    """Orders and lines by the date of the order; one week read back through the calendar.
+
+    In the test tables a day holds a handful of rows, so here a folder is a month; a test has folders of days.
+    """
+    stored = store_by_order_date(spark, src.orders(spark, sf), src.items(spark, sf), scratch_dir(spark, "by-date"), "month")
+    found = week_of_lines(*stored, 1997, 10, "month")
+    return found.withColumn("lines", F.coalesce("lines", F.lit(0)))
+
+
 @query("read_changelog", using("user_changes") + "SELECT user_id, op, seq FROM user_changes")
 def _(spark, sf):
     path = scratch_dir(spark, "feed")

@@ -27,6 +27,11 @@ def write_partitioned(df: DataFrame, path: str, ts: str, partition: str = "order
      .partitionBy(partition).parquet(path))
 
 
+def bucket_count(rows: int, per_bucket: int = 2_000_000, least: int = 8) -> int:
+    """Buckets for the larger of two tables that are to join by bucket: each is one task's work."""
+    return max(least, -(-rows // per_bucket))
+
+
 def write_bucketed(df: DataFrame, table: str, n: int, key: str, path: str | None = None) -> None:
     """Catalog table in n buckets of `key`; equal layouts join without a shuffle.
 
