@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplake.llm.shared import map_batches, slices, texts
+from shoplake.llm.shared import map_batches, slices, stored, texts
 from shoplake.llm.words import SOLID_BYTES, batches, mixed, word_hashes
 
 BUCKETS = 1 << 16               # hashed features
 SIZE = 8                        # of an embedding
 TRAIN_ROWS = 2000               # labelled rows fitted on, at most
+TRAIN_BYTES = 256 << 20         # of their features, at most: what the driver receives
 EPOCHS = 6
 RATE = 0.5
 VECTOR_RATE = 20                # times RATE: a mean passes on a small share of its gradient
@@ -131,8 +132,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Mode
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model of `labels` (doc_id, quality 0/1) over the texts of `docs`.
 
-    At most `rows` labelled rows are used, those of lowest hash of doc_id, so repeated
-    runs agree. Null labels and ids are left out; a doc_id labelled twice counts once,
+    At most `rows` labelled rows are used, those of lowest hash of doc_id, and of these the
+    first whose features fit in TRAIN_BYTES together, so repeated runs agree. Null labels and ids are left out; a doc_id labelled twice counts once,
     with its smaller label; repeated documents count as often as they occur, within the bound.
     """
     picked = (labels.where("quality is not null and doc_id is not null").groupBy("doc_id")
@@ -144,7 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         got = bags(text)
         return {"doc_id": doc_id, "quality": quality, "at": [g[0].tobytes() for g in got],
                 "count": [g[1].tobytes() for g in got]}
-    rows_ = map_batches(found.select("doc_id", "quality", "text"), "doc_id long, quality int, at binary, count binary", work).toArrow()
+    bagged = stored(map_batches(found.select("doc_id", "quality", "text"), "doc_id long, quality int, at binary, count binary", work)
+                    .withColumns({"order": F.xxhash64("doc_id"), "size": F.length("at") + F.length("count")}), "bags")
+    sizes = bagged.groupBy("order", "doc_id").agg(F.sum("size").alias("size")).orderBy("order", "doc_id").limit(rows).collect()
+    held = np.cumsum([r["size"] for r in sizes])
+    fit_in = [r["doc_id"] for r, upto in zip(sizes, held, strict=True) if upto <= TRAIN_BYTES]
+    rows_ = bagged.where(F.col("doc_id").isin(fit_in)).select("doc_id", "quality", "at", "count").toArrow()
     rows_ = rows_.sort_by([("doc_id", "ascending")]).slice(0, rows)
     unpack = [(np.frombuffer(a, np.int32), np.frombuffer(c, np.float32))
               for a, c in zip(rows_["at"].to_pylist(), rows_["count"].to_pylist(), strict=True)]
