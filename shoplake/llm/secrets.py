@@ -123,7 +123,9 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 def redact_documents(docs: DataFrame) -> DataFrame:
     """`docs` with secrets in `text` replaced by `[kind]`; `n_chars` follows where it is a column.
 
-    Every row stays; a null text stays null.
+    Every row stays, equal rows alike; a null text stays null and an empty one empty; an empty
+    table stays empty. The whole text is scanned, however long. Columns other than text and
+    n_chars pass through, whatever their names.
     """
     names, schema = docs.columns, docs.schema
 
