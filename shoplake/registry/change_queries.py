@@ -137,6 +137,17 @@ def _(spark, sf):
         .select("product_id", "status", "update_time")
 
 
+@query("deactivate_users", using("users") + f"""
+SELECT user_id, CASE WHEN user_id IN (SELECT user_id FROM events WHERE event_type = 'error') THEN 0 ELSE status END AS status,
+       CASE WHEN status = 1 AND user_id IN (SELECT user_id FROM events WHERE event_type = 'error') THEN TIMESTAMP '{NOW}'
+            ELSE update_time END AS update_time
+FROM users""", ts="update_time", whole="status")
+def _(spark, sf):
+    """Users with an error event close; a user who has closed before keeps the time of it, and no row goes."""
+    closing = src.events(spark, sf).where("event_type = 'error'").select("user_id")
+    return C.deactivate(src.users(spark, sf), closing, "user_id", NOW).select("user_id", "status", "update_time")
+
+
 @query("offshelf_log", using("products") + f"""
 SELECT product_id, price AS old_price, price AS new_price, 'OFFSHELF' AS change_type, TIMESTAMP '{NOW}' AS change_time
 FROM products WHERE brand = 'Brand#2' AND status = 1""", num="old_price new_price", ts="change_time")
