@@ -6,8 +6,11 @@ carriage return and newline inside a field are written as two characters.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NULL_TOKEN = "\\N"
 # Stands for an escaped backslash while the other escapes are undone.
@@ -36,3 +39,9 @@ def unescape_field(x: Column) -> Column:
     exact = F.array_join(pieces, "\\")
     plain = F.when(F.contains(x, F.lit(_MARK)), exact).otherwise(text)
     return F.when(x == F.lit(NULL_TOKEN), F.lit(None).cast("string")).otherwise(plain)
+
+
+def fields_of(line: str, types: Mapping[str, str | T.DataType]) -> list[Column]:
+    """The typed fields of a tab-separated line."""
+    parts = F.split(line, "\t", -1)
+    return [unescape_field(F.get(parts, F.lit(i))).cast(t).alias(c) for i, (c, t) in enumerate(types.items())]

@@ -12,6 +12,7 @@ from shoplake.registry.model_sql import using
 from shoplake.registry.stream_queries import feed
 from shoplake.session import scratch_dir
 from shoplake.sources import driver_tables as src
+from shoplake.sources.lake import bucket_count
 from shoplake.streaming import counts, joined, keyed_state, runs, windows
 
 
@@ -46,6 +47,7 @@ def _(spark, sf):
 
 USER_DAY = {"order_amt": "total", "paid_cnt": "paid", "paid_amt": "paid * total", "shipped_cnt": "shipped",
             "completed_cnt": "completed", "cancelled_cnt": "cancelled", "discount_amt": "discount"}
+ORDERS_PER_BUCKET = 4000
 
 
 @query("stream_trade_user_day", using("f_orders") + """
@@ -70,8 +72,9 @@ def _(spark, sf):
     changes = made.unionByName(moved).unionByName(gone).drop("is_deleted").withColumn("arrival", F.xxhash64("order_id", "seq"))
     stream = feed(spark, changes, ["arrival"], root).drop("arrival")
     shape = {"user_id": "long", "dt": "string", "total": "long", "discount": "long", **{n: "int" for n in flags}}
+    buckets = bucket_count(orders.count(), ORDERS_PER_BUCKET, least=32)
     with keyed_state.rocksdb(spark):
-        keyed_state.keep_sums(keyed_state.signed_images(stream, "order_id", shape), ["user_id", "dt"], USER_DAY,
+        keyed_state.keep_sums(keyed_state.signed_images(stream, "order_id", shape, buckets), ["user_id", "dt"], USER_DAY,
                               f"{root}/sums", f"{root}/checkpoint")
     kept = keyed_state.kept_sums(spark.read.parquet(f"{root}/sums"), ["user_id", "dt"], list(USER_DAY))
     money = {c: from_cents(F.col(c), "decimal(22,2)") for c in ("order_amt", "paid_amt", "discount_amt")}

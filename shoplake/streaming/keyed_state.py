@@ -1,7 +1,7 @@
 """Per-key work in the state store: life-cycle steps, order snapshots, images before a change.
 
-The state of a key is one small row, kept by the store between batches; no batch reads a
-table. Orders that have ended leave the state after a grace period of event time, so it is
+The state of an order is one small row, kept by the store between batches; images before a
+change are kept for a bucket of keys at a time. No batch reads a table. Orders that have ended leave the state after a grace period of event time, so it is
 bounded by the open orders. A key's rows of one batch meet in one task, in order of `seq`.
 """
 
@@ -11,10 +11,13 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
+from shoplake.functions.textfields import escape_field, fields_of
 from shoplake.model import CANCELLED, COMPLETED, CREATED, STATUS_STEPS
 from shoplake.operators.status import MILESTONES
 from shoplake.sources import batches
@@ -156,49 +159,62 @@ def life_snapshot(kept: DataFrame) -> DataFrame:
     return kept.groupBy("order_id").agg(*[F.min(c).cast("timestamp_ntz").alias(c) for c in TIMES.values()])
 
 
-class Images(StatefulProcessor):
-    """For each change the key's row before it (sign -1) and after it (sign 1). Old and repeated changes do nothing."""
-
-    def __init__(self, columns: list[str], state: str):
-        self.columns, self.state = columns, state
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("row", self.state)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # only the newest change of a batch counts: what lies between is added and taken away again
-        newest = None
-        for part in rows:
-            best = part.loc[part["seq"].idxmax()]
-            if newest is None or best["seq"] > newest["seq"]:
-                newest = best
-        held = self.row.get() if self.row.exists() else None
-        if held is not None and held[-2] >= newest["seq"]:
-            return
-        out = []
-        if held is not None and not held[-1]:
-            out.append((*held[:-2], -1))
-        values = tuple(None if pd.isna(newest[c]) else newest[c] for c in self.columns)
-        gone = newest["op"] == "D"
-        if not gone:
-            out.append((*values, 1))
-        self.row.update((*[v.item() if hasattr(v, "item") else v for v in values], int(newest["seq"]), bool(gone)))
-        if out:
-            yield pd.DataFrame(out, columns=[*self.columns, "sign"])
-
-    def close(self) -> None:
-        pass
-
-
-def signed_images(changes: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+HELD = "blob binary"            # rows (key, seq, gone, line) of the keys of one bucket, as an Arrow stream
+
+
+def _unpacked(blob: bytes | None) -> pd.DataFrame:
+    if blob is None:
+        return pd.DataFrame({"key": pd.Series(dtype=object), "seq": pd.Series(dtype="int64"),
+                             "gone": pd.Series(dtype=bool), "line": pd.Series(dtype=object)})
+    return pa.ipc.open_stream(pa.BufferReader(blob)).read_all().to_pandas()
+
+
+def _packed(held: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(held, schema=pa.schema([
+        ("key", pa.string()), ("seq", pa.int64()), ("gone", pa.bool_()), ("line", pa.string())]), preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _images(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """For each change the key's line before it (sign -1) and after it (sign 1). Old and repeated changes do nothing."""
+    # only the newest change of a batch counts: what lies between is added and taken away again
+    newest = None
+    for part in parts:
+        both = part if newest is None else pd.concat([newest, part])
+        newest = both.sort_values("seq", ascending=False, kind="stable").drop_duplicates("key")
+    held = _unpacked(state.get[0] if state.exists else None)
+    before = held.set_index("key").reindex(newest["key"])
+    fresh = ~(before["seq"].to_numpy() >= newest["seq"].to_numpy())      # a key that is not held has no number, so nothing holds it back
+    newest, before = newest[fresh], before[fresh]
+    if newest.empty:
+        return
+    taken = before.loc[before["gone"].eq(False), "line"]
+    gone = newest["op"].eq("D")
+    added = newest.loc[~gone, "line"]
+    after = pd.DataFrame({"key": newest["key"], "seq": newest["seq"], "gone": gone, "line": newest["line"].where(~gone, None)})
+    rest = held[~held["key"].isin(newest["key"])]
+    state.update((_packed(pd.concat([rest, after]) if len(rest) else after),))
+    yield pd.DataFrame({"line": [*taken, *added], "sign": [-1] * len(taken) + [1] * len(added)})
+
+
+def signed_images(changes: DataFrame, key: str, columns: dict[str, str], buckets: int = 256) -> DataFrame:
     """Minus and plus rows from changes without images of what they replace.
 
     `changes` has `key`, the columns of {column: type}, op and seq. A deleted key keeps its
     sequence number, so that a late change cannot bring it back.
+
+    The state store holds the last rows of all keys of a bucket in one value, and a call works on a
+    bucket's keys at once; a call per key costs milliseconds. A batch rewrites the buckets it touches, so
+    choose `buckets` for some thousand keys each (`bucket_count`). A stream keeps its number for good.
     """
-    shape = ", ".join(f"{c} {t}" for c, t in columns.items())
-    return changes.select(key, *[F.col(c).cast(t).alias(c) for c, t in columns.items() if c != key], "op", "seq").groupBy(key) \
-        .transformWithStateInPandas(Images(list(columns), shape + ", seq long, gone boolean"), shape + ", sign int", "Update", "None")
+    line = F.concat_ws("\t", *[escape_field(F.col(c).cast(t)) for c, t in columns.items()])
+    rows = changes.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), escape_field(F.col(key)).alias("key"),
+                          "op", F.col("seq").cast("bigint").alias("seq"), line.alias("line"))
+    signed = rows.groupBy("bucket").applyInPandasWithState(_images, "line string, sign int", HELD, "Update", "NoTimeout")
+    return signed.select(*fields_of("line", columns), "sign")
 
 
 def signs_of(changes: DataFrame) -> DataFrame:

@@ -127,3 +127,25 @@ def test_row_counts_outlast_the_progress_reports(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     assert spark.read.parquet(str(tmp_path / "n")).agg(F.sum("rows")).first()[0] == 90
+
+
+def test_images_are_kept_by_the_bucket(spark, tmp_path):
+    """One value of the store holds many keys; nulls, tabs, empty texts and long numbers come back as they were."""
+    big = 2**53 + 1
+    data = [(k, f"g{k % 3}", big if k % 2 else None, "I", 1, k) for k in range(40)] + [
+        (k, "a\tb" if k % 4 else "", big + k, "UA", 2, 40 + k) for k in range(20)] + [
+        (k, None, None, "D", 3, 60 + k) for k in range(5)] + [(None, None, big, "I", 1, 70), (3, "late", 1, "UA", 2, 71)]
+    df = spark.createDataFrame(data, "k long, g string, v long, op string, seq long, arrival long")
+    stream = feed(spark, df, ["arrival"], str(tmp_path / "in"), 24)
+    with keyed_state.rocksdb(spark):
+        keyed_state.keep_sums(keyed_state.signed_images(stream, "k", {"g": "string", "v": "long"}, 3), ["g"], {"total": "v"},
+                              str(tmp_path / "s"), str(tmp_path / "c"))
+    got = keyed_state.kept_sums(spark.read.parquet(str(tmp_path / "s")), ["g"], ["total"])
+    last = {r[0]: r for r in data if r[3:5] != ("UA", 2) or r[1] != "late"}
+    want = {}
+    for _k, g, v, op, *_ in last.values():
+        if op != "D":
+            n, total = want.get(g, (0, None))
+            want[g] = (n + 1, total if v is None else (total or 0) + v)
+    assert {r["g"]: (r["rows"], r["total"]) for r in got.collect()} == want
+    assert spark.read.format("statestore").load(str(tmp_path / "c")).count() <= 3
