@@ -16,10 +16,18 @@ def read_tsv(spark: SparkSession, path: str | list[str], schema: T.StructType) -
                           for i, f in enumerate(schema.fields)])
 
 
+SHARD_ROWS = 1_000_000
+
+
+def shard_count(rows: int, shards: int) -> int:
+    """The least multiple of `shards` whose files hold at most `SHARD_ROWS` rows: each is one task's work."""
+    return shards * max(1, -(-rows // (shards * SHARD_ROWS)))
+
+
 def write_tsv(df: DataFrame, path: str, shards: int | None = None, mode: str = "overwrite") -> None:
-    """One text file per partition, or `shards` files of equal size."""
+    """One text file per partition, or `shards` files of equal size, several times as many for many rows."""
     line = F.concat_ws("\t", *[escape_field(F.col(c)) for c in df.columns]).alias("value")
     lines = df.select(line)
     if shards:
-        lines = lines.repartition(shards)
+        lines = lines.repartition(shard_count(df.count(), shards))
     lines.write.mode(mode).option("lineSep", "\n").text(path)

@@ -16,6 +16,7 @@ from shoplake.sources import jdbc
 from shoplake.sources.keyed import KeyedTable
 from shoplake.sources.batches import append_changes
 from shoplake.sources.lake import load_table, mirror_table, write_bucketed, write_partitioned
+from shoplake.sources import tsv
 from shoplake.sources.tsv import read_tsv, write_tsv
 
 
@@ -79,6 +80,14 @@ def test_tsv_round_trip(spark, tmp_path):
     assert "0\t\\N\t\\N\t\\N" in raw and "1\t\t\\N\t\\N" in raw
 
 
+def test_shards_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    assert [tsv.shard_count(n, 4) for n in (0, 4_000_000, 4_000_001, 216_000_000)] == [4, 4, 8, 216]
+    monkeypatch.setattr(tsv, "SHARD_ROWS", 10)
+    write_tsv(spark.range(90), str(tmp_path / "t"), shards=4)
+    files = spark.read.text(str(tmp_path / "t")).groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 12 and max(r["count"] for r in files) <= 10
+
+
 def test_reload_and_partitions(spark, tmp_path):
     path = str(tmp_path / "p")
     df = spark.createDataFrame([(i, f"2024-01-0{1 + i % 3} 10:00:00") for i in range(30)], "id long, t string") \
