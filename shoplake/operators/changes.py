@@ -23,9 +23,11 @@ def latest_per_key(df: DataFrame, keys: list[str], seq: list[str],
     log = df
     if op in df.columns:
         log = df.where(F.col(op) != "UB")       # before-images carry no new state
-    latest = (log.groupBy(*keys)
-              .agg(F.max_by(F.struct(*rest), F.struct(*seq)).alias("_row"))
-              .select(*keys, "_row.*"))
+    if "map<" in ",".join(kind for _, kind in df.dtypes):
+        newest = F.max_by(F.struct(*rest), F.struct(*seq))
+    else:       # rows compare as a whole, so the sequence columns travel once; equal ones are told by the other columns
+        newest = F.max(F.struct(*seq, *[c for c in rest if c not in seq]))
+    latest = log.groupBy(*keys).agg(newest.alias("_row")).select(*keys, *[F.col(f"_row.`{c}`") for c in rest])
     if op in df.columns and not keep_deletes:
         latest = latest.where(F.col(op) != "D")
     return latest.select(*df.columns)

@@ -28,8 +28,7 @@ def in_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces
 
     `pieces` sets their number; by default it is the session's, fewer for little data.
     """
-    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if not _has_map(f.dataType)]
-    by = [*[F.col(c) for c in [*keys, *order]], F.xxhash64(*hashed)]
+    by = [*[F.col(c) for c in [*keys, *order]], row_hash(df)]
     ranged = df.repartitionByRange(pieces, *by) if pieces else df.repartitionByRange(*by)
     placed = ranged.withColumn(SEGMENT, F.spark_partition_id())
     path = scratch_dir(df.sparkSession, "ordered")
@@ -37,6 +36,11 @@ def in_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces
     return df.sparkSession.read.schema(placed.schema).parquet(path)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, but for maps, which have none."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not _has_map(f.dataType)])
+
+
 def _has_map(kind: T.DataType) -> bool:
     return "map<" in kind.simpleString()
 

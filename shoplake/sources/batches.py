@@ -38,7 +38,7 @@ def write_batch(df: DataFrame, path: str, run: str, batch_id: int, partition: tu
     key = label(df.sparkSession, path, run), batch_id
     if partition:
         df = df.hint("rebalance", *[F.col(c) for c in partition])
-    df.write.mode("overwrite").partitionBy(*partition).parquet(folder(path, key))
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition).parquet(folder(path, key))
     return key
 
 

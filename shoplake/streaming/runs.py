@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from shoplake.operators.ordered import ordered_scan
+from shoplake.operators.ordered import SEGMENT, row_hash
 from shoplake.sources.batches import run_id
 
 
@@ -51,26 +52,48 @@ def stage_in_order(df: DataFrame, path: str, order: list[str], chunk: int, files
     """Write rows as `files` files per `chunk` rows in `order`, oldest chunk first.
 
     A file stream takes files by modification time, so reading the folder with `files`
-    files per trigger replays the order, a chunk at a time. Each file is a piece of the
-    chunk and one task's work. Chunks are written by one job each; a store whose clock is
-    too coarse to keep them apart is an error. Needs `files` <= `chunk`.
+    files per trigger replays the order, a chunk at a time. Chunks are written by one job
+    each; a store whose clock is too coarse to keep them apart is an error.
+
+    Only the order columns and a hash of the row are sorted, to find the rows between which
+    the chunks part. The rows themselves are not shuffled: a chunk is a pass over `df`, which
+    must give the same rows each time, and a file what one task found, in no order. Empty
+    files fill up a chunk. Needs `files` <= `chunk`.
     """
     if not 1 <= files <= chunk:
         raise ValueError(f"cannot write {files} files per chunk of {chunk} rows")
-    at = F.col("_nr") - 1
-    numbered = ordered_scan(df, [], order, number="_nr", pieces=pieces)
-    placed = numbered.withColumns({"_chunk": F.floor(at / chunk).cast("int"),
-                                   "_piece": F.floor(at % chunk * files / chunk).cast("int")}).drop("_nr")
-    whole = f"{path}/_ordered"
-    placed.repartition("_chunk", "_piece").write.mode("overwrite").partitionBy("_chunk", "_piece").parquet(whole)
     spark = df.sparkSession
-    stored = spark.read.schema(placed.schema).parquet(whole)
-    last = stored.agg(F.max("_chunk")).first()[0]
-    count = 0 if last is None else last + 1
+    key = F.struct(*order, row_hash(df).alias("_tie"))
+    total, cuts = _cuts(df.select(key.alias("_key")).select("_key.*"), f"{path}/_cuts", chunk, pieces)
+    stored = spark.read.parquet(f"{path}/_cuts/found") if cuts else None
+
+    def beside(at: int, back: bool, equal: bool = False) -> Column:
+        """Whether a row lies before (`back`) or after the one at this place, or is `equal` to it; few rows need their hash."""
+        here = F.struct(*order)
+        edge = stored.where(F.col("_place") == at).select(F.struct(*[F.col(f"_edge.`{c}`") for c in order])).scalar()
+        tie, at_edge = row_hash(df), stored.where(F.col("_place") == at).select("_edge._tie").scalar()
+        same = (tie == at_edge) if equal else (tie < at_edge) if back else (tie > at_edge)
+        return F.when(here < edge, back and not equal).when(here > edge, not back and not equal).otherwise(same)
+
+    count = -(-total // chunk)
     newest = -1
     for i in range(count):
-        (stored.where(F.col("_chunk") == i).drop("_chunk").repartition("_piece").sortWithinPartitions(*order)
-         .write.partitionBy("_piece").parquet(f"{path}/feed/chunk={i}"))
+        start, end = i * chunk, (i + 1) * chunk
+        inside = F.lit(True)
+        if start:
+            inside &= beside(start, back=False) if cuts[start][1] > 1 else ~beside(start, back=True)
+        if end < total:
+            inside &= beside(end, back=True)
+        part = df.where(inside)
+        # rows that are equal throughout may lie on both sides of a cut: each side gets its number of copies
+        equal = {cuts[at][0]: (at, cuts[at][1]) for at in (start, end) if at in cuts and cuts[at][1] > 1}
+        for first, (at, copies) in equal.items():
+            share = min(end, first + copies) - max(start, first)
+            if share > 0:
+                one = df.where(beside(at, back=False, equal=True)).limit(1).withColumn("_one", F.lit(1))
+                part = part.unionByName(spark.range(share).select(F.lit(1).alias("_one")).join(F.broadcast(one), "_one").drop("_one"))
+        part.coalesce(files).write.option("compression", "zstd").parquet(f"{path}/feed/chunk={i}")
+        _fill_up(spark, df.schema, f"{path}/feed/chunk={i}", files, f"{path}/_cuts/empty")
         times = _file_times(spark, f"{path}/feed/chunk={i}")
         if min(times) <= newest:
             raise RuntimeError("files of two chunks have one modification time: their order would be lost")
@@ -78,6 +101,50 @@ def stage_in_order(df: DataFrame, path: str, order: list[str], chunk: int, files
     return count
 
 
+def _cuts(keys: DataFrame, path: str, chunk: int, pieces: int | None) -> tuple[int, dict[int, tuple[int, int]]]:
+    """The number of rows and, for each multiple of `chunk` below it, where the rows equal to the one at this
+    place begin and how many they are. Their keys are stored as (_place, _edge) in `found` under `path`.
+
+    Each sorted partition is one file, so a row's place is its number in the file after the rows of the files before.
+    """
+    spark = keys.sparkSession
+    ranged = keys.repartitionByRange(pieces, *keys.columns) if pieces else keys.repartitionByRange(*keys.columns)
+    placed = ranged.sortWithinPartitions(*keys.columns).withColumn(SEGMENT, F.spark_partition_id())
+    placed.write.option("maxRecordsPerFile", 0).option("compression", "zstd").parquet(f"{path}/keys")
+    stored = spark.read.schema(placed.schema).parquet(f"{path}/keys").select("*", F.col("_metadata.row_index").alias("_row"))
+    sizes = sorted(tuple(r) for r in stored.groupBy(SEGMENT).count().collect())
+    total, offsets = 0, []
+    for segment, size in sizes:
+        offsets.append((segment, total, size))
+        total += size
+    wanted = [(s, at - before, at) for s, before, size in offsets
+              for at in range(-(-max(before, 1) // chunk) * chunk, before + size, chunk)]
+    if not wanted:
+        return total, {}
+    here = spark.createDataFrame(wanted, f"{SEGMENT} int, _row long, _place long")
+    edge = F.struct(*keys.columns).alias("_edge")
+    stored.join(F.broadcast(here), [SEGMENT, "_row"]).select("_place", edge).write.parquet(f"{path}/found")
+    found = spark.read.parquet(f"{path}/found")
+    starts = spark.createDataFrame([o[:2] for o in offsets], f"{SEGMENT} int, _before long")
+    same = [F.col(f"k.`{c}`").eqNullSafe(F.col(f"f._edge.`{c}`")) for c in keys.columns]
+    equal = (stored.join(F.broadcast(starts), SEGMENT).alias("k").join(F.broadcast(found).alias("f"), reduce(Column.__and__, same))
+             .groupBy("_place").agg(F.min(F.col("_before") + F.col("_row")).alias("first"), F.count(F.lit(1)).alias("copies")))
+    return total, {r["_place"]: (r["first"], r["copies"]) for r in equal.collect()}
+
+
+def _fill_up(spark: SparkSession, schema: T.StructType, path: str, files: int, empty: str) -> None:
+    """Copies of an empty file, stored in `empty`, until `path` has `files` data files."""
+    missing = files - len(_file_times(spark, path))
+    if missing <= 0:
+        return
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(empty)
+    fs = hadoop.Path(empty).getFileSystem(conf)
+    source = next(e.getPath() for e in fs.listStatus(hadoop.Path(empty)) if e.getPath().getName().endswith(".parquet"))
+    for i in range(missing):
+        hadoop.FileUtil.copy(fs, source, fs, hadoop.Path(f"{path}/part-empty-{i}.parquet"), False, True, conf)
+
+
 def _file_times(spark: SparkSession, path: str) -> list[int]:
     """Modification times of the data files below `path`."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -92,6 +159,5 @@ def _file_times(spark: SparkSession, path: str) -> list[int]:
 
 def replay_stream(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int = 2) -> DataFrame:
     """Stream over a folder written by `stage_in_order`, with as many files per trigger as a chunk has."""
-    places = [T.StructField("chunk", T.IntegerType()), T.StructField("_piece", T.IntegerType())]
-    return (spark.readStream.schema(T.StructType([*schema.fields, *places]))
+    return (spark.readStream.schema(T.StructType([*schema.fields, T.StructField("chunk", T.IntegerType())]))
             .option("maxFilesPerTrigger", per_trigger).parquet(f"{path}/feed").select(*schema.names))

@@ -166,3 +166,23 @@ def test_a_batch_of_changes_reads_the_folders_of_its_products(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower()
     assert got.count() == log.where("product_id = 7").count()
+
+
+@pytest.mark.parametrize("chunk, files", [(4, 2), (7, 3), (30, 5), (100, 2)])
+def test_staging_cuts_chunks_exactly_and_sorts_keys_only(spark, tmp_path, chunk, files):
+    """Rows that are equal throughout lie on both sides of cuts; null times come first."""
+    data = [(None, 1)] * 3 + [(5, 2)] * 11 + [(5, 3), (6, None), (6, 1)] + [(9 + i // 2, i) for i in range(13)]
+    df = spark.createDataFrame(data, "at long, v long").withColumn("text", F.lit("wide")).repartition(5)
+    path = str(tmp_path / "in")
+    assert runs.stage_in_order(df, path, ["at"], chunk, files) == -(-len(data) // chunk)
+    found = spark.read.parquet(f"{path}/feed")
+    ranked = sorted(r[0] or -1 for r in data)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["chunk"], []).append(r["at"] or -1)
+    assert {n: sorted(x) for n, x in got.items()} == {n: ranked[n * chunk:(n + 1) * chunk] for n in range(-(-len(data) // chunk))}
+    assert rows(found, "at", "v") == rows(df, "at", "v")
+    for n in got:
+        assert len(runs._file_times(spark, f"{path}/feed/chunk={n}")) == files
+    assert [f.name for f in (tmp_path / "in").iterdir() if f.name not in ("feed", "_cuts")] == []
+    assert "text" not in spark.read.parquet(f"{path}/_cuts/keys").columns
