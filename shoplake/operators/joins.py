@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplake.operators.ordered import ordered_scan
+from shoplake.sources.lake import bucket_count
 
 
 def update_from_aggregate(target: DataFrame, facts: DataFrame, key: str, value: Column,
@@ -47,8 +48,14 @@ def semi_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Child rows whose parent is missing."""
-    return child.join(parent.select(key), key, "left_anti").select(*child.columns)
+    """Child rows whose parent is missing.
+
+    The number of tasks follows the rows. A task holds each parent key of its part once, and child
+    rows pass by unsorted, so its memory does not grow with the tables or with a heavy key.
+    """
+    n = bucket_count(max(child.count(), parent.count()))
+    keys = parent.select(key).repartition(n, key).hint("shuffle_hash")
+    return child.repartition(n, key).join(keys, key, "left_anti").select(*child.columns)
 
 
 def orders_with_user(orders: DataFrame, users: DataFrame, columns: list[str]) -> DataFrame:

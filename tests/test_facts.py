@@ -10,7 +10,7 @@ from shoplake.operators import aggregates as A
 from shoplake.operators import quality as Q
 from shoplake.operators import status as S
 from shoplake.operators import stock as K
-from shoplake.operators.joins import first_order, lookup_join, unmatched_count
+from shoplake.operators.joins import first_order, lookup_join, orphans, unmatched_count
 from shoplake.plans import ads, dws
 
 T0, T1, T2, T3 = (f"2024-01-0{i} 00:00:00" for i in range(1, 5))
@@ -190,3 +190,17 @@ def test_schemas_carry_comments():
     for table in schemas().values():
         assert all(f.metadata["comment"] for f in table.fields)
     assert with_envelope(schemas()["dim_user"]).names[-3:] == ["op", "seq", "arrival"]
+
+
+def test_orphans_hold_parent_keys_only(spark):
+    """Lines pass by unsorted in parts whose number follows the rows; null keys have no parent, a heavy key has."""
+    orders = spark.createDataFrame([(i,) for i in range(50) if i % 7] + [(None,), (3,)], "order_id long")
+    lines = spark.createDataFrame([(i, i % 60) for i in range(300)] + [(1000 + i, 1) for i in range(500)] + [(9999, None)],
+                                  "item_id long, order_id long")
+    lost = orphans(lines, orders, "order_id")
+    plan = lost._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert "REPARTITION_BY_NUM" in plan
+    assert {r["item_id"] for r in lost.collect()} == {i for i in range(300) if i % 60 % 7 == 0 or i % 60 >= 50} | {9999}
+    none = orphans(orders, lines.where("order_id <> 3"), "order_id")
+    assert sorted((r["order_id"] or -1) for r in none.collect()) == [-1, 3, 3]
