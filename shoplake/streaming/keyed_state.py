@@ -49,12 +49,18 @@ class _Ending(StatefulProcessor):
     def __init__(self, grace: int):
         self.grace = grace
 
-    def end_after(self, ended: int | None) -> None:
-        """Set the timer anew; none for a key that goes on."""
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if ended is not None:
-            self.handle.registerTimer((ended + self.grace) // 1000)
+    def end_after(self, ended: int | None, timer: int | None) -> int | None:
+        """Move the timer from `timer`, where the key's state says it is, and say where it is now; none for a key that goes on.
+
+        Each word to the store is a round trip, so none is spent on a timer that stays.
+        """
+        at = None if ended is None else (ended + self.grace) // 1000
+        if at != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+        return at
 
     def close(self) -> None:
         pass
@@ -74,26 +80,33 @@ class StepCheck(_Ending):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "seq long, status string")
+        self.last = handle.getValueState("last", "seq long, status string, timer long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        steps = [(s, 1, status) for s, status in zip(found["seq"].tolist(), found["status"].tolist(), strict=True)]
-        if self.last.exists():
-            seq, status = self.last.get()
-            steps = sorted([(seq, 0, status), *steps], key=lambda s: s[:2])
+        steps, latest = [], None
+        for part in rows:
+            steps += [(s, 1, status) for s, status in zip(part["seq"].tolist(), part["status"].tolist(), strict=True)]
+            us = int(part["us"].max())
+            latest = us if latest is None else max(latest, us)
+        held = self.last.get()
+        timer = None
+        if held is not None:
+            seq, status, timer = held
+            steps.append((seq, 0, status))
+        steps.sort(key=lambda s: s[:2])
         bad, before = [], None
         for seq, new, status in steps:
             if new and (before, status) not in _STEPS:
                 bad.append((key[0], seq, before, status))
             before = status
-        self.last.update((int(steps[-1][0]), before))
-        self.end_after(int(found["us"].max()) if before in ENDED else None)
-        yield pd.DataFrame(bad, columns=list(BAD_STEP))
+        timer = self.end_after(latest if before in ENDED else None, timer)
+        self.last.update((int(steps[-1][0]), before, timer))
+        if bad:
+            yield pd.DataFrame(bad, columns=list(BAD_STEP))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
-        yield pd.DataFrame(columns=list(BAD_STEP))
+        yield from ()
 
 
 def invalid_steps_in_state(status: DataFrame, delay: str, grace_seconds: int) -> DataFrame:
@@ -115,26 +128,27 @@ class Milestones(_Ending):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getValueState("times", ", ".join(f"{c} long" for c in TIMES.values()))
+        self.times = handle.getValueState("times", ", ".join(f"{c} long" for c in [*TIMES.values(), "timer"]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         found = pd.concat(list(rows))
-        held = tuple(self.times.get()) if self.times.exists() else (None,) * len(TIMES)
+        *held, timer = self.times.get() or (None,) * (len(TIMES) + 1)
         firsts = found.groupby("status")["us"].min().to_dict()
         times = tuple(min((int(t) for t in (old, firsts.get(s)) if t is not None), default=None)
                       for s, old in zip(TIMES, held, strict=True))
-        if times != held:
-            self.times.update(times)
-            yield self.row(key[0], times, False)
         done = [t for s, t in zip(TIMES, times, strict=True) if s in ENDED and t is not None]
-        self.end_after(max(int(found["us"].max()), *done) if done else None)
+        ends = self.end_after(max(int(found["us"].max()), *done) if done else None, timer)
+        if times != tuple(held) or ends != timer:
+            self.times.update((*times, ends))
+        if times != tuple(held):
+            yield self.row(key[0], times, False)
 
     def row(self, order_id: int, times: tuple, closed: bool) -> pd.DataFrame:
         return pd.DataFrame({"order_id": [order_id], "closed": [closed],
                              **{c: pd.array([t], dtype="Int64") for c, t in zip(TIMES.values(), times, strict=True)}})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        times = tuple(self.times.get())
+        times = tuple(self.times.get())[:-1]
         self.times.clear()
         yield self.row(key[0], times, True)
 

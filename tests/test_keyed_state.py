@@ -1,5 +1,6 @@
 """Keyed state, change images, joined streams and chained windows against their batch forms."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,53 @@ def test_images_are_kept_by_the_bucket(spark, tmp_path):
             want[g] = (n + 1, total if v is None else (total or 0) + v)
     assert {r["g"]: (r["rows"], r["total"]) for r in got.collect()} == want
     assert spark.read.format("statestore").load(str(tmp_path / "c")).count() <= 3
+
+
+class CountingHandle:
+    """A state handle in memory that counts the words to the store."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, _name, _schema):
+        return self
+
+    def _said(self):
+        self.calls += 1
+
+    def exists(self):
+        self._said()
+        return self.value is not None
+
+    def get(self):
+        self._said()
+        return self.value
+
+    def update(self, value):
+        self._said()
+        self.value = value
+
+    def listTimers(self):
+        self._said()
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self._said()
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self._said()
+        self.timers.discard(at)
+
+
+def test_a_step_check_speaks_little_to_the_store():
+    handle, check = CountingHandle(), keyed_state.StepCheck(1000)
+    check.init(handle)
+
+    def batch(*found):
+        handle.calls = 0
+        return [p for p in check.handleInputRows((1,), iter([pd.DataFrame(found, columns=["seq", "status", "us"])]), None)]
+    assert batch((1, "CREATED", 5000), (2, "PAID", 6000)) == [] and handle.calls == 2 and handle.timers == set()
+    assert batch((4, "COMPLETED", 9000), (3, "SHIPPED", 8000)) == [] and handle.calls == 3 and handle.timers == {10}
+    bad = batch((5, "PAID", 9500))
+    assert bad[0].values.tolist() == [[1, 5, "COMPLETED", "PAID"]] and handle.calls == 3 and handle.timers == set()
