@@ -254,4 +254,4 @@ def keep_sums(signed: DataFrame, by: list[str], sums: dict[str, str], path: str,
     def add(batch: DataFrame, batch_id: int, run: str) -> None:
         batches.write_batch(signed_sums(batch, by, sums), path, run, batch_id)
 
-    return each_batch(signed, add, checkpoint, every)
+    return each_batch(signed, add, checkpoint, every, hold=False)

@@ -186,3 +186,22 @@ def test_staging_cuts_chunks_exactly_and_sorts_keys_only(spark, tmp_path, chunk,
         assert len(runs._file_times(spark, f"{path}/feed/chunk={n}")) == files
     assert [f.name for f in (tmp_path / "in").iterdir() if f.name not in ("feed", "_cuts")] == []
     assert "text" not in spark.read.parquet(f"{path}/_cuts/keys").columns
+
+
+def test_staging_sorts_only_keys_about_the_cuts_where_rows_are_many(spark, tmp_path, monkeypatch):
+    """With copies on both sides of a cut; where one key fills a stretch, and a sample that misleads, places stay exact."""
+    monkeypatch.setattr(runs, "SAMPLED", 2_000)
+    df = spark.range(30_000).select((F.col("id") * 7919 % 30_000).alias("at")).repartition(5)
+    heavy = df.select(F.when(F.col("at").between(7_000, 16_000), 7_000).when(F.col("at") > 100, F.col("at")).alias("at"))
+    for name, rows_in in {"plain": df, "heavy": heavy}.items():
+        path = str(tmp_path / name)
+        assert runs.stage_in_order(rows_in, path, ["at"], 7_500) == 4
+        ranked = sorted(-1 if r[0] is None else r[0] for r in rows_in.collect())
+        got = {}
+        for r in spark.read.parquet(f"{path}/feed").collect():
+            got.setdefault(r["chunk"], []).append(-1 if r["at"] is None else r["at"])
+        assert {n: sorted(x) for n, x in got.items()} == {n: ranked[n * 7_500:(n + 1) * 7_500] for n in range(4)}
+        sorted_keys = spark.read.parquet(f"{path}/_cuts/keys").count()
+        assert sorted_keys < {"plain": 15_000, "heavy": 25_000}[name]
+    monkeypatch.setattr(runs, "_keys", lambda d, order, make=runs._keys: make(d.where("at < 9000"), order))
+    assert runs._near(df, ["at"], str(tmp_path / "misled"), range(7_500, 30_000, 7_500), 30_000) is None
