@@ -81,22 +81,33 @@ def stock_per_day(products: DataFrame, log: DataFrame, start: str | None = None,
     """Day-end stock of each product, the last level carried over days without change.
 
     Without `start` or `end` the days run from the log's first or to its last. Levels from
-    before `start` count; a day before any change has no level.
+    before `start` count; a day before any change has no level. Only the changed days meet their
+    product; the days between are made from them row by row, and the dense table is not shuffled.
     """
     first, last = day_span(log, "change_time")
     first, last = (F.lit(start).cast("date") if start else first), (F.lit(end).cast("date") if end else last)
     moves = day_end_levels(log.where(F.to_date("change_time") <= last))
-    within = moves.where(F.col("dt") >= first)
     opening = (moves.where(F.col("dt") < first).groupBy("product_id")
                .agg(F.max_by("last_stock", "dt").alias("_opening")))
-    grid = densify(products, first, last).join(within, ["product_id", "dt"], "left") \
-        .join(opening, "product_id", "left")
-    # A product has exactly one row per day here, so this window is small for every key.
-    carried = Window.partitionBy("product_id").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.select(
-        "product_id", "dt",
-        F.coalesce(F.last("last_stock", ignorenulls=True).over(carried), "_opening").alias("day_end_stock"),
-        F.coalesce("in_qty", F.lit(0)).alias("in_qty"), F.coalesce("out_qty", F.lit(0)).alias("out_qty"))
+    # A product has at most one row per day here, so these windows and lists are small for every key.
+    by_day = Window.partitionBy("product_id").orderBy("dt")
+    carried = by_day.rowsBetween(Window.unboundedPreceding, 0)
+    step = F.struct("dt", F.lead("dt").over(by_day).alias("next"), F.last("last_stock", ignorenulls=True).over(carried).alias("level"),
+                    "in_qty", "out_qty")
+    steps = (moves.where(F.col("dt") >= first).select("product_id", "dt", step.alias("_step")).groupBy("product_id")
+             .agg(F.min("dt").alias("_begun"), F.collect_list("_step").alias("_steps")))
+    # the days before the first change are a step of their own, without a change
+    none = F.lit(None)
+    head = F.struct(first.alias("dt"), F.col("_begun").alias("next"), none.cast("int").alias("level"),
+                    none.cast("bigint").alias("in_qty"), none.cast("bigint").alias("out_qty"))
+    spans = F.concat(F.when(F.col("_begun") == first, F.array()).otherwise(F.array(head)), F.coalesce("_steps", F.array()))
+    stepped = (products.select("product_id").where(first <= last).join(steps, "product_id", "left").join(opening, "product_id", "left")
+               .select("product_id", "_opening", F.explode(spans).alias("_s")))
+    days = F.sequence("_s.dt", F.coalesce(F.date_sub("_s.next", 1), last))
+    changed = F.col("dt") == F.col("_s.dt")
+    return stepped.select("product_id", "_opening", "_s", F.explode(days).alias("dt")).select(
+        "product_id", "dt", F.coalesce("_s.level", "_opening").alias("day_end_stock"),
+        *[F.coalesce(F.when(changed, F.col(f"_s.{c}")), F.lit(0)).alias(c) for c in ("in_qty", "out_qty")])
 
 
 def total_stock_by_day(per_day: DataFrame) -> DataFrame:

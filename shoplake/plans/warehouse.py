@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from shoplake.operators.filters import exclude_types
 from shoplake.plans import ads, dwd, dws
 from shoplake.sources.lake import load_table, write_partitioned
 
+AT_ONCE = 6             # tables written at a time
+
 
 @dataclass(frozen=True)
 class Span:
@@ -28,51 +32,63 @@ def build(spark: SparkSession, sources: Mapping[str, DataFrame], root: str, span
     """Build every layer under `root`; returns {table: path}. Re-running replaces tables.
 
     `sources` has dim_user, dim_product, fact_order, fact_order_item,
-    fact_product_price_change and fact_stock_change.
+    fact_product_price_change and fact_stock_change. A table is written as soon as those it reads
+    are there, several at a time, so the last tasks of one leave no cores idle.
     """
     paths: dict[str, str] = {}
-
-    def store(name: str, df: DataFrame, day: str | None = None) -> DataFrame:
-        path = f"{root}/{name.replace('.', '/')}"
-        if day:
-            write_partitioned(df, path, day, grain=span.grain)
-        else:
-            load_table(df, path)
-        paths[name] = path
-        return spark.read.parquet(path).drop("order_date") if day else spark.read.parquet(path)
-
-    ods = {name: store(f"ods.{name}", df, {"fact_order": "order_time",
-                                           "fact_order_item": "create_time"}.get(name))
-           for name, df in sources.items()}
-    orders, lines, products = ods["fact_order"], ods["fact_order_item"], ods["dim_product"]
-    prices = exclude_types(ods["fact_product_price_change"], ["FINAL"])
-
-    days = ods["fact_stock_change"].agg(F.min(F.to_date("change_time")).cast("string"), F.max(F.to_date("change_time")).cast("string"))
-    start, end = (given or seen for given, seen in zip((span.start, span.end), days.first(), strict=True))
-    if not start or not end:
-        raise ValueError("an empty stock log names no days; give the span's start and end")
-    store("dwd.dim_date", dwd.dim_date(spark, start, end))
-    users = store("dwd.dim_user", dwd.dim_user(ods["dim_user"], orders))
-    store("dwd.dim_product", dwd.dim_product(products))
-    store("dwd.dim_product_price_scd2", dwd.dim_product_price_scd2(prices, products, start))
-    items = store("dwd.fact_order_item", dwd.fact_order_item(lines, products), "create_time")
-    acc = store("dwd.fact_order_acc", dwd.fact_order_acc(orders), "order_time")
-    stock = store("dwd.fact_product_stock_per_day", dwd.fact_product_stock_per_day(
-        products, ods["fact_stock_change"], start, end))
-
-    user_day = store("dws.trade_user_day", dws.trade_user_day(acc))
-    product_day = store("dws.trade_product_day", dws.trade_product_day(items))
-    category_day = store("dws.trade_category_day", dws.trade_category_day(items))
-    store("dws.trade_province_day", dws.trade_province_day(user_day, users))
-    lifetime = store("dws.user_lifetime", dws.user_lifetime(acc))
-    store("dws.product_stock_day", dws.product_stock_day(stock))
-
-    store("ads.trade_overview_day", ads.trade_overview_day(user_day))
-    store("ads.order_funnel_day", ads.order_funnel_day(user_day))
-    store("ads.category_rank_day", ads.category_rank_day(category_day))
-    store("ads.user_rfm", ads.user_rfm(lifetime, span.as_of))
-    store("ads.gmv_caliber_compare", ads.gmv_caliber_compare(product_day, user_day))
-    store("ads.price_divergence_by_category", ads.price_divergence_by_category(category_day))
+    tables: list[Future[DataFrame]] = []
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        def store(name: str, make: Callable[..., DataFrame], *reads: Future[DataFrame], day: str | None = None) -> Future[DataFrame]:
+            path = paths[name] = f"{root}/{name.replace('.', '/')}"
+
+            def written() -> DataFrame:
+                # what it reads was handed in before and is taken up first, so no table waits for one that cannot start
+                df = make(*[table.result() for table in reads])
+                if day:
+                    write_partitioned(df, path, day, grain=span.grain)
+                else:
+                    load_table(df, path)
+                return spark.read.parquet(path).drop("order_date") if day else spark.read.parquet(path)
+
+            tables.append(pool.submit(inheritable_thread_target(spark)(written)))
+            return tables[-1]
+
+        ods = {name: store(f"ods.{name}", lambda df=df: df, day={"fact_order": "order_time",
+                                                                 "fact_order_item": "create_time"}.get(name))
+               for name, df in sources.items()}
+        orders, lines, products, log = (ods[n] for n in ("fact_order", "fact_order_item", "dim_product", "fact_stock_change"))
+
+        items = store("dwd.fact_order_item", dwd.fact_order_item, lines, products, day="create_time")
+        acc = store("dwd.fact_order_acc", dwd.fact_order_acc, orders, day="order_time")
+        users = store("dwd.dim_user", dwd.dim_user, ods["dim_user"], orders)
+        store("dwd.dim_product", dwd.dim_product, products)
+
+        days = log.result().agg(F.min(F.to_date("change_time")).cast("string"), F.max(F.to_date("change_time")).cast("string"))
+        start, end = (given or seen for given, seen in zip((span.start, span.end), days.first(), strict=True))
+        if not start or not end:
+            raise ValueError("an empty stock log names no days; give the span's start and end")
+        store("dwd.dim_date", lambda: dwd.dim_date(spark, start, end))
+        store("dwd.dim_product_price_scd2", lambda prices, dim: dwd.dim_product_price_scd2(
+            exclude_types(prices, ["FINAL"]), dim, start), ods["fact_product_price_change"], products)
+        stock = store("dwd.fact_product_stock_per_day", lambda dim, changes: dwd.fact_product_stock_per_day(
+            dim, changes, start, end), products, log)
+
+        product_day = store("dws.trade_product_day", dws.trade_product_day, items)
+        category_day = store("dws.trade_category_day", dws.trade_category_day, items)
+        user_day = store("dws.trade_user_day", dws.trade_user_day, acc)
+        store("dws.trade_province_day", dws.trade_province_day, user_day, users)
+        lifetime = store("dws.user_lifetime", dws.user_lifetime, acc)
+        store("dws.product_stock_day", dws.product_stock_day, stock)
+
+        store("ads.trade_overview_day", ads.trade_overview_day, user_day)
+        store("ads.order_funnel_day", ads.order_funnel_day, user_day)
+        store("ads.category_rank_day", ads.category_rank_day, category_day)
+        store("ads.user_rfm", lambda spent: ads.user_rfm(spent, span.as_of), lifetime)
+        store("ads.gmv_caliber_compare", ads.gmv_caliber_compare, product_day, user_day)
+        store("ads.price_divergence_by_category", ads.price_divergence_by_category, category_day)
+        for table in tables:
+            table.result()
     return paths
 
 

@@ -1,5 +1,7 @@
 """Stock, order life cycle, totals, quantiles, reports and checks."""
 
+import threading
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from shoplake.operators import quality as Q
 from shoplake.operators import status as S
 from shoplake.operators import stock as K
 from shoplake.operators.joins import first_order, lookup_join, orphans, unmatched_count
-from shoplake.plans import ads, dws
+from shoplake.plans import ads, dws, warehouse
+from shoplake.sources import driver_tables as src
 
 T0, T1, T2, T3 = (f"2024-01-0{i} 00:00:00" for i in range(1, 5))
 
@@ -53,6 +56,39 @@ def test_stock_is_carried_over_days_without_change(spark, stock_log):
     assert rows(Q.stock_gap(stock_log.where("change_id <> 2")), "product_id", "gap") == [(1, -2)]
 
 
+def test_days_of_stock_are_made_after_the_last_shuffle(spark, stock_log):
+    """Levels from before the span, null levels and products without changes; the dense table meets no exchange and no window."""
+    dim = products(spark, [(i, "1.00", 0, 1) for i in (1, 2, 3)])
+    log = stock_log.unionByName(typed(spark.createDataFrame(
+        [(6, 1, 3, None, "2024-01-06 09:00:00")], "change_id long, product_id long, delta int, stock_after int, change_time string"),
+        "change_time"))
+    got = K.stock_per_day(dim, log, "2024-01-04", "2024-01-07")
+    assert rows(got, "product_id", "day_end_stock", "in_qty") == sorted(
+        [(1, 2, 0), (1, 10, 8), (1, 10, 3), (1, 10, 0)] + [(2, 1, 0)] * 4 + [(3, None, 0)] * 4, key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("Generate")]
+    assert "Join" not in above and "Window" not in above and "Aggregate" not in above
+
+
+def test_layers_are_written_at_the_same_time(spark, tmp_path, monkeypatch):
+    """A table that reads nothing unwritten waits for no other; one that fails ends the build."""
+    meet = threading.Barrier(2, timeout=60)
+
+    def load(df, path, plain=warehouse.load_table):
+        if path.endswith(("dim_user", "fact_stock_change")) and "/ods/" in path:
+            meet.wait()
+        if path.endswith("category_rank_day"):
+            raise OSError("disk full")
+        plain(df, path)
+    monkeypatch.setattr(warehouse, "load_table", load)
+    sf = "/root/testdata/sf0.001"
+    sources = {"dim_user": src.users(spark, sf), "dim_product": src.products(spark, sf), "fact_order": src.orders(spark, sf),
+               "fact_order_item": src.items(spark, sf), "fact_product_price_change": src.price_log(spark, sf),
+               "fact_stock_change": src.stock_log(spark, sf)}
+    with pytest.raises(OSError, match="disk full"):
+        warehouse.build(spark, sources, str(tmp_path / "w"), warehouse.Span("2001-08-02", "year"))
+
+
 @pytest.fixture(scope="module")
 def life(spark):
     return typed(spark.createDataFrame([
