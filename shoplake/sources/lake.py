@@ -12,15 +12,24 @@ def load_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def by_date(df: DataFrame, ts: str, partition: str, grain: str = "day") -> DataFrame:
+    """`df` with its partition's date, dealt out for a write by it.
+
+    The rebalance lets adaptive execution cut a heavy day into several files and
+    merge light ones, so no task holds one whole day. By year a task's rows make few
+    files as they come, so there they are not shuffled.
+    """
+    dated = df.withColumn(partition, F.to_date(F.date_trunc(grain, ts)))
+    return dated if grain == "year" else dated.hint("rebalance", F.col(partition))
+
+
 def write_partitioned(df: DataFrame, path: str, ts: str, partition: str = "order_date",
                       sort_by: list[str] | None = None, grain: str = "day") -> None:
     """Write by day (or by `grain`), replacing only the partitions present in `df`.
 
-    The rebalance lets adaptive execution cut a heavy day into several files and
-    merge light ones, so no task holds one whole day. Use a wider grain where a day
-    is far below the size of a file.
+    Use a wider grain where a day is far below the size of a file.
     """
-    dated = df.withColumn(partition, F.to_date(F.date_trunc(grain, ts))).hint("rebalance", F.col(partition))
+    dated = by_date(df, ts, partition, grain)
     if sort_by:
         dated = dated.sortWithinPartitions(partition, *sort_by)
     (dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -1,6 +1,7 @@
 """Stock, order life cycle, totals, quantiles, reports and checks."""
 
 import threading
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -89,6 +90,28 @@ def test_layers_are_written_at_the_same_time(spark, tmp_path, monkeypatch):
         warehouse.build(spark, sources, str(tmp_path / "w"), warehouse.Span("2001-08-02", "year"))
 
 
+def test_layers_leave_no_shuffle_files(spark, tmp_path):
+    """A table's shuffle files go with its job, and the session keeps its own settings."""
+    sf = "/root/testdata/sf0.001"
+    sources = {"dim_user": src.users(spark, sf), "dim_product": src.products(spark, sf), "fact_order": src.orders(spark, sf),
+               "fact_order_item": src.items(spark, sf), "fact_product_price_change": src.price_log(spark, sf),
+               "fact_stock_change": src.stock_log(spark, sf)}
+
+    def shuffle_files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {blocks.apply(i).getName() for i in range(blocks.size())} - {""}
+    before = shuffle_files()
+    had = {key: spark.conf.get(key, None) for key in warehouse.SAVING}
+    warehouse.build(spark, sources, str(tmp_path / "w"), warehouse.Span("2001-08-02", "year"))
+    for _ in range(50):             # files go in the background
+        left = {name for name in shuffle_files() - before if name.startswith("shuffle_")}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert {key: spark.conf.get(key, None) for key in warehouse.SAVING} == had
+
+
 @pytest.fixture(scope="module")
 def life(spark):
     return typed(spark.createDataFrame([

@@ -15,7 +15,7 @@ from shoplake.functions.idranges import (
 from shoplake.sources import jdbc
 from shoplake.sources.keyed import KeyedTable
 from shoplake.sources.batches import append_changes
-from shoplake.sources.lake import load_table, mirror_table, write_bucketed, write_partitioned
+from shoplake.sources.lake import by_date, load_table, mirror_table, write_bucketed, write_partitioned
 from shoplake.sources import tsv
 from shoplake.sources.tsv import read_tsv, write_tsv
 
@@ -88,6 +88,19 @@ def test_shards_grow_with_the_rows(spark, tmp_path, monkeypatch):
     assert len(files) == 12 and max(r["count"] for r in files) <= 10
 
 
+def test_rows_by_year_are_not_shuffled(spark, tmp_path):
+    """By day they are, so that a day is not a small file of every task."""
+    df = spark.range(0, 90, 1, 3).withColumn("t", F.expr("timestamp_ntz'2023-06-01' + make_dt_interval(cast(id * 10 as int))"))
+
+    def plan(grain):
+        return by_date(df, "t", "part", grain)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan("year") and "Exchange" in plan("day")
+    write_partitioned(df, path := str(tmp_path / "y"), "t", "part", grain="year")
+    got = spark.read.parquet(path)
+    assert rows(got.groupBy("part").count()) == rows(df.groupBy(F.trunc("t", "year")).count())
+    assert got.select(F.input_file_name()).distinct().count() <= 3 * 3
+
+
 def test_reload_and_partitions(spark, tmp_path):
     path = str(tmp_path / "p")
     df = spark.createDataFrame([(i, f"2024-01-0{1 + i % 3} 10:00:00") for i in range(30)], "id long, t string") \
