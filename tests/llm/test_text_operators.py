@@ -92,6 +92,32 @@ def test_secrets_equal_plain_patterns(spark):
     assert cleaned[0]["text"] is None and "abc123" not in cleaned[2]["text"] and cleaned[2]["seed"] == "s"
 
 
+class Whole(str):
+    """A text whose characters are not to be mapped one by one."""
+    def translate(self, *_):
+        raise AssertionError("mapped character by character")
+
+
+class HexTries:
+    """The pattern of hex runs, and the texts it was tried on."""
+    def __init__(self):
+        self.texts = []
+
+    def finditer(self, text):
+        self.texts.append(text)
+        return re.finditer("[0-9a-f]{24,}", text)
+
+
+def test_secrets_try_slow_steps_only_where_needed(monkeypatch):
+    """Beyond ASCII too; letters whose lower case is ASCII or of another length stay as they are."""
+    odd = ["é Password = abcdef", "to\u212aen=abcdef İİ ToKeN=abcdef", "ſecret=abcdef", "é" + "0f" * 11 + "a", "😀" + "0f" * 12 + "G",
+           "a" * 23 + "é" + "b" * 23, "\ud800 Secret: abcdef", "f" * 30 + " " + "F" * 30]
+    monkeypatch.setattr(secrets, "HEX", tries := HexTries())
+    got = [secrets.find_secrets(Whole(t)) for t in odd]
+    assert got == [[(2, 0, 19)], [(16, 0, 28)], [], [], [(1, 2, 25)], [], [(2, 0, 16)], [(0, 2, 30)]]
+    assert tries.texts == [odd[4], odd[7]]
+
+
 def simhash_plain(text, words):
     parts = (text or "").encode().lower().split()
     hashes = [xxhash.xxh64_intdigest(b" ".join(parts[i:i + words]), 42) for i in range(max(1, len(parts) - words + 1))]
