@@ -46,11 +46,14 @@ def build(spark: SparkSession, sources: Mapping[str, DataFrame], root: str, span
     tables: list[Future[DataFrame]] = []
 
     with settings(spark, SAVING), ThreadPoolExecutor(AT_ONCE) as pool:
-        def store(name: str, make: Callable[..., DataFrame], *reads: Future[DataFrame], day: str | None = None) -> Future[DataFrame]:
+        def store(name: str, make: Callable[..., DataFrame], *reads: Future[DataFrame], day: str | None = None,
+                  after: Future[DataFrame] | None = None) -> Future[DataFrame]:
             path = paths[name] = f"{root}/{name.replace('.', '/')}"
 
             def written() -> DataFrame:
-                # what it reads was handed in before and is taken up first, so no table waits for one that cannot start
+                # what it waits for was handed in before and is taken up first, so no table waits for one that cannot start
+                if after:
+                    after.result()
                 df = make(*[table.result() for table in reads])
                 if day:
                     write_partitioned(df, path, day, grain=span.grain)
@@ -82,7 +85,8 @@ def build(spark: SparkSession, sources: Mapping[str, DataFrame], root: str, span
             dim, changes, start, end), products, log)
 
         product_day = store("dws.trade_product_day", dws.trade_product_day, items)
-        category_day = store("dws.trade_category_day", dws.trade_category_day, items)
+        # one after the other, so that only one holds shuffle files of all lines
+        category_day = store("dws.trade_category_day", dws.trade_category_day, items, after=product_day)
         user_day = store("dws.trade_user_day", dws.trade_user_day, acc)
         store("dws.trade_province_day", dws.trade_province_day, user_day, users)
         lifetime = store("dws.user_lifetime", dws.user_lifetime, acc)

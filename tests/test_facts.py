@@ -90,8 +90,8 @@ def test_layers_are_written_at_the_same_time(spark, tmp_path, monkeypatch):
         warehouse.build(spark, sources, str(tmp_path / "w"), warehouse.Span("2001-08-02", "year"))
 
 
-def test_layers_leave_no_shuffle_files(spark, tmp_path):
-    """A table's shuffle files go with its job, and the session keeps its own settings."""
+def test_layers_leave_no_shuffle_files(spark, tmp_path, monkeypatch):
+    """A table's shuffle files go with its job, summaries of all lines follow each other, the session keeps its settings."""
     sf = "/root/testdata/sf0.001"
     sources = {"dim_user": src.users(spark, sf), "dim_product": src.products(spark, sf), "fact_order": src.orders(spark, sf),
                "fact_order_item": src.items(spark, sf), "fact_product_price_change": src.price_log(spark, sf),
@@ -100,6 +100,13 @@ def test_layers_leave_no_shuffle_files(spark, tmp_path):
     def shuffle_files():
         blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
         return {blocks.apply(i).getName() for i in range(blocks.size())} - {""}
+    written = []
+
+    def load(df, path, plain=warehouse.load_table):
+        written.append(path)
+        plain(df, path)
+        written.append(path)
+    monkeypatch.setattr(warehouse, "load_table", load)
     before = shuffle_files()
     had = {key: spark.conf.get(key, None) for key in warehouse.SAVING}
     warehouse.build(spark, sources, str(tmp_path / "w"), warehouse.Span("2001-08-02", "year"))
@@ -109,6 +116,8 @@ def test_layers_leave_no_shuffle_files(spark, tmp_path):
             break
         time.sleep(0.1)
     assert not left
+    lines = [path.rpartition("_")[0] for path in written if path.endswith(("trade_product_day", "trade_category_day"))]
+    assert lines == [str(tmp_path / "w/dws/trade_product")] * 2 + [str(tmp_path / "w/dws/trade_category")] * 2
     assert {key: spark.conf.get(key, None) for key in warehouse.SAVING} == had
 
 
